@@ -1 +1 @@
-
+"""Operators that prepare transcripts, verdicts and documents as training data."""
