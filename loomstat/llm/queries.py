@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import balanced, conversations, percentiles, split
+from loomstat.llm import balanced, conversations, packing, percentiles, split, tokenize
 from loomstat.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,19 @@ def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(table(spark, folder, "messages"))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.encode_column(table(spark, folder, "documents"))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(table(spark, folder, "documents"))
+
+
+def p7_variable(spark: SparkSession, folder: str) -> DataFrame:
+    """Several permitted lengths at once."""
+    return packing.containers(table(spark, folder, "documents"), capacities=(256, 512, 1024, 2048))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -66,5 +79,8 @@ QUERIES: dict[str, Query] = {
         p4_sample,
         p5_found,
         p5_conversations,
+        p6_ids,
+        p7_containers,
+        p7_variable,
     )
 }
