@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import balanced, conversations, packing, percentiles, split, tokenize
+from loomstat.llm import balanced, conversations, packing, percentiles, quality, split, tokenize
 from loomstat.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,15 @@ def p7_variable(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(table(spark, folder, "documents"), capacities=(256, 512, 1024, 2048))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = quality.quality(table(spark, folder, "documents"))
+    return kinds.where(F.col("kind") != "prose").select("doc_id", "kind")
+
+
+def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -82,5 +91,7 @@ QUERIES: dict[str, Query] = {
         p6_ids,
         p7_containers,
         p7_variable,
+        p8_found,
+        p8_quality,
     )
 }
