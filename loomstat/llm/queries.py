@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import balanced, conversations, packing, percentiles, quality, split, tokenize
+from loomstat.llm import balanced, conversations, packing, percentiles, quality, split, tokenize, truncation
 from loomstat.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,14 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.pieces(table(spark, folder, "chunks"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_completions(table(spark, folder, "completions")).select("completion_id")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, folder, "completions"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     report = balanced.sample_report(table(spark, folder, "runs"), table(spark, folder, "sample_targets"))
     return report.where(~F.col("feasible")).select("wave", "label", "run_source")
@@ -83,6 +91,8 @@ QUERIES: dict[str, Query] = {
         p1_all_days,
         p2_found,
         p2_pieces,
+        p3_found,
+        p3_rates,
         p4_found,
         p4_report,
         p4_sample,
