@@ -1 +1,4 @@
+"""The core's queries and their SQL."""
 
+QUERIES: dict = {}
+SQL: dict = {}
