@@ -108,15 +108,13 @@ def percentiles(
     digits = [f"_d{i}" for i in range(len(shifts))]
     # a constant makes the bucket numbers non-negative
     lifted = F.col("bucket") + F.lit(2 ** (11 + precision))
-    rows = summary.select(
-        *group,
-        "n",
-        "low",
-        "high",
-        *(F.shiftright(lifted, s).bitwiseAND(2**DIGIT - 1).cast("int").alias(d) for s, d in zip(shifts, digits, strict=True)),
+    digit = lambda s: F.shiftright(lifted, s).bitwiseAND(2**DIGIT - 1).cast("int")
+    rows = summary.repartition(*group) if group else summary
+    rows = rows.select(
+        *group, "n", "low", "high", *(digit(s).alias(d) for s, d in zip(shifts, digits, strict=True))
     )
     if group:
-        rows = rows.repartition(*group).sortWithinPartitions(*group, *digits)
+        rows = rows.sortWithinPartitions(*group, *digits)
     quantiles = list(quantiles)
     names = [column_name(q) for q in quantiles]
     rows = rows.withColumn("_under", F.lit(0).cast("long"))
@@ -155,6 +153,8 @@ def percentiles(
 
 # What the project's tables ask for
 
+#: Summaries carry the place in this list: two shuffles of short rows instead of names.
+MEASURES = ("score", "n_characters", "monitor_score")
 SAMPLE_KEYS = ("label", "task_id", "stage", "scored_on", "measure")
 
 
@@ -163,7 +163,7 @@ def sample_values(per_sample: DataFrame) -> DataFrame:
 
     Rows are the same if ``experiment, stage, run_id`` and ``scored_on`` are; the latest
     delivered holds. A row counts once for each of its labels; empty label strings have
-    none. ``measure`` is ``score`` or ``n_characters``.
+    none. ``measure`` is the place of the column's name in ``MEASURES``.
     """
     last = per_sample.groupBy("experiment", "stage", "run_id", "scored_on").agg(
         F.max(F.struct("ingested_at", "task_id", "labels", "score", "n_characters")).alias("r")
@@ -174,7 +174,7 @@ def sample_values(per_sample: DataFrame) -> DataFrame:
         F.col("r.task_id").alias("task_id"),
         "stage",
         "scored_on",
-        F.expr("stack(2, 'score', r.score, 'n_characters', cast(r.n_characters as double)) as (measure, value)"),
+        F.expr("stack(2, 0, r.score, 1, cast(r.n_characters as double)) as (measure, value)"),
     )
     return row
 
@@ -184,7 +184,7 @@ def result_values(results: DataFrame) -> DataFrame:
     last = results.groupBy("run_id", "monitor").agg(F.max(F.struct("line_no", "score", "labels")).alias("r"))
     labels = F.array_distinct(F.filter(F.transform("r.labels", F.trim), lambda x: x != ""))
     return last.select(
-        F.explode(labels).alias("label"), F.lit("monitor_score").alias("measure"), F.col("r.score").alias("value")
+        F.explode(labels).alias("label"), F.lit(2).alias("measure"), F.col("r.score").alias("value")
     )
 
 
@@ -204,3 +204,8 @@ def project_summary(per_sample: DataFrame, results: DataFrame, precision: int =
         "label", none("string").alias("task_id"), none("string").alias("stage"), none("date").alias("scored_on"), "measure", "value"
     )
     return summarize(sample_values(per_sample).unionByName(other), SAMPLE_KEYS, "value", precision)
+
+
+def named(found: DataFrame) -> DataFrame:
+    """``measure`` by name."""
+    return found.withColumn("measure", F.get(F.array(*map(F.lit, MEASURES)), F.col("measure")))

@@ -15,14 +15,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     summary = percentiles.project_summary(table(spark, folder, "per_sample"), table(spark, folder, "monitor_results"))
-    return percentiles.percentiles(summary, percentiles.SAMPLE_KEYS)
+    return percentiles.named(percentiles.percentiles(summary, percentiles.SAMPLE_KEYS))
 
 
 def p1_all_days(spark: SparkSession, folder: str) -> DataFrame:
     """Days summed up apart, then put together."""
     keys = ("label", "task_id", "stage", "measure")
     daily = percentiles.daily_summary(table(spark, folder, "per_sample"))
-    return percentiles.percentiles(percentiles.merge(daily, keys), keys)
+    return percentiles.named(percentiles.percentiles(percentiles.merge(daily, keys), keys))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
