@@ -60,18 +60,20 @@ def ordered_bits(df: DataFrame, value: str, name: str) -> DataFrame:
     return one.withColumn(name, out).drop("_size", "_e", "_scale", "_move", "_bits")
 
 
+def with_bucket(df: DataFrame, value: str, name: str, precision: int = PRECISION) -> DataFrame:
+    """Adds the bucket's number: the ordered integer without its low bits, rounded toward zero."""
+    bits, width = F.col("_b"), _MANTISSA - precision
+    cut = F.when(bits < 0, -F.shiftright(-bits, width)).otherwise(F.shiftright(bits, width))
+    return ordered_bits(df, value, "_b").withColumn(name, cut).drop("_b")
+
+
 def summarize(df: DataFrame, keys: Sequence[str], value: str, precision: int = PRECISION) -> DataFrame:
     """The mergeable summary: ``keys, bucket, n, low, high``. NULL and NaN values don't count.
-
-    ``bucket`` is the ordered integer without its low bits, rounded toward zero.
     """
     v = F.col(value).cast("double")
     kept = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, (v + 0.0).alias("_v"))
-    bits, width = F.col("_b"), _MANTISSA - precision
-    cut = F.when(bits < 0, -F.shiftright(-bits, width)).otherwise(F.shiftright(bits, width))
     return (
-        ordered_bits(kept, "_v", "_b")
-        .select(*keys, "_v", cut.alias("bucket"))
+        with_bucket(kept, "_v", "bucket", precision)
         .groupBy(*keys, "bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
     )
@@ -106,10 +108,14 @@ def percentiles(
     shifts = _shifts(12 + precision + 1, DIGIT)
     group = list(keys)
     digits = [f"_d{i}" for i in range(len(shifts))]
+    # a bucket's number follows from its smallest value, and most buckets hold one value: neither is shuffled
+    rows = summary.select(*group, "n", "low", F.nullif(F.col("high"), F.col("low")).alias("high"))
+    if group:
+        rows = rows.repartition(*group)
+    rows = with_bucket(rows, "low", "bucket", precision).withColumn("high", F.coalesce("high", "low"))
     # a constant makes the bucket numbers non-negative
     lifted = F.col("bucket") + F.lit(2 ** (11 + precision))
     digit = lambda s: F.shiftright(lifted, s).bitwiseAND(2**DIGIT - 1).cast("int")
-    rows = summary.repartition(*group) if group else summary
     rows = rows.select(
         *group, "n", "low", "high", *(digit(s).alias(d) for s, d in zip(shifts, digits, strict=True))
     )
