@@ -1,4 +1,4 @@
 """The core's queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from loomstat.queries import corpus, transcripts  # noqa: F401
+from loomstat.queries.registry import QUERIES, SQL  # noqa: F401
