@@ -20,21 +20,29 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
+#: Up to so many trials the binomial coefficients are whole numbers that doubles hold exactly.
+EXACT_TRIALS = 45
+
+
 def binomial_p(successes: Column, trials: Column) -> Column:
-    """Exact two-sided binomial p-value at one half; 1 without trials."""
+    """Exact two-sided binomial p-value at one half; 1 without trials. Beyond ``EXACT_TRIALS`` terms go by logarithms."""
     low = F.least(successes, trials - successes).cast("long")
     n = trials.cast("double")
+    small = trials <= EXACT_TRIALS
     first = -n * F.lit(0.6931471805599453)
+
+    def step(acc: Column, i: Column) -> Column:
+        log = acc["log"] + F.ln((n - i + 1) / i)
+        ways = F.when(small, acc["ways"] * (n - i + 1) / i).otherwise(0.0)
+        term = F.when(small, ways).otherwise(F.exp(log))
+        return F.struct(log.alias("log"), ways.alias("ways"), (acc["total"] + F.when(i <= low, term).otherwise(0.0)).alias("total"))
+
+    start = F.struct(first.alias("log"), F.lit(1.0).alias("ways"), F.when(small, 1.0).otherwise(F.exp(first)).alias("total"))
     walk = F.aggregate(
-        F.sequence(F.lit(1).cast("long"), F.greatest(low, F.lit(1))),
-        F.struct(first.alias("log"), F.exp(first).alias("total")),
-        lambda acc, i: F.struct(
-            (acc["log"] + F.ln((n - i + 1) / i)).alias("log"),
-            (acc["total"] + F.when(i <= low, F.exp(acc["log"] + F.ln((n - i + 1) / i))).otherwise(0.0)).alias("total"),
-        ),
-        lambda acc: acc["total"],
+        F.sequence(F.lit(1).cast("long"), F.greatest(low, F.lit(1))), start, step, lambda acc: acc["total"]
     )
-    return F.when(trials == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * walk))
+    below = F.when(small, walk / F.pow(F.lit(2.0), F.least(n, F.lit(float(EXACT_TRIALS))))).otherwise(walk)
+    return F.when(trials == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * below))
 
 
 def t_p(t: Column, df: Column) -> Column:

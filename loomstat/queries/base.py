@@ -132,10 +132,9 @@ pairs AS (SELECT p.*, f.agg_max, f.agg_mean FROM (SELECT *, {_TRANSITION} FROM (
 def sql_binomial(k: str, n: str) -> str:
     """Exact two-sided p at one half."""
     low = f"least({k}, {n} - {k})::BIGINT"
-    return (
-        f"CASE WHEN {n} = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, {low} + 1), "
-        f"lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))))) END"
-    )
+    ways = f"lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1)"
+    total = f"list_sum(list_transform(range(0, {low} + 1), lambda i: CASE WHEN {n} <= 45 THEN round(exp({ways})) / pow(2, {n}) ELSE exp({ways} - {n} * ln(2)) END))"
+    return f"CASE WHEN {n} = 0 THEN 1.0 ELSE least(1.0, 2 * {total}) END"
 
 
 def sql_t_p(rho: str, n: str) -> str:
