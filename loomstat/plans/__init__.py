@@ -1 +1 @@
-
+"""Settings and the stages of an experiment."""
