@@ -16,6 +16,16 @@ def share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: the linear correlation; NULL where either side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def slope(y: str, x: str) -> Column:
+    """Aggregate: the least-squares slope of y on x; NULL where x is constant."""
+    return F.try_divide(F.covar_pop(y, x), F.var_pop(x))
+
+
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 

@@ -45,7 +45,7 @@ def chunk_messages(transcript: DataFrame, size: int, overlap: int = 0) -> DataFr
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / stride) + 1)
     last = F.floor(F.col("pos") / stride)
     counts = transcript.groupBy("run_id").agg((F.max("pos") + 1).alias("_total"))
-    told = transcript.join(counts, "run_id").withColumn("chunk_index", F.explode(F.sequence(first, last)).cast("int"))
+    told = transcript.join(counts, "run_id").withColumn("chunk_index", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     return told.where(F.col("chunk_index") < chunk_count(F.col("_total"), size, overlap)).drop("_total")
 
 

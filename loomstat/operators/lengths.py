@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import BENIGN, MIN_RUNS, MIN_SPREAD, THRESHOLD
 from loomstat.functions.labels import scope_or_benign
-from loomstat.functions.stats import count_if, ratio, spearman_p
+from loomstat.functions.stats import correlation, count_if, ratio, spearman_p
 
 By = Sequence[str]
 
@@ -66,7 +66,7 @@ def rank_correlation(df: DataFrame, group: By, x: str, y: str, least: int = MIN_
     told = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = told.withColumn("_x", average_rank(group, x)).withColumn("_y", average_rank(group, y))
     out = ranked.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), spread(x).alias("spread"), F.corr("_x", "_y").alias("rho"),
+        F.count(F.lit(1)).alias("n"), spread(x).alias("spread"), correlation("_x", "_y").alias("rho"),
         F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"), F.avg(y).alias("mean_y"),
     )
     usable = (F.col("n") >= least) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import MIN_RUNS, MIN_SPREAD, THRESHOLD
-from loomstat.functions.stats import binomial_p, count_if, share
+from loomstat.functions.stats import binomial_p, count_if, share, slope
 from loomstat.operators.lengths import exploded, quantile_bins, rank_correlation, spread
 from loomstat.operators.scores import outcome, transition
 
@@ -124,7 +124,7 @@ def length_effect_by_arm(paired: DataFrame, by: By = (), least: int = MIN_RUNS)
     long = told.select(*by, "label", "tokens", F.log10("tokens").alias("x"), arms)
     group = [*by, "label", "arm"]
     base = long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), spread().alias("spread"), F.regr_slope("y", "x").alias("slope"),
+        F.count(F.lit(1)).alias("n"), spread().alias("spread"), slope("y", "x").alias("slope"),
         F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"),
     ).where((F.col("n") >= least) & (F.col("_x0") < F.col("_x1")))
     rho = rank_correlation(long, group, "tokens", "y", least).select(*group, "rho", "p")
