@@ -199,7 +199,8 @@ def balanced_sample(runs: DataFrame, targets: DataFrame, seed: int = 0, block: i
 
     def fit(_: tuple, cell: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
         if cell.empty or target.empty:
-            return pd.DataFrame({"wave": [], "cell": [], "p": []})
+            kinds = {"wave": "int32", "cell": "object", "p": "float64"}
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
         cell = cell.sort_values("cell").reset_index(drop=True)
         one = target.groupby("category", as_index=False).agg(
             want=("want", "max"), floor=("min_rows", "max"), size=("sample_size", "max")
