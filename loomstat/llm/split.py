@@ -67,29 +67,21 @@ def _kind() -> str:
     return "array<struct<role:string,name:string,content:string,function_call:struct<name:string,arguments:string>>>"
 
 
-def piece_spans(marked: Column, length: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """``array<struct<start, end>>`` (0-based, end exclusive) of the pieces of a text."""
+def with_ends(df: DataFrame, marked: str, length: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Adds ``ends``: where each piece of the marked text ends (exclusive), in order."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and under the limit")
-    cut = F.regexp_extract_all(marked, F.lit(boundary_pattern(limit, overlap)), F.lit(0))
+    cut = F.regexp_extract_all(F.col(marked), F.lit(boundary_pattern(limit, overlap)), F.lit(0))
     ends = F.aggregate(
         F.transform(cut, lambda piece: F.length(piece)),
         F.array().cast("array<int>"),
         lambda done, n: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + n)),
     )
-    spans = F.transform(
-        ends,
-        lambda end, i: F.struct(
-            F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.get(ends, i - 1) - overlap)).alias("start"),
-            end.alias("end"),
-        ),
-    )
-    whole = F.array(F.struct(F.lit(0).alias("start"), length.alias("end")))
-    return F.when(length <= limit, whole).otherwise(spans)
+    return df.withColumn("ends", F.when(F.col(length) <= limit, F.array(F.col(length))).otherwise(ends))
 
 
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """One row per input row: ``run_id, chunk_index, n_characters, pieces``.
+    """One row per input row: ``run_id, chunk_index, n_characters, n_pieces, pieces``.
 
     ``pieces`` holds ``piece_index, start, end`` and ``text`` of each piece, in order. A chunk
     within the limit is one piece. Pieces have at most ``limit`` code points; each but the
@@ -104,22 +96,24 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
         render_chunk(F.col("messages"), F.col("context")).alias("text"),
         render_chunk(F.col("messages"), F.col("context"), marked=True).alias("marked"),
     ).withColumn("n_characters", F.length("text"))
-    spans = piece_spans(F.col("marked"), F.col("n_characters"), limit, overlap)
+    # a column of its own: the lambda below looks ends up once per piece, the text is cut once
+    text = with_ends(text, "marked", "n_characters", limit, overlap)
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.get("ends", i - 1) - overlap))
     pieces = F.transform(
-        spans,
-        lambda s, i: F.struct(
+        F.col("ends"),
+        lambda end, i: F.struct(
             i.alias("piece_index"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("text"),
+            start(i).alias("start"),
+            end.alias("end"),
+            F.substring(F.col("text"), start(i) + 1, end - start(i)).alias("text"),
         ),
     )
-    return text.select("run_id", "chunk_index", "n_characters", pieces.alias("pieces"))
+    return text.select("run_id", "chunk_index", "n_characters", F.size("ends").alias("n_pieces"), pieces.alias("pieces"))
 
 
 def oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Once each chunk that had to be cut: ``run_id, chunk_index``."""
-    cut = split_chunks(chunks, limit, overlap).where(F.size("pieces") > 1)
+    cut = split_chunks(chunks, limit, overlap).where(F.col("n_pieces") > 1)
     return cut.select("run_id", "chunk_index").distinct()
 
 
@@ -128,8 +122,9 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
 
     ``run_id, chunk_index, piece_index, start, end, n_characters, text``.
     """
-    rows = split_chunks(chunks, limit, overlap).where(F.size("pieces") > 1)
-    one = rows.select("run_id", "chunk_index", F.explode("pieces").alias("p"))
+    # conditions on the pieces themselves would be pushed down and cut the text once per piece again
+    rows = split_chunks(chunks, limit, overlap).where(F.col("n_characters") > limit)
+    one = rows.select("run_id", "chunk_index", F.explode_outer("pieces").alias("p"))
     return one.select(
         "run_id",
         "chunk_index",
