@@ -46,6 +46,8 @@ ITEM = r"(?:^|\n)[ \t]*(?:[-*•]|\d+[.)])[ \t][^\n]*$"
 GOES_ON = (",", ";", ":", "—", "–", "-", "(", "，", "；", "、")
 #: A form of ending without a stop is one of finished texts if it has this share of them at least.
 LEAST_FORM = 0.003
+#: No source is expected to cut a larger share of its texts.
+MOST_CUT = 0.5
 #: Weight of the shorter context where the longer was seldom seen.
 BACK = 2.0
 #: A length that is a candidate limit has so many times the texts that are expected, and this many at least.
@@ -254,10 +256,10 @@ def evidence(ends: DataFrame) -> DataFrame:
     share = (zero("n_end") + BACK * short) / (zero("n_pre") + BACK)
     anywhere = (zero("n_pre") + BACK * zero("w_pre") / places + 0.05) / places
     # recurring endings: what is beyond the number that cuts would leave, with a wide margin; the text itself doesn't count
-    expected = 0.15 * F.col("n_texts") * anywhere
+    expected = MOST_CUT * F.col("n_texts") * anywhere
     beyond = lambda seen, by_chance: F.greatest(F.lit(0.0), F.col(seen) - 1 - (by_chance + 3 * F.sqrt(by_chance) + 2))
     own = beyond("n_key", expected) / F.col("n_texts")
-    by_all = beyond("n_key_all", 0.15 * F.col("n_texts_all") * anywhere) / F.col("n_texts_all")
+    by_all = beyond("n_key_all", MOST_CUT * F.col("n_texts_all") * anywhere) / F.col("n_texts_all")
     scored = joined.select(
         "source", "form", "before", "last",
         F.least(F.lit(1e4), F.greatest(F.lit(1e-6), share * places / stops)).alias("ratio"),
