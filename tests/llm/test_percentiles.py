@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -74,9 +76,9 @@ def test_nulls_nans_empty_tables_and_clashing_columns(spark):
 
 def test_project_rows(spark):
     schema = "experiment string, stage string, run_id long, scored_on date, ingested_at timestamp, task_id string, labels string, score double, n_characters long, value int, label int"
-    day = pd.Timestamp("2025-03-01")
+    day = datetime.datetime(2025, 3, 1)
     rows = [
-        ("e", "s", 1, day, day, "t", "a;b;a", 10.0, None, 0, 0), ("e", "s", 1, day, day + pd.Timedelta(days=3), "t", "a;b;a", 20.0, 5, 0, 0),
+        ("e", "s", 1, day, day, "t", "a;b;a", 10.0, None, 0, 0), ("e", "s", 1, day, day + datetime.timedelta(days=3), "t", "a;b;a", 20.0, 5, 0, 0),
         ("e", "s", 2, day, None, None, "", 30.0, 7, 0, 0), ("e", "s", 3, day, day, None, None, float("nan"), 7, 0, 0), ("e", "s", 4, day, day, "t", "a", float("nan"), 9, 0, 0),
     ]
     rows = [(*r[:3], r[3].date(), *r[4:]) for r in rows]
