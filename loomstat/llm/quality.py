@@ -8,38 +8,39 @@ statistics by expectation-maximization; its components start at inspected exampl
 examples they explain. A document is what most of its characters are: the posteriors of its
 lines, weighted by their characters and evened out over neighbouring lines, are added up.
 
-The mixture is fitted on the lines of a bounded sample of documents; statistics, posteriors and
-kinds are computed for every line of every document, whole texts.
+The mixture is fitted on every line of every document, whole texts: the statistics are written once, and each
+step adds up, per component, the weights, values and squares of all lines, so only a matrix of
+components by statistics comes back. Posteriors and kinds are computed for every line as well.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.llm.quality_examples import COMMON_WORDS, EXAMPLES
 from loomstat.llm.tokenize import slices
+from loomstat.session import checkpoint_dir
 
 KINDS = ("prose", "list", "table", "junk")
-#: Documents whose lines the mixture is fitted on.
-FIT_DOCUMENTS = 2_000
-#: Lines of one document among them.
-FIT_LINES = 120
 #: Characters that are looked at together.
 SLICE = 1 << 20
+#: Lines whose posteriors are computed together while fitting.
+STEP_LINES = 1 << 8
 #: Visible characters under which a line is seen together with its neighbours.
 SHORT_LINE = 120
 EM_ROUNDS = 25
 #: Added to every variance of the standardized statistics.
 VARIANCE_FLOOR = 0.1
-#: The weight of the examples of one form in every step, as a share of the sample's lines.
+#: The weight of the examples of one form in every step, as a share of all lines.
 EXAMPLE_SHARE = 0.002
 
 FEATURES = (
@@ -326,6 +327,10 @@ def _near(x: np.ndarray, document: np.ndarray, reach: int = 3) -> np.ndarray:
     return (sums[high] - sums[low]) / (high - low)
 
 
+def _powers(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1)
+
+
 @dataclass
 class Mixture:
     """A fitted mixture: standardization, components and the kinds they stand for."""
@@ -349,6 +354,28 @@ class Mixture:
         log /= log.sum(axis=1, keepdims=True)
         return log
 
+    def sums(self, features: np.ndarray) -> np.ndarray:
+        """Components x (weight, then values, then squares of the standardized statistics), over the lines."""
+        inverse, k = 1 / self.variances, features.shape[1]
+        constant = np.log(self.weights) - 0.5 * ((self.means**2 * inverse).sum(axis=1) + np.log(self.variances).sum(axis=1))
+        by_power = np.ascontiguousarray(np.concatenate([constant[:, None], self.means * inverse, -0.5 * inverse], axis=1).T)
+        total = np.zeros((len(self.weights), 1 + 2 * k))
+        z, log = np.ones((STEP_LINES, 1 + 2 * k)), np.empty((STEP_LINES, len(self.weights)))
+        for a in range(0, len(features), STEP_LINES):
+            some = features[a : a + STEP_LINES]
+            y, r = z[: len(some)], log[: len(some)]
+            x = y[:, 1 : 1 + k]
+            np.subtract(some, self.shift, out=x)
+            x /= self.scale
+            np.multiply(x, x, out=y[:, 1 + k :])
+            np.matmul(y, by_power, out=r)
+            r -= r.max(axis=1, keepdims=True)
+            np.exp(r, out=r)
+            y /= r.sum(axis=1, keepdims=True)
+            total += r.T @ y
+            y[:, 0] = 1
+        return total
+
     def posteriors(self, features: np.ndarray) -> np.ndarray:
         """Lines x KINDS."""
         if not len(features):
@@ -356,30 +383,50 @@ class Mixture:
         return self.responsibilities((features - self.shift) / self.scale) @ self.kinds
 
 
+#: Adds up over all lines what a function tells of the statistics of some; None where no lines are.
+Gather = Callable[[Callable[[np.ndarray], np.ndarray]], "np.ndarray | None"]
+
+
+def moments(features: np.ndarray) -> np.ndarray:
+    """The number of lines, and the sums and squares of each statistic."""
+    x = features.astype(float)
+    return np.stack([np.full(x.shape[1], float(len(x))), x.sum(axis=0), (x * x).sum(axis=0)])
+
+
 def fit_mixture(features: np.ndarray, rounds: int = EM_ROUNDS) -> Mixture:
+    """The mixture of lines that are at hand."""
+    return fit_gathered(lambda look: look(features) if len(features) else None, rounds)
+
+
+def fit_gathered(gather: Gather, rounds: int = EM_ROUNDS) -> Mixture:
     """Expectation-maximization from the examples: a component per form, and their weight held."""
     parts = [(kind, describe([text]).features) for kind, forms in EXAMPLES.items() for text in forms]
     own = np.concatenate([x for _, x in parts]).astype(float)
     form = np.repeat(np.arange(len(parts)), [len(x) for _, x in parts])
-    data = features.astype(float) if len(features) else own
-    both = np.concatenate([data, own])
-    shift, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 0.05)
-    x, own = (data - shift) / scale, (own - shift) / scale
+    seen = gather(moments)
+    if seen is None:
+        seen, gather = moments(own), lambda look, own=own: look(own)
+    n_lines = seen[0, 0]
+    n_both, sums, squares = seen + moments(own)
+    shift = sums / n_both
+    scale = np.maximum(np.sqrt(np.maximum(squares / n_both - shift**2, 0)), 0.05)
+    own = (own - shift) / scale
     fixed = (form[:, None] == np.arange(len(parts))).astype(float)
-    fixed *= max(1.0, EXAMPLE_SHARE * len(x)) / fixed.sum(axis=0)
-
-    def step(r: np.ndarray) -> Mixture:
-        n = r.sum(axis=0) + fixed.sum(axis=0)
-        means = (r.T @ x + fixed.T @ own) / n[:, None]
-        squares = (r.T @ (x * x) + fixed.T @ (own * own)) / n[:, None]
+    fixed *= max(1.0, EXAMPLE_SHARE * n_lines) / fixed.sum(axis=0)
+    held = fixed.T @ _powers(own)
+    kinds = np.array([[float(kind == k) for k in KINDS] for kind, _ in parts])
+
+    def step(told: np.ndarray) -> Mixture:
+        told = told + held
+        n = told[:, 0]
+        means, squares = np.split(told[:, 1:] / n[:, None], 2, axis=1)
         variances = np.maximum(squares - means**2, 0) + VARIANCE_FLOOR
-        kinds = np.array([[float(kind == k) for k in KINDS] for kind, _ in parts])
         return Mixture(shift, scale, n / n.sum(), means, variances, kinds)
 
-    model = step(np.zeros((len(x), len(parts))))
-    model.variances += 0.3  # wide at first, so that all of the sample finds a component
+    model = step(np.zeros_like(held))
+    model.variances += 0.3  # wide at first, so that every line finds a component
     for _ in range(rounds):
-        model = step(model.responsibilities(x))
+        model = step(gather(model.sums))
     # what the examples say of each component
     said = model.responsibilities(own)
     weight = fixed.sum(axis=1)
@@ -389,27 +436,49 @@ def fit_mixture(features: np.ndarray, rounds: int = EM_ROUNDS) -> Mixture:
     return model
 
 
-def sample_features(documents: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
-    """The features of at most FIT_DOCUMENTS x FIT_LINES lines, of about FIT_DOCUMENTS documents chosen by a hash."""
-    n = documents.count()
-    # a document is in by its key's hash, so texts needn't be sorted or gathered to choose
-    share = min(1.0, FIT_DOCUMENTS / max(n, 1))
-    chosen = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < math.ceil(share * 1_000_003)
-    some = documents.where(chosen & (F.length(F.col(text)) > 0)).select(text)
+def fit_documents(documents: DataFrame, text: str = "text") -> Mixture:
+    """The mixture of all lines of all documents; their statistics are computed once and kept in the shared folder."""
+    checkpoint_dir(documents.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SLICE):
-                lines = describe(part.column(text).to_pylist())
-                rank = np.arange(len(lines.document)) - np.searchsorted(lines.document, lines.document)
-                count = np.bincount(lines.document)[lines.document] if len(lines.document) else rank
-                step = np.maximum(1, -(-count // FIT_LINES))
-                kept = lines.features[rank % step == 0].astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.list_(pa.float32()))], ["f"])
+                f = describe(part.column(text).to_pylist()).features.astype(np.float32)
+                if len(f):
+                    # statistic by statistic, which compresses better
+                    packed = pa.compress(np.ascontiguousarray(f.T), codec="zstd", asbytes=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([len(f)], pa.int64()), pa.array([packed], pa.binary())], ["n", "f"])
+
+    told = documents.where(F.length(F.col(text)) > 0).select(text)
+    kept = told.mapInArrow(look, "n long, f binary").checkpoint()  # read in every round
+    groups = math.ceil(math.sqrt(max(1, kept.rdd.getNumPartitions())))
+
+    def gather(of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for n, packed in zip(batch.column("n").to_pylist(), batch.column("f"), strict=True):
+                    raw = pa.decompress(packed.as_buffer(), n * 4 * len(FEATURES), codec="zstd")
+                    one = of(np.frombuffer(raw, np.float32).reshape(len(FEATURES), n).T)
+                    total = one if total is None else total + one
+            if total is not None:
+                yield _row(TaskContext.get().partitionId(), total)
+
+        def add_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = sorted(r for batch in batches for r in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True))
+            if rows:
+                yield _row(rows[0][0], sum(np.frombuffer(s) for _, s in rows))
+
+        schema = "part int, sums binary"
+        some = kept.mapInArrow(add, schema).repartition(groups, F.pmod("part", F.lit(groups)))
+        rows = sorted(some.mapInArrow(add_more, schema).collect())
+        return sum(np.frombuffer(bytes(r.sums)) for r in rows).reshape(of(np.empty((0, len(FEATURES)), np.float32)).shape) if rows else None
+
+    return fit_gathered(gather)
+
 
-    rows = some.mapInArrow(look, "f array<float>").limit(FIT_DOCUMENTS * FIT_LINES).toArrow().column("f").combine_chunks()
-    flat = rows.values.to_numpy(zero_copy_only=False) if len(rows) else np.empty(0, np.float32)
-    return flat.reshape(-1, len(FEATURES))
+def _row(part: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["part", "sums"])
 
 
 def document_kinds(lines: Lines, model: Mixture, n_docs: int) -> np.ndarray:
@@ -438,7 +507,7 @@ def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", model
     words. Equal numbers of characters: the kind named first in ``KINDS``.
     """
     told = documents.where(F.length(F.col(text)) > 0).select(key, text)
-    model = model or fit_mixture(sample_features(documents, key, text))
+    model = model or fit_documents(documents, text)
     kind = told.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

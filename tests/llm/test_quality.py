@@ -89,3 +89,23 @@ def test_column(spark):
     assert got[got.doc_id == 903].n_words.item() == 120_000 and got[got.doc_id == 903].kind.item() == "prose"
     assert got.groupby("doc_id").kind.nunique().max() == 1
     assert Q.quality(df.limit(0)).count() == 0
+
+
+def test_every_line_of_every_document_is_fitted(spark):
+    forms = [t for forms in EXAMPLES.values() for t in forms]
+    rows = [(k, forms[k % len(forms)][: 40 + k % 90].rstrip("'’")) for k in range(2_400)]
+    rows += [(9_000, "\n".join(f"{k};{k * k};a{k % 7}" for k in range(1_500))), (9_001, None), (9_002, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    lines = Q.describe([t for _, t in rows if t]).features
+    assert len(lines) > 3_900
+    want, got = Q.fit_mixture(lines), Q.fit_documents(df)
+    for name in ("shift", "scale", "weights", "means", "variances", "kinds"):
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-5, atol=1e-7), name
+    assert np.allclose(got.shift, np.concatenate([lines, *(Q.describe([t]).features for t in forms)]).mean(axis=0, dtype=float))
+
+
+def test_sums_are_those_of_the_responsibilities(model):
+    lines = Q.describe([t for forms in EXAMPLES.values() for t in forms]).features
+    x = (lines - model.shift) / model.scale
+    r = model.responsibilities(x)
+    assert np.allclose(model.sums(lines), r.T @ np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1))
