@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstat.functions.fixed import PREAMBLE
+from loomstat.functions.fixed import CHARS_PER_TOKEN, PREAMBLE
 from loomstat.operators import aggregation, chunking, flatten, scoring, transcripts
+from loomstat.plans.config import ExperimentSettings
 from loomstat.queries import base
 from loomstat.queries.registry import query
 from loomstat.sources.tables import table
 
 _T, _R = f"WITH {base.TRANSCRIPT} ", f"WITH {base.RENDERED} "
+_MOST = int(ExperimentSettings().max_transcript_tokens * CHARS_PER_TOKEN)
 _SCORE = "(('0x' || substr(md5({p}), 1, 6))::INT % 101)::DOUBLE"
 
 
@@ -165,6 +167,16 @@ def whole_prompts(spark, folder):
     return told.select("run_id", F.md5("prompt").alias("digest"), "error")
 
 
+@query(
+    f"""WITH {base.RENDERED}, s AS (SELECT run_id, sum(length(text) + 2) AS n, '<transcript_chunk>' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY pos) || chr(10) || '</transcript_chunk>' AS p FROM rendered GROUP BY run_id)
+SELECT run_id, CASE WHEN n <= {_MOST} THEN md5(p) END AS digest, CASE WHEN n > {_MOST} THEN 'TranscriptTooLargeError' END AS error FROM s"""
+)
+def whole_prompts_default(spark, folder):
+    """At the default limit of the settings; ``whole_prompts`` has a small one, to refuse some."""
+    told = chunking.whole_prompts(base.transcript(spark, folder), _MOST)
+    return told.select("run_id", F.md5("prompt").alias("digest"), "error")
+
+
 @query(
     f"""WITH {_PROMPTS}, s AS (SELECT run_id, chunk_index, {_SCORE.format(p="prompt")} AS score FROM prompts)
 SELECT run_id, max(score) AS score, arg_max(chunk_index, score * 1000000 - chunk_index) AS top_chunk, count(*) AS n_chunks FROM s GROUP BY run_id"""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstat.operators import aggregation, chunking, flatten, scoring, transcripts
+from loomstat.queries import QUERIES
 
 
 def sequential_flatten(rows):
@@ -190,3 +191,19 @@ def test_cache_scores_each_call_once(spark):
     scored, _ = scoring.cached(told.select("run_id", "key", "prompt"), old, scoring.batch_scorer(judge, 99))
     rows = {r.run_id: r.score for r in scored.collect()}
     assert rows == {1: 1.0, 2: 1.0, 3: 1.0, 4: 9.0} and calls.value == 2
+
+
+def test_whole_prompts_refuse_by_the_limit_only(spark):
+    rows = [(1, 0, "user", None, "a" * 30_000, None), (2, 0, "user", None, "short", None), (2, 1, "assistant", None, "too", None)]
+    schema = "run_id long, pos int, role string, name string, content string, function_call struct<name:string,arguments:string>"
+    told = spark.createDataFrame(rows, schema)
+    small, large = ({r.run_id: r for r in chunking.whole_prompts(told, most).collect()} for most in (20_000, 1_540_000))
+    assert small[1].prompt is None and small[1].error == "TranscriptTooLargeError" and small[2].error is None
+    assert "a" * 30_000 in large[1].prompt and large[1].error is None and large[2].prompt == small[2].prompt
+
+
+def test_whole_prompts_default_builds_the_long_runs(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r.run_id: r for r in QUERIES["whole_prompts_default"](spark, folder).collect()}
+    long = {r.run_id for r in QUERIES["run_lengths"](spark, folder).where("n_characters > 20000").collect()}
+    assert long and all(got[k].digest and got[k].error is None for k in long)
