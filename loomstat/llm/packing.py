@@ -5,7 +5,7 @@ pieces and a rest; nothing else is divided. Only (key, piece, size) rows are shu
 blocks of about ``BLOCK`` rows by a hash of key and piece, so blocks don't depend on the file layout.
 A block is packed by itself in one pass over its items from large to small: each goes
 into the open bin that it fills best, found by a bit mask over the space left; where none
-fits, the permitted capacity of least cost is opened. Finally every bin is brought down to the
+fits, the permitted capacity of least cost is opened, by the fill that the sizes still to come allow. Finally every bin is brought down to the
 smallest permitted capacity that holds its contents. A block wastes about one bin, far
 under a percent of what it holds.
 """
@@ -43,14 +43,19 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], bin_cost: int = BI
     bins = np.empty(len(sizes), np.int64)
     used: list[int] = []
     space: list[list[int]] = [[] for _ in range(caps[-1] + 1)]
-    mask, left, least = 0, int(sum(sizes)), int(min((s for s in sizes if s), default=0))
+    mask = 0
+    # the sizes still to come: how many of each, and a bit for each
+    to_come = np.bincount(np.asarray(sizes, np.int64), minlength=1).tolist() if len(sizes) else [0]
+    sizes_left = sum(1 << v for v, n in enumerate(to_come) if v and n)
     for k, size in enumerate(sizes):
         if size == 0:
             bins[k] = 0
             if not used:
                 used.append(0)
             continue
-        left -= size
+        to_come[size] -= 1
+        if not to_come[size]:
+            sizes_left &= ~(1 << size)
         fits = mask >> size
         if fits:
             room = size + ((fits & -fits).bit_length() - 1)
@@ -59,7 +64,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], bin_cost: int = BI
                 mask &= ~(1 << room)
             room -= size
         else:
-            room, b = _open(size, caps, left, least, bin_cost) - size, len(used)
+            room, b = _open(size, caps, to_come, sizes_left, bin_cost) - size, len(used)
             used.append(0)
         used[b] += size
         bins[k] = b
@@ -70,15 +75,26 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], bin_cost: int = BI
     return bins, np.asarray(caps)[at]
 
 
-def _open(size: int, caps: Sequence[int], left: int, least: int, bin_cost: int) -> int:
-    """The capacity to open for an item: least cost per token that it will hold."""
+def _open(size: int, caps: Sequence[int], to_come: Sequence[int], sizes_left: int, bin_cost: int) -> int:
+    """The capacity to open for an item: least cost per token that it will hold.
 
-    def cost(cap: int) -> float:
-        spare = cap - size
-        filled = min(spare, left) if least <= spare else 0
-        return (cap + bin_cost) / (size + filled)
+    What it will hold besides is told by the sizes still to come, the largest that fits first. The
+    cost is that of the smallest capacity for it, as the bin is brought down to that in the end.
+    """
+    able = [c for c in caps if c >= size]
+    if len(able) == 1:
+        return able[0]
 
-    return min((c for c in caps if c >= size), key=lambda c: (cost(c), -c))
+    def cost(cap: int) -> float:
+        spare = most = cap - size
+        while fits := sizes_left & ((1 << (min(spare, most) + 1)) - 1):
+            v = fits.bit_length() - 1
+            spare -= v * min(to_come[v], spare // v)
+            most = v - 1
+        held = cap - spare
+        return (next(c for c in able if c >= held) + bin_cost) / held
+
+    return min(able, key=lambda c: (cost(c), -c))
 
 
 def sized_pieces(

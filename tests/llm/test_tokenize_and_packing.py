@@ -112,3 +112,11 @@ def test_a_task_with_many_rows_packs_in_blocks(spark):
     pieces = spark.range(5_000).select(F.lit(1).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_token"), (F.col("id") % 900).cast("int").alias("n_tokens"))
     got = packing.pack(pieces, 5_000, block=500).toPandas()
     assert len(got) == 5_000 and (got.groupby("container").n_tokens.sum() <= 2_048).all()
+
+
+def test_a_smaller_capacity_wins_where_the_largest_would_stay_empty():
+    bins, capacity = packing.best_fit([250] * 100, (256, 700))
+    assert capacity.tolist() == [256] * 100 and sorted(bins) == list(range(100))
+    # small sizes to come fill the largest one
+    bins, capacity = packing.best_fit([250] * 20 + [40] * 100, (256, 700))
+    assert set(capacity.tolist()) == {700} and capacity.sum() <= 9_000 + 700
