@@ -15,7 +15,7 @@ Two kinds of evidence are combined per source:
 
 The weights of the forms of ending among finished and cut texts are not known; they are found by
 expectation-maximization, per source, on a histogram of the evidence. All counts are
-over all rows; only per-source histograms of bounded size meet in one task.
+over all rows; only per-source histograms meet in one task, of lengths a row for each distinct one.
 """
 
 from __future__ import annotations
@@ -170,6 +170,15 @@ def fit_lengths(length: np.ndarray, n: np.ndarray, limits: Sequence[int], rounds
     return mean, dev
 
 
+def _near(length: np.ndarray, n: np.ndarray, found: Sequence[int]) -> np.ndarray:
+    """Texts per length around each of the sorted ``length``, those at it and at ``found`` aside."""
+    n = np.where(np.isin(length, found), 0.0, n)
+    sums = np.concatenate([[0.0], np.cumsum(n)])
+    reach = np.maximum(4, length // 20)
+    low, high = np.searchsorted(length, length - reach), np.searchsorted(length, length + reach, side="right")
+    return (sums[high] - sums[low] - n) / (2 * reach)
+
+
 def _mass(mean: float, dev: float, low: float, high: float) -> float:
     at = lambda v: 0.5 * math.erfc(-(math.log(max(v, 0.5)) - mean) / dev / math.sqrt(2))
     return max(1e-12, at(high) - at(low))
@@ -182,8 +191,9 @@ def candidate_limits(length: np.ndarray, n: np.ndarray) -> list[tuple[int, float
     found: list[int] = []
     for _ in range(5):
         mean, dev = fit_lengths(length, n, found)
-        near = np.array([n[(np.abs(length - v) <= max(4, v // 20)) & (length != v) & ~np.isin(length, found)].sum() / (2 * max(4, v // 20)) for v in length])
-        fit = np.array([n.sum() * _mass(mean, dev, v - 0.5, v + 0.5) for v in length])
+        near = _near(length, n, found)
+        total = n.sum()
+        fit = np.array([total * _mass(mean, dev, v - 0.5, v + 0.5) for v in length])
         odd = (n > SPIKE * np.maximum(near, np.minimum(fit, near + 1))) & (n >= np.maximum(LEAST, 0.004 * n.sum())) & ~np.isin(length, found) & (length >= 16)
         if not odd.any():
             break
@@ -197,14 +207,9 @@ def candidate_limits(length: np.ndarray, n: np.ndarray) -> list[tuple[int, float
 
 
 def limits(ends: DataFrame) -> DataFrame:
-    """``source, unit, length, censored``: the candidate limits. One small histogram per source and unit.
-
-    Lengths over 4,096 are counted in steps of a thousandth, which bounds a histogram.
-    """
+    """``source, unit, length, censored``: the candidate limits. One histogram per source and unit, a row for each distinct length."""
     both = F.expr("stack(2, 'chars', cast(n_chars as long), 'bytes', cast(n_bytes as long)) as (unit, length)")
-    rows = ends.select("source", both)
-    step = F.when(F.col("length") <= 4096, 1).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("length")) - 10)).cast("long")
-    hist = rows.select("source", "unit", (F.floor(F.col("length") / step) * step).alias("length")).groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
+    hist = ends.select("source", both).groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         got = candidate_limits(pdf["length"].to_numpy(), pdf["n"].to_numpy())

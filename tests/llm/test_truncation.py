@@ -81,3 +81,12 @@ def test_rates(spark):
         want = sum(1 for k in cut if rows[k][1] == model) / 500
         assert r.share_cut == pytest.approx(want, abs=0.02) and r.n_cut == round(r.share_cut * r.n_reasonings)
     assert T.cut_completions(df).agg(F.countDistinct("completion_id")).first()[0] == sum(r.n_cut for r in got.values())
+
+
+def test_limits_of_long_texts_are_exact(spark):
+    rng = np.random.default_rng(1)
+    x = rng.lognormal(8.6, 0.5, 6_000).astype(int)
+    rows = [("a", int(min(v, 4_999)), 1) for v in x] + [("b", 1, int(min(v, 8_191))) for v in x * 2] + [("c", int(v), int(v)) for v in x * 4]
+    df = spark.createDataFrame(rows, "source string, n_chars long, n_bytes long")
+    got = {(r.source, r.unit, r.length): r.censored for r in T.limits(df).collect() if r.length > 16}
+    assert set(got) == {("a", "chars", 4_999), ("b", "bytes", 8_191)} and min(got.values()) > 0.9
