@@ -46,8 +46,6 @@ ITEM = r"(?:^|\n)[ \t]*(?:[-*•]|\d+[.)])[ \t][^\n]*$"
 GOES_ON = (",", ";", ":", "—", "–", "-", "(", "，", "；", "、")
 #: A form of ending without a stop is one of finished texts if it has this share of them at least.
 LEAST_FORM = 0.003
-#: No source is expected to cut a larger share of its texts.
-MOST_CUT = 0.5
 #: Weight of the shorter context where the longer was seldom seen.
 BACK = 2.0
 #: A length that is a candidate limit has so many times the texts that are expected, and this many at least.
@@ -185,11 +183,11 @@ def _mass(mean: float, dev: float, low: float, high: float) -> float:
 
 
 def candidate_limits(length: np.ndarray, n: np.ndarray) -> list[tuple[int, float]]:
-    """Candidate limits of one source with the censoring posterior at each, at most five."""
+    """Candidate limits of one source with the censoring posterior at each, until no length is odd."""
     order = np.argsort(length)
     length, n = length[order], n[order].astype(float)
     found: list[int] = []
-    for _ in range(5):
+    while True:
         mean, dev = fit_lengths(length, n, found)
         near = _near(length, n, found)
         total = n.sum()
@@ -260,11 +258,11 @@ def evidence(ends: DataFrame) -> DataFrame:
     short = (zero("w_end") + 0.01 * BACK) / (zero("w_pre") + BACK)
     share = (zero("n_end") + BACK * short) / (zero("n_pre") + BACK)
     anywhere = (zero("n_pre") + BACK * zero("w_pre") / places + 0.05) / places
-    # recurring endings: what is beyond the number that cuts would leave, with a wide margin; the text itself doesn't count
-    expected = MOST_CUT * F.col("n_texts") * anywhere
+    # recurring endings: what is beyond the number that cuts would leave if every text were cut, with a wide margin; the text itself doesn't count
+    expected = F.col("n_texts") * anywhere
     beyond = lambda seen, by_chance: F.greatest(F.lit(0.0), F.col(seen) - 1 - (by_chance + 3 * F.sqrt(by_chance) + 2))
     own = beyond("n_key", expected) / F.col("n_texts")
-    by_all = beyond("n_key_all", MOST_CUT * F.col("n_texts_all") * anywhere) / F.col("n_texts_all")
+    by_all = beyond("n_key_all", F.col("n_texts_all") * anywhere) / F.col("n_texts_all")
     scored = joined.select(
         "source", "form", "before", "last",
         F.least(F.lit(1e4), F.greatest(F.lit(1e-6), share * places / stops)).alias("ratio"),
@@ -308,7 +306,7 @@ def _weights(hist: pd.DataFrame) -> pd.DataFrame:
         fin = np.bincount(f, weights=n * (1 - post) * own, minlength=len(forms))
         fin = np.maximum(fin - np.where(stops, 0.0, np.maximum(3.0, LEAST_FORM * n.sum())), 0.01)
         cut, fin = cut / cut.sum(), fin / fin.sum()
-        share = float(np.clip((n * post)[plain].sum() / max(n[plain].sum(), 1), 1e-4, 0.5))
+        share = float(np.clip((n * post)[plain].sum() / max(n[plain].sum(), 1), 1e-4, 1 - 1e-4))
     return pd.DataFrame({"source": hist["source"].iloc[0], "form": forms, "w_finished": fin, "w_cut": cut, "share": share})
 
 

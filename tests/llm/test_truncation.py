@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,18 @@ def test_limits_of_long_texts_are_exact(spark):
     df = spark.createDataFrame(rows, "source string, n_chars long, n_bytes long")
     got = {(r.source, r.unit, r.length): r.censored for r in T.limits(df).collect() if r.length > 16}
     assert set(got) == {("a", "chars", 4_999), ("b", "bytes", 8_191)} and min(got.values()) > 0.9
+
+
+def test_more_than_five_limits():
+    x = np.random.default_rng(2).lognormal(6, 0.6, 40_000).astype(int)
+    limits = [150, 220, 300, 390, 500, 640, 800]
+    for k, v in enumerate(limits):
+        x[k::20] = np.minimum(x[k::20], v)
+    assert sorted(v for v, _ in T.candidate_limits(*np.unique(x, return_counts=True))) == limits
+
+
+def test_a_source_may_cut_most_of_its_texts():
+    hist = pd.DataFrame(
+        {"source": "a", "form": ["", "."], "log_ratio": [-5.0, 2.0], "log_manner": -99.0, "censored": np.nan, "n": [850, 150]}
+    )
+    assert T._weights(hist).share.iloc[0] > 0.75
