@@ -12,10 +12,14 @@ Two kinds of evidence are combined per source:
   there, and how often is it, or the beginning of a longer token, found anywhere. A cut
   falls anywhere, an end only where sentences end. Endings that recur far more often than
   cuts explain are a manner of the source.
+* What the writer said of the end (``finish_reason``), if a column of it is named: noisy, so its shares
+  among finished and cut texts are found per source like those of the forms.
 
 The weights of the forms of ending among finished and cut texts are not known; they are found by
 expectation-maximization, per source, on a histogram of the evidence. All counts are
 over all rows; only per-source histograms meet in one task, of lengths a row for each distinct one.
+A run without blanks longer than ``TOKEN_CHARACTERS`` is several tokens, so that the beginnings of tokens stay few
+however long an unbroken text is.
 """
 
 from __future__ import annotations
@@ -29,19 +33,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.functions.text import SPACE_CLASS
+from loomstat.functions.text import SPACE_CLASS, SPACES, strip
 from loomstat.session import checkpoint_dir
 
 # What a cut may leave behind at the end of a text.
 MARKS = r"(?:\.\.\.|…|[\[<(]\s?(?:truncated|cut|snip|snipped|cut off|continued|more|\.\.\.|…)\s?[\]>)]|�)"
 HAN_TAIL = "，。；：！？、）》」』”’…"
+#: Longer runs without blanks are taken in pieces of so many characters.
+TOKEN_CHARACTERS = 64
 #: A Han character with the punctuation behind it, or a run without blanks.
-TOKEN = rf"\p{{IsHan}}[{HAN_TAIL}]*|[^{SPACE_CLASS}\p{{IsHan}}]+"
+TOKEN = rf"\p{{IsHan}}[{HAN_TAIL}]{{0,{TOKEN_CHARACTERS}}}|[^{SPACE_CLASS}\p{{IsHan}}]{{1,{TOKEN_CHARACTERS}}}"
+#: Characters at the end in which the mark of a cut is looked for.
+MARK_REACH = 1_000
 #: What ends a sentence, with closing quotes and brackets.
 STOP = r"[.!?。！？][\"')\]”’」』）]*$"
 START = r"^[\p{Lu}\p{IsHan}\p{N}\"'`(\[“‘]"
 #: A last line that is an item of a list.
-ITEM = r"(?:^|\n)[ \t]*(?:[-*•]|\d+[.)])[ \t][^\n]*$"
+ITEM = r"^[ \t]*(?:[-*•]|\d+[.)])[ \t]"
 #: Punctuation after which a text goes on.
 GOES_ON = (",", ";", ":", "—", "–", "-", "(", "，", "；", "、")
 #: A form of ending without a stop is one of finished texts if it has this share of them at least.
@@ -51,46 +59,51 @@ BACK = 2.0
 #: A length that is a candidate limit has so many times the texts that are expected, and this many at least.
 SPIKE, LEAST = 5.0, 12
 ROUNDS = 40
-
-
-def _tail(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE_CLASS}]+$", "")
+#: Texts that a source's reasons are counted with besides its own, in the shares of all its texts.
+REASON_PRIOR = 20.0
+#: Frames with a row per source are broadcast up to so many sources; beyond, they are joined by a shuffle.
+FEW_SOURCES = 10_000
 
 
 def _alike(text: Column) -> Column:
     """File names between backticks and numbers made alike: one or two digits become 0, more 00."""
-    named = F.regexp_replace(text, "`[^`\\s]*`", "`p`")
+    named = F.regexp_replace(text, "`[^`\\s]*+`", "`p`")
     return F.regexp_replace(F.regexp_replace(named, "[0-9]{3,}", "00"), "(?<![0-9])[0-9]{1,2}(?![0-9])", "0")
 
 
-def endings(texts: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """``key, source, tokens, last, before, form, n_chars, n_bytes`` of each non-blank text.
+def endings(texts: DataFrame, key: str, source: str, text: str, reason: str | None = None) -> DataFrame:
+    """``key, source, reason, tokens, last, before, form, n_chars, n_bytes`` of each non-blank text.
 
     File names between backticks and numbers are made alike. ``last`` is the last token without the
     punctuation at its end, lower case; ``form`` is that punctuation, the mark of a cut, '{' where
-    a bracket, quote or backtick is left open, and '-' in front where the last line is an item. NULL sources form one source, ''.
+    a bracket, quote or backtick is left open, and '-' in front where the last line is an item. NULL sources
+    form one source, ''; so do NULL reasons, which are lower case without outer blanks.
     """
-    t = F.col("t")
-    rows = texts.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("raw"))
-    rows = rows.where(F.length(_tail(F.col("raw"))) > 0)
-    rows = rows.select("*", _alike(_tail(F.col("raw"))).alias("t"))
-    rows = rows.select("*", F.regexp_extract("t", f"(?i)[{SPACE_CLASS}]*({MARKS})+$", 0).alias("mark"))
-    rows = rows.select("*", F.expr("left(t, length(t) - length(mark))").alias("base"))
-    rows = rows.select("*", F.regexp_extract_all("base", F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    open_ = (
-        (count("`") % 2 == 1) | (count('"') % 2 == 1) | (count("[(（]") > count("[)）]")) | (count("\\[") > count("\\]")) | (count("“") > count("”"))
+    said = F.lower(strip(F.coalesce(F.col(reason), F.lit("")))) if reason else F.lit("")
+    rows = texts.select(
+        F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("source"), said.alias("reason"), F.col(text).alias("raw"),
+        F.rtrim(F.col(text), F.lit(SPACES)).alias("t"),
     )
+    rows = rows.where(F.length("t") > 0).withColumn("t", _alike(F.col("t")))
+    tail = F.right("t", F.lit(MARK_REACH))
+    rows = rows.withColumn("mark", F.regexp_extract(tail, f"(?i)[{SPACE_CLASS}]*({MARKS})+$", 0))
+    rows = rows.withColumn("base", F.expr("left(t, length(t) - length(mark))"))
+    # one pass over the text leaves only what opens and closes
+    rows = rows.withColumn("pairs", F.regexp_replace("t", "[^`\"(（)）\\[\\]“”]+", ""))
+    rows = rows.withColumn("tokens", F.regexp_extract_all("base", F.lit(TOKEN), F.lit(0)))
+    count = lambda x: F.length("pairs") - F.length(F.translate("pairs", x, ""))
+    open_ = (count("`") % 2 == 1) | (count('"') % 2 == 1) | (count("(（") > count(")）")) | (count("[") > count("]")) | (count("“") > count("”"))
     final = F.coalesce(F.try_element_at("tokens", F.lit(-1)), F.lit(""))
     rows = rows.select("*", final.alias("final"), open_.alias("open"))
     return rows.select(
         "key",
         "source",
+        "reason",
         "tokens",
         F.lower(core(F.col("final"))).alias("last"),
         F.lower(F.coalesce(F.try_element_at("tokens", F.lit(-2)), F.lit("^"))).alias("before"),
         F.concat(
-            F.when(F.col("base").rlike(ITEM), "-").otherwise(""),
+            F.when(F.substring_index("base", "\n", -1).rlike(ITEM), "-").otherwise(""),
             F.right(punctuation(F.col("final")), F.lit(4)),
             F.when(F.col("mark") != "", F.concat(F.lit("|"), F.lower(F.trim("mark")))).otherwise(""),
             F.when(F.col("open"), "{").otherwise(""),
@@ -221,15 +234,20 @@ def limits(ends: DataFrame) -> DataFrame:
 # evidence
 
 
+def _by_source(df: DataFrame, told: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Joins a frame with one row per source; it is broadcast where the sources were counted and are few."""
+    return df.join(F.broadcast(told) if few else told, "source", how)
+
+
 def evidence(ends: DataFrame) -> DataFrame:
-    """Per text ``form``, ``ratio`` (end against anywhere, from the insides), ``manner`` (recurring endings) and ``censored``.
+    """Per text ``reason``, ``form``, ``ratio`` (end against anywhere, from the insides), ``manner`` (recurring endings) and ``censored``.
 
     ``ratio`` is P(context | finished) / P(context | cut), ``manner`` what recurring endings add to it; both natural
     numbers, not logs. ``censored`` is NULL away from limits.
     """
+    few = ends.select("source").distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     manner = sentence_manner(ends)
-    pairs = inside_counts(ends).join(manner, "source")
-    pairs = pairs.select(
+    pairs = _by_source(inside_counts(ends), manner, few).select(
         "source", "before", "word", F.col("n").alias("n_all"),
         F.when(F.col("stopped"), F.col("n_stop")).otherwise(F.col("n_part")).alias("n_end"),
     ).checkpoint()  # read five times below
@@ -241,7 +259,8 @@ def evidence(ends: DataFrame) -> DataFrame:
     totals = pairs.groupBy("source").agg(
         F.sum(F.col("n_all") * (F.length("word") + 1)).cast("double").alias("places"), F.sum("n_end").cast("double").alias("stops")
     )
-    keys = ends.groupBy("source", "form", "before", "last").agg(F.count(F.lit(1)).alias("n_key")).join(manner, "source")
+    keys = ends.groupBy("source", "form", "before", "last").agg(F.count(F.lit(1)).alias("n_key"))
+    keys = _by_source(keys, manner, few)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     # sources of the same manner lend each other their recurring endings
     every = keys.groupBy("stopped", "form", "before", "last").agg(F.sum("n_key").alias("n_key_all"))
@@ -252,8 +271,8 @@ def evidence(ends: DataFrame) -> DataFrame:
         .join(parts, ["source", "before", "last"], "left")
         .join(word_ended, ["source", "last"], "left")
         .join(word_parts, ["source", "last"], "left")
-        .join(totals, "source", "left")
     )
+    joined = _by_source(joined, totals, few, "left")
     places, stops = F.greatest(zero("places"), F.lit(1.0)), F.greatest(zero("stops"), F.lit(1.0))
     short = (zero("w_end") + 0.01 * BACK) / (zero("w_pre") + BACK)
     share = (zero("n_end") + BACK * short) / (zero("n_pre") + BACK)
@@ -268,21 +287,18 @@ def evidence(ends: DataFrame) -> DataFrame:
         F.least(F.lit(1e4), F.greatest(F.lit(1e-6), share * places / stops)).alias("ratio"),
         F.least(F.lit(1e6), F.greatest(own, by_all / 2) / anywhere).alias("manner"),
     )
-    at = limits(ends)
-    by_chars = at.where("unit = 'chars'").select("source", F.col("length").alias("c_length"), F.col("censored").alias("c_censored"))
-    by_bytes = at.where("unit = 'bytes'").select("source", F.col("length").alias("b_length"), F.col("censored").alias("b_censored"))
-    texts = ends.select("key", "source", "form", "before", "last", "n_chars", "n_bytes")
-    texts = texts.join(by_chars.groupBy("source").agg(F.collect_list(F.struct("c_length", "c_censored")).alias("c")), "source", "left")
-    texts = texts.join(by_bytes.groupBy("source").agg(F.collect_list(F.struct("b_length", "b_censored")).alias("b")), "source", "left")
-    hit_c = F.array_max(F.transform(F.filter("c", lambda x: x["c_length"] == F.col("n_chars")), lambda x: x["c_censored"]))
-    hit_b = F.array_max(F.transform(F.filter("b", lambda x: x["b_length"] == F.col("n_bytes")), lambda x: x["b_censored"]))
-    texts = texts.select("key", "source", "form", "before", "last", F.greatest(hit_c, hit_b).alias("censored"))
+    at = limits(ends).groupBy("source").agg(F.collect_list(F.struct("unit", "length", "censored")).alias("limits"))
+    texts = _by_source(ends.select("key", "source", "reason", "form", "before", "last", "n_chars", "n_bytes"), at, few, "left")
+    size = lambda x: F.when(x["unit"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes"))
+    hit = F.array_max(F.transform(F.filter("limits", lambda x: x["length"] == size(x)), lambda x: x["censored"]))
+    texts = texts.select("key", "source", "reason", "form", "before", "last", hit.alias("censored"))
     return texts.join(scored, ["source", "form", "before", "last"])
 
 
 def _weights(hist: pd.DataFrame) -> pd.DataFrame:
-    """The weight of each form among finished and cut texts of one source, by expectation-maximization."""
-    forms = sorted(hist["form"].unique())
+    """The weight of each form and reason among finished and cut texts of one source, by expectation-maximization."""
+    forms, reasons = sorted(hist["form"].unique()), sorted(hist["reason"].unique())
+    g = hist["reason"].map({x: k for k, x in enumerate(reasons)}).to_numpy()
     f = hist["form"].map({x: k for k, x in enumerate(forms)}).to_numpy()
     n = hist["n"].to_numpy(float)
     a, b = np.exp(hist["log_ratio"].to_numpy()), np.where(hist["log_manner"] > -50, np.exp(hist["log_manner"].to_numpy()), 0.0)
@@ -297,53 +313,68 @@ def _weights(hist: pd.DataFrame) -> pd.DataFrame:
     fin = np.where(marked, 0.3 * fin, np.where(going_on, 0.02 * fin, fin))
     fin, cut = fin / fin.sum(), prior_cut.copy()
     share = 0.05
+    every = np.bincount(g, weights=n, minlength=len(reasons)) / n.sum()
+    said_fin, said_cut = every.copy(), every.copy()
     for _ in range(ROUNDS):
         prior = np.where(plain, share, np.nan_to_num(censored, nan=share))
-        c, d = prior * cut[f], (1 - prior) * (fin[f] * a + b)
+        c, d = prior * cut[f] * said_cut[g], (1 - prior) * (fin[f] * a + b) * said_fin[g]
         post = c / np.maximum(c + d, 1e-300)
         own = np.where(fin[f] * a + b > 0, fin[f] * a / np.maximum(fin[f] * a + b, 1e-300), 1.0)
         cut = np.bincount(f, weights=n * post, minlength=len(forms)) + 5.0 * prior_cut
         fin = np.bincount(f, weights=n * (1 - post) * own, minlength=len(forms))
         fin = np.maximum(fin - np.where(stops, 0.0, np.maximum(3.0, LEAST_FORM * n.sum())), 0.01)
         cut, fin = cut / cut.sum(), fin / fin.sum()
+        said_cut = np.bincount(g, weights=n * post, minlength=len(reasons)) + REASON_PRIOR * every
+        said_fin = np.bincount(g, weights=n * (1 - post), minlength=len(reasons)) + REASON_PRIOR * every
+        said_cut, said_fin = said_cut / said_cut.sum(), said_fin / said_fin.sum()
         share = float(np.clip((n * post)[plain].sum() / max(n[plain].sum(), 1), 1e-4, 1 - 1e-4))
-    return pd.DataFrame({"source": hist["source"].iloc[0], "form": forms, "w_finished": fin, "w_cut": cut, "share": share})
+    k = np.unique(f * len(reasons) + g)
+    f, g = k // len(reasons), k % len(reasons)
+    return pd.DataFrame(
+        {
+            "source": hist["source"].iloc[0], "form": [forms[x] for x in f], "reason": [reasons[x] for x in g],
+            "w_finished": fin[f], "w_cut": cut[f], "said": said_cut[g] / said_fin[g], "share": share,
+        }
+    )
 
 
-def cut_probability(texts: DataFrame, key: str, source: str, text: str) -> DataFrame:
+def cut_probability(texts: DataFrame, key: str, source: str, text: str, reason: str | None = None) -> DataFrame:
     """``key, source, p_cut`` of every text that isn't NULL or blank; one row per row.
 
     ``p_cut`` is the posterior that the text was cut inside a word or sentence. A source with
-    few texts leans on the starting weights. Columns of other names are not looked at.
+    few texts leans on the starting weights. ``reason`` names a column that says why a text ended, NULL
+    where it doesn't. Columns of other names are not looked at.
     """
     checkpoint_dir(texts.sparkSession)
-    ends = endings(texts, key, source, text).checkpoint()  # every count below reads it
+    ends = endings(texts, key, source, text, reason).checkpoint()  # every count below reads it
     told = evidence(ends)
     half = lambda c: F.round(F.ln(c) * 2) / 2
     told = told.select(
         "*", half(F.col("ratio")).alias("log_ratio"), F.coalesce(F.when(F.col("manner") > 0, half(F.col("manner"))), F.lit(-99.0)).alias("log_manner")
     )
-    hist = told.groupBy("source", "form", "log_ratio", "log_manner", F.round("censored", 2).alias("censored")).agg(F.count(F.lit(1)).alias("n"))
-    weights = hist.groupBy("source").applyInPandas(_weights, "source string, form string, w_finished double, w_cut double, share double")
+    hist = told.groupBy("source", "form", "reason", "log_ratio", "log_manner", F.round("censored", 2).alias("censored")).agg(F.count(F.lit(1)).alias("n"))
+    weights = hist.groupBy("source").applyInPandas(
+        _weights, "source string, form string, reason string, w_finished double, w_cut double, said double, share double"
+    )
     prior = F.coalesce("censored", "share")
-    cut = prior * F.col("w_cut")
+    cut = prior * F.col("w_cut") * F.col("said")
     finished = (1 - prior) * (F.col("w_finished") * F.col("ratio") + F.col("manner"))
-    return told.join(weights, ["source", "form"]).select("key", "source", (cut / (cut + finished)).alias("p_cut"))
+    return told.join(weights, ["source", "form", "reason"]).select("key", "source", (cut / (cut + finished)).alias("p_cut"))
 
 
 # What the project's tables ask for
 
 
 def reasonings(completions: DataFrame) -> DataFrame:
-    """``completion_id, model, reasoning``, a repeated completion once (the latest called holds)."""
+    """``completion_id, model, finish_reason, reasoning``, a repeated completion once (the latest called holds)."""
     last = completions.where(F.col("completion_id").isNotNull()).groupBy("completion_id").agg(
-        F.max(F.struct("called_at", "model", F.col("parsed.reasoning").alias("reasoning"))).alias("r")
+        F.max(F.struct("called_at", "model", F.col("parsed.reasoning").alias("reasoning"), "finish_reason")).alias("r")
     )
-    return last.select("completion_id", F.col("r.model").alias("model"), F.col("r.reasoning").alias("reasoning"))
+    return last.select("completion_id", "r.model", "r.finish_reason", "r.reasoning")
 
 
 def judged(completions: DataFrame) -> DataFrame:
-    return cut_probability(reasonings(completions), "completion_id", "model", "reasoning").select(
+    return cut_probability(reasonings(completions), "completion_id", "model", "reasoning", "finish_reason").select(
         F.col("key").alias("completion_id"), F.col("source").alias("model"), "p_cut"
     )
 

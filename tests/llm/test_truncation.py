@@ -73,9 +73,9 @@ def test_nulls_blanks_and_clashes(spark):
 
 def test_rates(spark):
     rows, cut = corpus(9, 1_500)
-    schema = "completion_id long, model string, parsed struct<reasoning:string,score:int>, called_at timestamp"
-    told = [(k, s, (t, 1), None) for k, s, t, _, _ in rows]
-    df = spark.createDataFrame(told + told[:20] + [(9_000, "marks", None, None), (9_001, "marks", ("", 1), None)], schema)
+    schema = "completion_id long, model string, finish_reason string, parsed struct<reasoning:string,score:int>, called_at timestamp"
+    told = [(k, s, None, (t, 1), None) for k, s, t, _, _ in rows]
+    df = spark.createDataFrame(told + told[:20] + [(9_000, "marks", "length", None, None), (9_001, "marks", None, ("", 1), None)], schema)
     got = {r.model: r for r in T.cut_rates(df).collect()}
     assert sum(r.n_reasonings for r in got.values()) == 1_500
     for model, r in got.items():
@@ -103,6 +103,20 @@ def test_more_than_five_limits():
 
 def test_a_source_may_cut_most_of_its_texts():
     hist = pd.DataFrame(
-        {"source": "a", "form": ["", "."], "log_ratio": [-5.0, 2.0], "log_manner": -99.0, "censored": np.nan, "n": [850, 150]}
+        {"source": "a", "form": ["", "."], "log_ratio": [-5.0, 2.0], "reason": "", "log_manner": -99.0, "censored": np.nan, "n": [850, 150]}
     )
     assert T._weights(hist).share.iloc[0] > 0.75
+
+
+def test_a_long_unbroken_text(spark):
+    rows = [(k, "a", f"The worker {v} the {n}.", "f", 1) for k, (v, n) in enumerate((v, n) for v in VERBS for n in NOUNS)]
+    rows += [(1_000, "a", "The planner said " + "q9Zx+" * 200_000 + " at the end.", "f", 1), (1_001, "a", "x" * 1_000_000, "f", 1), (1_002, "a", " " * 300_000 + "The worker opened the re", "f", 1)]
+    got = {r.key: r.p_cut for r in T.cut_probability(spark.createDataFrame(rows, SCHEMA), "id", "source", "text").collect()}
+    assert len(got) == len(rows) and all(0 <= p <= 1 for p in got.values()) and got[0] < 0.5
+
+
+def test_reasons_count_where_they_tell_something():
+    n = [900, 50, 50]
+    hist = pd.DataFrame({"source": "a", "form": [".", "", ""], "reason": ["stop", "length", "stop"], "log_ratio": [2.0, -3.0, -3.0], "log_manner": -99.0, "censored": np.nan, "n": n})
+    got = T._weights(hist).set_index(["form", "reason"]).said
+    assert got["", "length"] > 1.5 and got["", "stop"] < 1 and got["", "stop"] == got[".", "stop"]
