@@ -7,11 +7,12 @@
 2. Flight phases move the probabilities to 0 or 1 while every category's expected count stays
    the same. They run per block of at most ``BLOCK`` runs of a wave; of each block no more runs
    stay unresolved than there are constraints. Those merge upward into blocks again, until
-   a wave is one block.
+   a wave is one block. How a wave is cut into blocks follows from its own runs and categories alone.
 3. Landing resolves the remainder: constraints are given up one by one, largest categories first and
    the sample size last.
 
-The report sets what was wanted against what is there and what was drawn.
+The report sets what was wanted against what is there, what was expected and what was drawn, and says why a
+category was not met.
 """
 
 from __future__ import annotations
@@ -185,12 +186,11 @@ def resolve(pdf: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
     return pdf.assign(p=p)
 
 
-def balanced_sample(runs: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """The drawn runs: ``wave, run_id``; the same for the same data and ``seed``.
+def drawing_units(runs: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``wave, run_id, cell, p, blocks, fan``: every run in a target category with its drawing probability.
 
-    A run counts by its latest row; a run without source or labels is never drawn, nor is one in no
-    target category. Where the targets, the minimum rows and the size can't all hold, minimum
-    rows come first, then the size, then the shares. Empty tables give an empty sample.
+    ``blocks`` is in how many blocks the wave starts, ``fan`` how many of them merge into one. ``p`` is 0
+    where the run can't be drawn. Waves without targets have no rows.
     """
     wanted = prepared_targets(targets)
     member = run_categories(runs, wanted)
@@ -199,7 +199,7 @@ def balanced_sample(runs: DataFrame, targets: DataFrame, seed: int = 0, block: i
 
     def fit(_: tuple, cell: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
         if cell.empty or target.empty:
-            kinds = {"wave": "int32", "cell": "object", "p": "float64"}
+            kinds = {"wave": "int32", "cell": "object", "p": "float64", "blocks": "int64", "fan": "int64"}
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
         cell = cell.sort_values("cell").reset_index(drop=True)
         one = target.groupby("category", as_index=False).agg(
@@ -212,64 +212,94 @@ def balanced_sample(runs: DataFrame, targets: DataFrame, seed: int = 0, block: i
         size = int(pd.to_numeric(target["sample_size"]).fillna(0).max())
         counts = whole_targets(one["want"].to_numpy(float), floor, rules @ n, size)
         p = cell_probabilities(rules > 0, n, counts, min(size, n.sum()))
-        return pd.DataFrame({"wave": cell["wave"], "cell": cell["cell"], "p": p})
+        # of a block as many runs may stay open as there are rules
+        open_ = len(names) + 1
+        held = max(block, 4 * open_)
+        return pd.DataFrame(
+            {"wave": cell["wave"], "cell": cell["cell"], "p": np.where(p > TINY, p, 0.0), "blocks": math.ceil(n.sum() / held), "fan": max(2, held // open_)}
+        )
 
     small = wanted.select("wave", "category", "want", "min_rows", "sample_size")
-    chance = cells.groupBy("wave").cogroup(small.groupBy("wave")).applyInPandas(fit, "wave int, cell string, p double")
-    units = unit.join(chance, ["wave", "cell"]).where(f"p > {TINY}")
-    # one number each: how many runs the largest wave has, and categories
-    top = units.groupBy("wave").count().agg(F.max("count")).first()[0] or 0
-    if top <= block:
-        done = units.withColumn("block", F.lit(0))
-        done = _round(done, seed, last=True)
-        return done.where("p > 0.5").select("wave", "run_id")
-    rules = (small.groupBy("wave").count().agg(F.max("count")).first()[0] or 0) + 1
-    block = max(block, 4 * rules)
-    checkpoint_dir(units.sparkSession)
-    count, resolved = math.ceil(top / block), []
-    todo = units.withColumn("block", F.pmod(F.xxhash64("run_id"), F.lit(count)).cast("int"))
-    while True:
-        last = count == 1
-        flown = _round(todo, seed, last).checkpoint()
+    chance = cells.groupBy("wave").cogroup(small.groupBy("wave")).applyInPandas(
+        fit, "wave int, cell string, p double, blocks long, fan long"
+    )
+    return unit.join(chance, ["wave", "cell"])
+
+
+def drawn(units: DataFrame, seed: int = 0) -> DataFrame:
+    """``wave, run_id`` of the drawn among ``drawing_units``: flights, merges upward and the landing.
+
+    A wave lands in the round in which it is one block; its sample doesn't depend on other waves.
+    """
+    top = units.agg(F.max("blocks"), F.min("fan")).first()  # two numbers: how often the largest wave merges
+    rounds, left = 1, top[0] or 1
+    while left > 1:
+        rounds, left = rounds + 1, math.ceil(left / top[1])
+    start = F.pmod(F.xxhash64("run_id"), F.col("blocks"))
+    todo, resolved = units.where("p > 0").withColumn("block", start), []
+    for k in range(rounds):
+        flown = _round(todo, seed)
+        if k + 1 < rounds:
+            flown = flown.checkpoint()  # read twice: for what is resolved and what is open
         resolved.append(flown.where(f"p > {1 - TINY}").select("wave", "run_id"))
-        if last:
-            break
-        count = math.ceil(count / max(2, block // rules))
-        todo = flown.where(f"p > {TINY} AND p < {1 - TINY}").withColumn("block", F.pmod("block", F.lit(count)))
+        merged = F.ceil(F.col("blocks") / F.col("fan"))
+        todo = flown.where(f"p > {TINY} AND p < {1 - TINY}").withColumn("blocks", merged).withColumn("block", F.pmod("block", merged))
     out = resolved[0]
     for more in resolved[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _round(units: DataFrame, seed: int, last: bool) -> DataFrame:
-    fly = lambda pdf: resolve(pdf, seed, last)
-    kept = units.select("wave", "run_id", "cell", "p", "block")
-    return kept.groupBy("wave", "block").applyInPandas(fly, "wave int, run_id long, cell string, p double, block int")
+def balanced_sample(runs: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """The drawn runs: ``wave, run_id``; the same for the same data and ``seed``.
+
+    A run counts by its latest row; a run without source or labels is never drawn, nor is one in no
+    target category. Where the targets, the minimum rows and the size can't all hold, minimum
+    rows come first, then the size, then the shares. Empty tables give an empty sample.
+    """
+    checkpoint_dir(runs.sparkSession)
+    return drawn(drawing_units(runs, targets, block).checkpoint(), seed)
+
+
+def _round(units: DataFrame, seed: int) -> DataFrame:
+    def fly(pdf: pd.DataFrame) -> pd.DataFrame:
+        return resolve(pdf, seed, bool(pdf["blocks"].iloc[0] == 1))
+
+    kept = units.select("wave", "run_id", "cell", "p", "block", "blocks", "fan")
+    return kept.groupBy("wave", "block").applyInPandas(fly, "wave int, run_id long, cell string, p double, block long, blocks long, fan long")
 
 
 def sample_report(runs: DataFrame, targets: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """One row per target row: what was wanted, what is there and what was drawn.
 
-    ``wave, is_positive, label, run_source, target_pct, min_rows, sample_size, need, available,
-    drawn, residual, feasible``. ``need`` is the larger of ``min_rows`` and ``target_pct`` percent of
-    ``sample_size``, ``residual`` is drawn minus need, and ``feasible`` is false where fewer
-    runs are available than needed.
+    ``wave, is_positive, label, run_source, target_pct, min_rows, sample_size, need, available, expected,
+    drawn, residual, met, reason``. ``need`` is the larger of ``min_rows`` and ``target_pct`` percent of
+    ``sample_size``, ``residual`` is drawn minus need. ``reason`` says why a category was not met: ``too few
+    runs`` are there; ``size``: the sample had no room for it besides what the other categories need; or
+    ``rounding`` in the landing. It is NULL where the need is met.
     """
-    wanted = prepared_targets(targets)
-    member = run_categories(runs, wanted)
-    drawn = balanced_sample(runs, targets, seed, block).withColumn("drawn", F.lit(1))
-    counts = (
-        member.join(drawn, ["wave", "run_id"], "left")
-        .groupBy("wave", "category")
-        .agg(F.countDistinct("run_id").alias("available"), F.count("drawn").alias("drawn"))
+    checkpoint_dir(runs.sparkSession)
+    units = drawing_units(runs, targets, block).checkpoint()  # for the draw and for the counts
+    taken = drawn(units, seed).withColumn("drawn", F.lit(1))
+    # counts per cell, then per category: few rows
+    cells = units.join(taken, ["wave", "run_id"], "left").groupBy("wave", "cell").agg(
+        F.count(F.lit(1)).alias("available"), F.sum("p").alias("expected"), F.count("drawn").alias("drawn")
+    )
+    counts = cells.withColumn("category", F.explode(F.split("cell", "\n"))).groupBy("wave", "category").agg(
+        *(F.sum(c).alias(c) for c in ("available", "expected", "drawn"))
     )
     zero = F.lit(0).cast("long")
-    out = wanted.join(counts, ["wave", "category"], "left").select(
+    out = prepared_targets(targets).join(counts, ["wave", "category"], "left").select(
         "wave", *KEY, "target_pct", "min_rows", "sample_size", "need",
         F.coalesce("available", zero).alias("available"),
+        F.round(F.coalesce("expected", F.lit(0.0)), 6).alias("expected"),
         F.coalesce("drawn", zero).alias("drawn"),
     )
-    return out.withColumn("residual", F.col("drawn") - F.col("need")).withColumn(
-        "feasible", F.col("available") >= F.col("need")
-    )
+    need = F.col("need")
+    reason = F.when(F.col("drawn") < need, F.when(F.col("available") < need, "too few runs").when(F.col("expected") < need - 1e-6, "size").otherwise("rounding"))
+    return out.withColumns({"residual": F.col("drawn") - need, "met": F.col("drawn") >= need, "reason": reason})
+
+
+def unmet_for_lack_of_runs(report: DataFrame) -> DataFrame:
+    """The rows of a report that the drawn sample leaves under their need since the wave has too few runs."""
+    return report.where(F.col("reason") == "too few runs")

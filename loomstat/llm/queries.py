@@ -43,7 +43,7 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     report = balanced.sample_report(table(spark, folder, "runs"), table(spark, folder, "sample_targets"))
-    return report.where(~F.col("feasible")).select("wave", "label", "run_source")
+    return balanced.unmet_for_lack_of_runs(report).select("wave", "label", "run_source")
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +54,16 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     return balanced.balanced_sample(table(spark, folder, "runs"), table(spark, folder, "sample_targets"))
 
 
+def p4_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many runs each wave's sample has, how many of them differ, and how many are no runs of the wave."""
+    runs = table(spark, folder, "runs")
+    sample = balanced.balanced_sample(runs, table(spark, folder, "sample_targets"))
+    known = balanced.latest_runs(runs).select("wave", "run_id", F.lit(1).alias("known"))
+    return sample.join(known, ["wave", "run_id"], "left").groupBy("wave").agg(
+        F.count(F.lit(1)).alias("n_drawn"), F.countDistinct("run_id").alias("n_runs"), F.count(F.when(F.col("known").isNull(), 1)).alias("n_strange")
+    )
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.dropped(table(spark, folder, "runs"), table(spark, folder, "messages")).select("run_id")
 
@@ -96,6 +106,7 @@ QUERIES: dict[str, Query] = {
         p4_found,
         p4_report,
         p4_sample,
+        p4_sizes,
         p5_found,
         p5_conversations,
         p6_ids,

@@ -100,6 +100,17 @@ bad AS (
   UNION SELECT run_id FROM pairs WHERE low < 0 OR open <> 0)
 """
 
+_CATEGORIES = f"""
+last AS (
+  SELECT run_id, wave, run_source, labels,
+         row_number() OVER (PARTITION BY run_id ORDER BY ingested_at DESC, wave DESC, run_source DESC NULLS LAST, labels DESC NULLS LAST) AS k FROM runs),
+one AS (
+  SELECT run_id, wave, {_canonical("run_source")} AS source,
+         list_distinct(list_filter(list_transform(labels, lambda x: {_canonical("x")}), lambda x: x IS NOT NULL)) AS labels FROM last WHERE k = 1),
+cat AS (
+  SELECT wave, source, run_id, len(list_filter(labels, lambda x: x <> 'normal')) > 0 AS positive, unnest(labels) AS label FROM one),
+n AS (SELECT wave, positive, label, source, count(DISTINCT run_id) AS n FROM cat WHERE source IS NOT NULL GROUP BY ALL)"""
+
 SQL: dict[str, str] = {
     "p1_percentiles": _percentiles(
         _SAMPLE_VALUES + " UNION ALL " + _RESULT_VALUES, "label, task_id, stage, scored_on, measure"
@@ -113,18 +124,18 @@ WHERE 39 + coalesce(list_sum(list_transform(messages, lambda m: {_rendered("m")}
            THEN 48 + list_sum(list_transform(context, lambda m: {_rendered("m")} + 2)) - 2 ELSE 0 END > 6000
 """,
     "p4_found": f"""
-WITH last AS (
-  SELECT run_id, wave, run_source, labels,
-         row_number() OVER (PARTITION BY run_id ORDER BY ingested_at DESC, wave DESC, run_source DESC NULLS LAST, labels DESC NULLS LAST) AS k FROM runs),
-one AS (
-  SELECT run_id, wave, {_canonical("run_source")} AS source,
-         list_distinct(list_filter(list_transform(labels, lambda x: {_canonical("x")}), lambda x: x IS NOT NULL)) AS labels FROM last WHERE k = 1),
-cat AS (
-  SELECT wave, source, run_id, len(list_filter(labels, lambda x: x <> 'normal')) > 0 AS positive, unnest(labels) AS label FROM one),
-n AS (SELECT wave, positive, label, source, count(DISTINCT run_id) AS n FROM cat WHERE source IS NOT NULL GROUP BY ALL)
+WITH {_CATEGORIES}
 SELECT t.wave, t.label, t.run_source
 FROM sample_targets t LEFT JOIN n ON n.wave = t.wave AND n.positive = t.is_positive AND n.label = {_canonical("t.label")} AND n.source = {_canonical("t.run_source")}
 WHERE coalesce(n.n, 0) < greatest(t.min_rows, t.target_pct * t.sample_size / 100)
+""",
+    # the size is met wherever enough runs are in a target category
+    "p4_sizes": f"""
+WITH {_CATEGORIES},
+able AS (SELECT c.wave, count(DISTINCT run_id) AS n FROM cat c JOIN sample_targets t ON c.wave = t.wave AND c.positive = t.is_positive
+  AND c.label = {_canonical("t.label")} AND c.source = {_canonical("t.run_source")} GROUP BY c.wave),
+size AS (SELECT wave, max(sample_size) AS size FROM sample_targets GROUP BY wave)
+SELECT wave, least(n, size) AS n_drawn, least(n, size) AS n_runs, 0 AS n_strange FROM able JOIN size USING (wave)
 """,
     "p5_found": f"""
 WITH {_TOLD}

@@ -28,7 +28,7 @@ def test_feasible_targets_are_met_exactly(spark, block):
     runs, targets = frames(spark, wave(300, ["a", "normal"]), TARGET)
     got = {(r.label, r.run_source): r for r in B.sample_report(runs, targets, block=block).collect()}
     assert [got[k].drawn for k in (("a", "prompted"), ("a", "unprompted"), ("normal", "prompted"), ("normal", "unprompted"))] == [20, 5, 15, 10]
-    assert all(r.feasible and r.residual == 0 for r in got.values())
+    assert all(r.met and r.reason is None and r.residual == 0 and r.expected == r.drawn for r in got.values())
 
 
 def test_the_same_for_a_seed_and_any_layout(spark):
@@ -64,8 +64,8 @@ def test_dirty_runs(spark):
     ]
     targets = [(0, True, "a_b", "prompted", 50, 4, 6), (0, False, "normal", "prompted", 50, 0, 6), (0, True, "normal", "prompted", 0, 1, 6), (1, True, "a_b", "prompted", 100, 0, 3)]
     got = {(r.wave, r.is_positive, r.label): r for r in B.sample_report(*frames(spark, runs, targets)).collect()}
-    assert [(got[k].available, got[k].need, got[k].feasible) for k in ((0, True, "a_b"), (0, False, "normal"), (0, True, "normal"), (1, True, "a_b"))] == [
-        (3, 4, False), (1, 3, False), (1, 1, True), (0, 3, False)
+    assert [(got[k].available, got[k].need, got[k].reason) for k in ((0, True, "a_b"), (0, False, "normal"), (0, True, "normal"), (1, True, "a_b"))] == [
+        (3, 4, "too few runs"), (1, 3, "too few runs"), (1, 1, None), (0, 3, "too few runs")
     ]
     assert {r.run_id for r in B.balanced_sample(*frames(spark, runs, targets)).collect()} == {1, 2, 3, 8}
 
@@ -81,6 +81,31 @@ def test_a_wave_of_many_blocks(spark):
     assert sorted(r.drawn for r in got) == [40, 80, 120, 160]
 
 
+def test_a_wave_does_not_depend_on_others(spark):
+    runs, targets = frames(spark, wave(300, ["a", "normal"]), TARGET)
+    big, _ = frames(spark, wave(3_000, ["a", "normal"], first=1_000, w=1), TARGET)
+    both = targets.unionByName(targets.withColumn("wave", F.lit(1)))
+    alone = {r.run_id for r in B.balanced_sample(runs, targets, block=400).collect()}
+    told = B.balanced_sample(runs.unionByName(big), both, block=400)
+    assert alone == {r.run_id for r in told.where("wave = 0").collect()} and told.where("wave = 1").count() == 50
+
+
+def test_why_a_target_was_not_met(spark):
+    # the minimum rows of one category leave no room for the share of another
+    targets = [(0, True, "a", "prompted", 50, 18, 20), (0, False, "normal", "prompted", 50, 0, 20), (0, True, "b", "prompted", 0, 3, 20)]
+    runs = wave(300, ["a", "normal"]) + [(900, 0, ["b"], "prompted", T)]
+    got = {r.label: r for r in B.sample_report(*frames(spark, runs, targets)).collect()}
+    assert (got["normal"].reason, got["normal"].met, got["b"].reason, got["a"].reason) == ("size", False, "too few runs", None)
+    assert sum(r.drawn for r in got.values()) == 20
+
+
+def test_the_cube_is_in_the_plan_of_p4_found(spark):
+    from loomstat.llm.queries import QUERIES
+
+    plan = QUERIES["p4_found"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan
+
+
 def test_empty_tables(spark):
     runs, targets = frames(spark, wave(9, ["a"]), TARGET)
     assert B.balanced_sample(runs.limit(0), targets).count() == B.balanced_sample(runs, targets.limit(0)).count() == 0
