@@ -1,28 +1,34 @@
 """Rebuilding conversations from message rows and dropping those that are not whole.
 
-Rows are sessionized by channel: ``run_id`` is the channel and gives one conversation. Inside it
-``node_id`` orders the messages: clocks are missing or wrong here, so neither the order nor
-cuts at inactivity gaps can come from timestamps. Speakers are inferred from their
-spellings, and conversations without reciprocal replies are dropped.
-
-A hot conversation never meets in one task. Rows are first folded per (run, node), with
-partial aggregation, carrying digests instead of contents. Order-dependent rules are then
-evaluated in blocks of ``BLOCK`` consecutive node ids; a block is summed up by its first and
-last speaker and, per tool, by its balance of calls and results and the lowest
-prefix of that balance. Such summaries compose, so the verdict on a run needs only one small
-row per block and tool. Parents are looked up without a join: a row asks for its parent's
+Rows are sessionized by channel, which is ``run_id``. Inside it ``node_id`` orders the messages, and clocks follow: a
+clock behind that of an earlier node, later than its own delivery, or missing is repaired to the
+latest one before it. Speakers are inferred from their spellings, and conversations without
+reciprocal replies are dropped. ``conversations`` gives one conversation per channel; ``sessions`` splits channels
+at inactivity gaps, whose length is calibrated on the intervals of all channels.
+
+A hot channel never meets in one task. Rows are first folded per (run, node), with partial
+aggregation, carrying digests instead of contents. The nodes, sorted by run and node, are cut into ranges of
+about equal size, whatever the ids are; order-dependent rules are evaluated inside a range and
+summed up by what a neighbour needs: first and last speaker, latest clock, per tool the balance of calls
+and results and its lowest prefix. Such summaries compose, so the verdict on a run needs only one small
+row per range and tool. Parents are looked up without a join: a row asks for its parent's
 (run, node) in the same aggregation that folds the nodes.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import strip
+from loomstat.session import checkpoint_dir
 
-#: Node ids per block; bounds the rows of one window.
-BLOCK = 4_096
+#: Intervals that a kind of interval (inside sessions, between them) has at least.
+LEAST_INTERVALS = 20
+#: The valley between the kinds has at most this share of the lower peak, and lies so many octaves above the common interval.
+VALLEY, APART = 0.2, 3
 
 # The spellings of each speaker, lower case without outer blanks.
 SPEAKERS = {
@@ -54,6 +60,10 @@ def speaker(role: Column) -> Column:
     return out
 
 
+def _seconds(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp")) / 1e6
+
+
 def _text(column: Column) -> Column:
     return F.coalesce(strip(column), F.lit(""))
 
@@ -61,8 +71,8 @@ def _text(column: Column) -> Column:
 def clean_messages(messages: DataFrame) -> DataFrame:
     """One row per delivered row, normalised: outer blanks off, one spelling per speaker.
 
-    ``run_id, node_id, parent, speaker, name, content, call, arguments, said, digest``.
-    ``call`` is '' where there is no call. ``said`` is false for a row, other than a result, with
+    ``run_id, node_id, parent, clock, speaker, name, content, call, arguments, said, digest``.
+    ``clock`` is in seconds, NULL where it is later than the delivery. ``call`` is '' where there is no call. ``said`` is false for a row, other than a result, with
     blank content and no call: it says nothing. ``digest`` tells messages of one node
     apart. NULLs in any column are allowed; rows without ``run_id`` belong to no conversation
     and are left out. Other columns are not looked at.
@@ -73,6 +83,7 @@ def clean_messages(messages: DataFrame) -> DataFrame:
         "run_id",
         "node_id",
         F.col("parent_node_id").alias("parent"),
+        F.when(~F.coalesce(F.col("msg_ts") > F.col("ingested_at"), F.lit(False)), _seconds(F.col("msg_ts"))).alias("clock"),
         speaker(F.col("role")).alias("speaker"),
         _text(F.col("name")).alias("name"),
         _text(F.col("content")).alias("content"),
@@ -87,7 +98,7 @@ def clean_messages(messages: DataFrame) -> DataFrame:
 def nodes(messages: DataFrame) -> DataFrame:
     """One row per (run, node): its message and what the node tells about the run.
 
-    ``run_id, node_id, said, missing, conflict, late_parent`` and the message's ``speaker, name,
+    ``run_id, node_id, said, missing, conflict, late_parent, clock`` and the message's ``speaker, name,
     content, call, arguments``. Repeated deliveries fold into one; where a node holds different
     messages the one with the smallest digest stands for it and ``conflict`` is set.
     ``missing`` marks a node that is only named as a parent.
@@ -112,6 +123,7 @@ def nodes(messages: DataFrame) -> DataFrame:
         F.min(own).alias("low"),
         F.max(own).alias("high"),
         F.min(F.when(told, F.col("parent") < F.col("node_id"))).alias("after_parent"),
+        F.min(F.when(told, F.col("clock"))).alias("clock"),
         *(F.min_by(part, own).alias(part) for part in parts),
     )
     return out.select(
@@ -121,12 +133,23 @@ def nodes(messages: DataFrame) -> DataFrame:
         (F.col("asked") & ~F.col("here")).alias("missing"),
         F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("conflict"),
         (~F.coalesce("after_parent", F.lit(True))).alias("late_parent"),
+        "clock",
         *parts,
     )
 
 
-def verdicts(messages: DataFrame) -> DataFrame:
-    """``run_id`` and one boolean per reason of ``REASONS``, for every run with at least one row.
+def ranged_nodes(messages: DataFrame) -> DataFrame:
+    """``nodes`` without contents, sorted into ranges: ``part`` rises with run and node.
+
+    A range holds about as many rows as any other, so sparse, dense or far-off ids and
+    runs of any size make no difference.
+    """
+    told = nodes(messages).select("run_id", "node_id", "said", "missing", "conflict", "late_parent", "clock", "speaker", "name", "call")
+    return told.repartitionByRange("run_id", "node_id").withColumn("part", F.spark_partition_id())
+
+
+def verdicts(ranged: DataFrame) -> DataFrame:
+    """From ``ranged_nodes``: ``run_id`` and one boolean per reason of ``REASONS``, for every run with at least one row.
 
     A user message or a result goes without a reply exactly where the next message that is not
     the system's is a user's, or there is none: neighbours decide. Calls and results of a
@@ -147,10 +170,10 @@ def verdicts(messages: DataFrame) -> DataFrame:
             event(placed & (F.col("call") != ""), F.concat(F.lit("t:"), "call"), 1, 1),
         )
     )
-    rows = nodes(messages).select(
+    rows = ranged.select(
         "run_id",
         "node_id",
-        F.coalesce(F.floor(F.col("node_id") / BLOCK), F.lit(0)).alias("block"),
+        "part",
         F.when(turn, F.coalesce("speaker", F.lit("?"))).alias("turn"),
         placed.alias("placed"),
         "said",
@@ -161,15 +184,14 @@ def verdicts(messages: DataFrame) -> DataFrame:
         F.inline(events),
     )
     # tool '' carries the turns and facts of each node, any other tool its calls and results
-    inside = Window.partitionBy("run_id", "block", "tool").orderBy("node_id", "half")
-    ahead = inside.rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy("run_id", "part", "tool").orderBy("node_id", "half")
     plain = F.col("tool") == ""
     waits = plain & F.col("turn").isin("user", "function")
     stepped = rows.withColumn("upto", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "next", F.first("turn", ignorenulls=True).over(ahead)
+        "next", F.expr("lead(turn) IGNORE NULLS OVER (PARTITION BY run_id, part, tool ORDER BY node_id, half)")
     )
     node = F.when(F.col("turn").isNotNull(), F.col("node_id"))
-    blocks = stepped.groupBy("run_id", "block", "tool").agg(
+    parts = stepped.groupBy("run_id", "part", "tool").agg(
         F.max("said").alias("said"),
         F.max(F.col("turn") == "assistant").alias("assistant"),
         F.max("conflict").alias("conflict"),
@@ -184,12 +206,11 @@ def verdicts(messages: DataFrame) -> DataFrame:
         F.max(F.when(F.col("step") == 1, F.col("node_id"))).alias("last_call"),
         F.max(F.when(F.col("placed"), F.col("node_id"))).alias("end"),
     )
-    across = Window.partitionBy("run_id", "tool").orderBy("block")
-    later = across.rowsBetween(1, Window.unboundedFollowing)
-    follows = F.coalesce(F.first("first", ignorenulls=True).over(later), F.lit("user"))
+    across = Window.partitionBy("run_id", "tool").orderBy("part")
+    follows = F.expr("coalesce(lead(first) IGNORE NULLS OVER (PARTITION BY run_id, tool ORDER BY part), 'user')")
     carried = F.sum("balance").over(across) - F.col("balance")
     edge = (F.col("tool") == "") & F.col("last").isin("user", "function") & (F.col("follows") == "user")
-    chained = blocks.withColumn("follows", follows).withColumn("low", carried + F.col("lowest"))
+    chained = parts.withColumn("follows", follows).withColumn("low", carried + F.col("lowest"))
     tools = chained.groupBy("run_id", "tool").agg(
         *(F.max(c).alias(c) for c in ("said", "assistant", "conflict", "bad_parent", "no_node", "no_speaker", "last_call", "end")),
         F.max(F.col("unheard") | F.coalesce(edge, F.lit(False))).alias("unheard"),
@@ -230,7 +251,7 @@ def dropped(runs: DataFrame, messages: DataFrame) -> DataFrame:
     Rows of ``runs`` without ``run_id`` are left out.
     """
     wanted = runs.where(F.col("run_id").isNotNull()).select("run_id").distinct()
-    told = verdicts(messages)
+    told = verdicts(ranged_nodes(messages))
     empty = {"no_messages", "no_assistant"}
     joined = wanted.join(told, "run_id", "left").select(
         "run_id", *(F.coalesce(r, F.lit(r in empty)).alias(r) for r in REASONS)
@@ -238,6 +259,17 @@ def dropped(runs: DataFrame, messages: DataFrame) -> DataFrame:
     return joined.where(~_whole())
 
 
+def _across_parts(rows: DataFrame, *totals: Column, **carried: tuple[str, Column]) -> DataFrame:
+    """Adds to each row of a range what the ranges of its run before it add up to.
+
+    ``carried`` maps a new name to a column of ``totals``, aggregated per range, and how it adds up.
+    """
+    before = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("run_id", "part").agg(*totals)
+    shift = per.select("run_id", "part", *(how(c).over(before).alias(name) for name, (c, how) in carried.items()))
+    return rows.join(shift, ["run_id", "part"])
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """The messages of every whole conversation, in order.
 
@@ -245,26 +277,75 @@ def conversations(messages: DataFrame) -> DataFrame:
     per message, so that a conversation of any length stays distributed. Name, call
     and arguments are NULL where there are none. Rows that say nothing are passed over.
     """
-    block = F.floor(F.col("node_id") / BLOCK)
-    keep = verdicts(messages).where(_whole()).select("run_id")
-    told = nodes(messages).where(F.col("said")).withColumn("block", block)
-    counts = told.groupBy("run_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("run_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("run_id", "block").orderBy("node_id")
+    checkpoint_dir(messages.sparkSession)
+    ranged = ranged_nodes(messages).checkpoint()  # for the verdicts and the places: ranges are the same in both
+    keep = verdicts(ranged).where(_whole()).select("run_id")
+    placed = ranged.where("said AND node_id IS NOT NULL").join(keep, "run_id", "left_semi").select("run_id", "node_id", "part")
+    inside = Window.partitionBy("run_id", "part").orderBy("node_id")
+    ranked = placed.withColumn("rank", F.row_number().over(inside) - 1)
+    told = _across_parts(ranked, F.count(F.lit(1)).alias("n"), offset=("n", F.sum))
+    turns = told.select("run_id", "node_id", (F.coalesce("offset", F.lit(0)) + F.col("rank")).alias("turn"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    # contents stay where the fold put them, by run and node
     return (
-        told.join(keep, "run_id", "left_semi")
-        .withColumn("rank", F.row_number().over(inside) - 1)
-        .join(offsets, ["run_id", "block"])
-        .select(
-            "run_id",
-            (F.col("offset") + F.col("rank")).alias("turn"),
-            "node_id",
-            "speaker",
-            blank("name"),
-            "content",
-            blank("call"),
-            blank("arguments"),
-        )
+        nodes(messages)
+        .join(turns, ["run_id", "node_id"])
+        .select("run_id", "turn", "node_id", "speaker", blank("name"), "content", blank("call"), blank("arguments"))
     )
+
+
+def calibrated_gap(octave: np.ndarray, n: np.ndarray) -> float | None:
+    """The inactivity gap in seconds out of counts of intervals per octave (whole log2); None where all are of one kind.
+
+    It lies in the deepest valley between two peaks of the counts, well above the common interval.
+    """
+    low, high = int(octave.min()), int(octave.max())
+    count = np.zeros(high - low + 1)
+    count[octave - low] = n
+    middle = int(np.searchsorted(np.cumsum(count), count.sum() / 2))
+    best, deep = [], VALLEY
+    for k in range(middle + APART, len(count) - 1):
+        peak = min(count[:k].max(), count[k + 1 :].max())
+        depth = count[k] / peak if peak >= LEAST_INTERVALS else 1.0
+        if depth < deep:
+            best, deep = [k], depth
+        elif depth == deep and best:
+            best.append(k)
+    return float(2.0 ** (low + best[len(best) // 2] + 0.5)) if best else None
+
+
+def sessions(messages: DataFrame) -> DataFrame:
+    """The sessions of every channel: ``run_id, session`` (0-based), ``n_messages, first_node, last_node, seconds, reciprocal``.
+
+    Messages come in ``node_id`` order with repaired clocks; a pause longer than the calibrated gap begins a new
+    session. Without two kinds of intervals in the table a channel is one session, as is one without
+    clocks. ``seconds`` is from its first clock to its last. ``reciprocal`` is false where no assistant message follows one of a user or a
+    result: such sessions have no replies. Rows without ``node_id`` and those that say nothing are passed over.
+    """
+    checkpoint_dir(messages.sparkSession)
+    ranged = ranged_nodes(messages).where("said AND node_id IS NOT NULL").select("run_id", "node_id", "part", "clock", "speaker").checkpoint()
+    inside = Window.partitionBy("run_id", "part").orderBy("node_id")
+    so_far = F.max("clock").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    earlier = F.max("clock").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    told = _across_parts(ranged.withColumns({"so_far": so_far, "earlier": earlier}), F.max("clock").alias("latest"), carried=("latest", F.max))
+    now, before = F.greatest("carried", "so_far"), F.greatest("carried", "earlier")
+    paused = told.select("run_id", "node_id", "part", "speaker", now.alias("clock"), (now - before).alias("pause"))
+    counts = paused.where("pause > 0").groupBy(F.floor(F.log2("pause")).cast("int").alias("octave")).agg(F.count(F.lit(1)).alias("n"))
+
+    def calibrate(pdf: pd.DataFrame) -> pd.DataFrame:  # one row per octave
+        return pd.DataFrame({"gap": [calibrated_gap(pdf["octave"].to_numpy(), pdf["n"].to_numpy())]}, dtype=float)
+
+    gap = counts.groupBy().applyInPandas(calibrate, "gap double")
+    cut = paused.join(F.broadcast(gap), F.lit(True), "left")  # one row
+    cut = cut.withColumn("new", F.coalesce(F.col("pause") > F.col("gap"), F.lit(False)).cast("int"))
+    cut = cut.withColumn("upto", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = _across_parts(cut, F.sum("new").alias("n_new"), offset=("n_new", F.sum))
+    waits, answers = F.col("speaker").isin("user", "function"), F.col("speaker") == "assistant"
+    return cut.groupBy("run_id", (F.coalesce("offset", F.lit(0)) + F.col("upto")).alias("session")).agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.min("node_id").alias("first_node"),
+        F.max("node_id").alias("last_node"),
+        (F.max("clock") - F.min("clock")).alias("seconds"),
+        F.coalesce(F.min(F.when(waits, F.col("node_id"))) < F.max(F.when(answers, F.col("node_id"))), F.lit(False)).alias("reciprocal"),
+    )
+

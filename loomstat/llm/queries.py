@@ -72,6 +72,11 @@ def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(table(spark, folder, "messages"))
 
 
+def p5_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Channels split at inactivity gaps."""
+    return conversations.sessions(table(spark, folder, "messages")).drop("seconds")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_column(table(spark, folder, "documents"))
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Query] = {
         p4_sizes,
         p5_found,
         p5_conversations,
+        p5_sessions,
         p6_ids,
         p7_containers,
         p7_variable,

@@ -100,6 +100,9 @@ bad AS (
   UNION SELECT run_id FROM pairs WHERE low < 0 OR open <> 0)
 """
 
+# of different messages with one node the one with the least digest stands
+_DIGEST = "md5(concat_ws(chr(0), coalesce(speaker, '?'), name, content, call, arguments))"
+
 _CATEGORIES = f"""
 last AS (
   SELECT run_id, wave, run_source, labels,
@@ -146,5 +149,14 @@ WITH {_TOLD}
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY node_id) - 1 AS turn, node_id, speaker,
        nullif(name, '') AS name, content, nullif(call, '') AS call, nullif(arguments, '') AS arguments
 FROM uniq WHERE run_id NOT IN (SELECT run_id FROM bad)
+""",
+    # the clocks of these tables know one kind of interval: every channel is one session
+    "p5_sessions": f"""
+WITH {_TOLD}
+SELECT run_id, 0 AS session, count(*) AS n_messages, min(node_id) AS first_node, max(node_id) AS last_node,
+       coalesce(min(node_id) FILTER (speaker IN ('user', 'function')) < max(node_id) FILTER (speaker = 'assistant'), false) AS reciprocal
+FROM (SELECT run_id, node_id, min(speaker) AS speaker FROM uniq GROUP BY ALL HAVING count(*) = 1
+      UNION ALL SELECT run_id, node_id, arg_min(speaker, {_DIGEST}) FROM uniq GROUP BY ALL HAVING count(*) > 1)
+WHERE node_id IS NOT NULL GROUP BY run_id
 """,
 }
