@@ -4,7 +4,9 @@ The rendered chunk gets a one-character mark where two messages meet. One regula
 expression then consumes the text piece by piece: its alternatives are ordered by the
 strength of the boundary (message, paragraph, line, sentence, any character), each
 with a quantifier bounded by the limit, so that the strongest boundary in reach wins and
-of equally strong ones the last. Lookback offsets into the unmarked text supply
+of equally strong ones the last. Boundaries that leave a piece less than half full are
+tried after all others, and those that leave it nearly empty only if the next piece then ends at a boundary: else a
+stretch without any is cut by characters either way, and a tiny piece would gain nothing. Lookback offsets into the unmarked text supply
 the overlap. Everything is one projection of built-in functions: no shuffle, no Python.
 """
 
@@ -17,6 +19,8 @@ from loomstat.functions.messages import BLOCK_SEPARATOR, render_message
 
 LIMIT = 6_000
 OVERLAP = 200
+#: A piece with less new text than this part of the limit is made only to keep the next one whole.
+LEAST_FILL = 6
 #: A noncharacter, which texts don't hold; where one does, it is masked in the marked copy.
 MARK = "\uffff"
 MASK = "\ufffd"
@@ -32,9 +36,13 @@ def boundary_pattern(limit: int, overlap: int) -> str:
     """
 
     def options(least: int, most: int) -> str:
-        some = f".{{{least},{most}}}"
+        half, few = max(least, most // 2), max(least, limit // LEAST_FILL)
         ends = (MARK, r"\n[ \t]{0,8}\r?\n", r"[\n\r\u2028\u2029]", SENTENCE_END)
-        return "|".join([rf"{some}\z", *(f"{some}(?<={end})" for end in ends), some])
+        at = lambda low, high, then="": [rf".{{{low},{high}}}(?<={end}){then}" for end in ends] if low <= high else []
+        whole = rf"(?=.{{0,{limit - overlap}}}\z|.{{{(limit - overlap) // 2},{limit - overlap}}}(?:{'|'.join(f'(?<={end})' for end in ends)}))"
+        return "|".join(
+            [rf".{{{least},{most}}}\z", *at(half, most), *at(few, half - 1), *at(least, min(few, half) - 1, whole), rf".{{{least},{most}}}"]
+        )
 
     return rf"(?s)\A(?:{options(max(1, overlap), limit)})|(?:{options(1, limit - overlap)})"
 
@@ -134,3 +142,32 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
         F.length("p.text").alias("n_characters"),
         F.col("p.text"),
     ).dropDuplicates(["run_id", "chunk_index", "piece_index", "start", "end", "text"])
+
+
+def piece_checks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Once per oversized chunk ``run_id, chunk_index, n_characters`` and what must hold of its pieces.
+
+    ``covered``: they begin at 0 and end with the chunk. ``shared``: each next one begins ``overlap`` before the end
+    of the one before, and ends after it. ``within``: all are at most ``limit`` long. ``own_text``: each is what stands between its ends.
+    """
+    rows = split_chunks(chunks, limit, overlap).where(F.col("n_characters") > limit)
+    p = F.col("pieces")
+    last = F.get("pieces", F.size(p) - 1)
+    follows = F.forall(
+        F.sequence(F.lit(1), F.size(p) - 1),
+        lambda i: (F.get("pieces", i)["start"] == F.get("pieces", i - 1)["end"] - overlap) & (F.get("pieces", i)["end"] > F.get("pieces", i - 1)["end"]),
+    )
+    # overlaps taken out, the pieces are the chunk again
+    whole = F.array_join(F.transform(p, lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], F.lit(overlap + 1), F.length(x["text"])))), "")
+    told = rows.select(
+        "run_id", "chunk_index", "n_characters",
+        ((F.get("pieces", F.lit(0))["start"] == 0) & (last["end"] == F.col("n_characters"))).alias("covered"),
+        follows.alias("shared"),
+        F.forall(p, lambda x: (F.length(x["text"]) <= limit) & (F.length(x["text"]) == x["end"] - x["start"])).alias("within"),
+        F.md5(whole).alias("digest"),
+    )
+    text = chunks.select("run_id", "chunk_index", F.md5(render_chunk(F.col("messages"), F.col("context"))).alias("digest")).distinct()
+    own = text.withColumn("own_text", F.lit(True))
+    keys = ["run_id", "chunk_index", "digest"]
+    out = told.distinct().join(own, [F.equal_null(told[k], own[k]) for k in keys], "left")
+    return out.select(*(told[c] for c in ("run_id", "chunk_index", "n_characters", "covered", "shared", "within")), F.coalesce("own_text", F.lit(False)).alias("own_text")).distinct()

@@ -21,7 +21,7 @@ def run(spark, rows, limit, overlap):
 
 
 def python_cut(marked, limit, overlap):
-    """The same rule, walked by hand: the last of the strongest boundaries in reach."""
+    """The same rule, walked by hand: the last of the strongest boundaries in the further half, else nearer."""
     import re
 
     ends = [0]
@@ -32,11 +32,15 @@ def python_cut(marked, limit, overlap):
             ends.append(len(marked))
             break
         best = None
-        for kind in (split.MARK, r"\n[ \t]{0,8}\r?\n", r"[\n\r\u2028\u2029]", split.SENTENCE_END):
-            found = [e for e in range(at + least, at + most + 1) if any(re.fullmatch(kind, marked[max(0, e - k) : e]) for k in range(1, 13))]
-            if found:
-                best = found[-1]
-                break
+        half, few, later = max(least, most // 2), max(least, limit // split.LEAST_FILL), limit - overlap
+        kinds = (split.MARK, r"\n[ \t]{0,8}\r?\n", r"[\n\r\u2028\u2029]", split.SENTENCE_END)
+        is_end = lambda e, kind: any(re.fullmatch(kind, marked[max(0, e - k) : e]) for k in range(1, 13))
+        keeps = lambda e: len(marked) - e <= later or any(is_end(x, kind) for kind in kinds for x in range(e + later // 2, e + later + 1))
+        for low, high in ((half, most), (few, half - 1), (least, min(few, half) - 1)):
+            for kind in kinds:
+                found = [e for e in range(at + low, at + high + 1) if is_end(e, kind) and (low >= few or keeps(e))]
+                if found and best is None:
+                    best = found[-1]
         ends.append(best or at + most)
     return [(max(0, a - overlap) if a else 0, b) for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -78,3 +82,17 @@ def test_nulls_empties_marks_and_long_texts(spark):
     assert split.pieces(df.limit(0)).count() == split.oversized(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         split.split_chunks(df, 100, 100)
+
+
+def test_pieces_are_at_least_half_full_where_a_boundary_allows(spark):
+    rows = [(1, 0, [m("short")] + [m("one two three. " * 60) for _ in range(9)], [m("opening")])]
+    _, got = run(spark, rows, 2_000, 200)
+    pieces = got[1, 0]
+    assert len(pieces) > 4 and all(p.end - p.start - 200 >= 900 for p in pieces[:-1])
+
+
+def test_checks_of_pieces(spark):
+    rows = [(1, 0, [m("word. " * 300)], None), (None, None, [m("word. " * 300)], []), (1, 0, [m("word. " * 300)], None), (2, 0, [m("small")], None)]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA)
+    got = split.piece_checks(df, 400, 50).collect()
+    assert sorted(str(r.run_id) for r in got) == ["1", "None"] and all(r.covered and r.shared and r.within and r.own_text for r in got)
