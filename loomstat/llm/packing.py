@@ -1,19 +1,25 @@
 """Filling containers of fixed capacity with documents: variable-capacity best fit.
 
 Sizes are tokens of a public tokenizer. A text longer than the capacity is divided into full
-pieces and a rest; nothing else is divided. Only (key, piece, size) rows are shuffled, into
-blocks of about ``BLOCK`` rows by a hash of key and piece, so blocks don't depend on the file layout.
+pieces and a rest; nothing else is divided. Only (key, piece, size) rows are shuffled, by a hash of
+key and piece, sorted by it and cut into blocks of at most ``2 * BLOCK`` rows, so that blocks depend neither on
+the file layout nor on the order in which rows arrive: a task that is run again gives the same containers.
+
 A block is packed by itself in one pass over its items from large to small: each goes
 into the open bin that it fills best, found by a bit mask over the space left; where none
-fits, the permitted capacity of least cost is opened, by the fill that the sizes still to come allow. Finally every bin is brought down to the
-smallest permitted capacity that holds its contents. A block wastes about one bin, far
-under a percent of what it holds.
+fits, the permitted capacity of least cost is opened, by the fill that the sizes still to come allow. Finally every
+bin is brought down to the smallest permitted capacity that holds its contents.
+
+Where several capacities are permitted they are chosen jointly: the block is packed once with every choice of them that
+holds its largest item, and the packing of least total cost stands. The cost of a bin is that of
+training on it: its tokens, attention that grows with the square of its length, and a constant.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +34,43 @@ CAPACITY = 2_048
 BLOCK = 50_000
 #: What a bin costs besides its space, in tokens.
 BIN_COST = 16
+#: The length at which attention costs as much as all else that a token costs.
+ATTENTION = 8_192
+
+
+def bin_cost(capacity: np.ndarray | int) -> np.ndarray | float:
+    """What a bin costs, in tokens of a very short one."""
+    return capacity * (1 + capacity / ATTENTION) + BIN_COST
+
+
+def joint_fit(sizes: Sequence[int], capacities: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``best_fit`` with the choice of ``capacities`` whose bins cost least in total; of equals the first.
+
+    Every choice that holds the largest item is tried, smaller ones first. There are ``2 ** n`` of them, so up to 6
+    capacities are allowed.
+    """
+    caps = sorted(set(capacities))
+    if len(caps) > 6:
+        raise ValueError("more than 6 capacities")
+    most = max(sizes, default=0)
+    best, least = None, math.inf
+    for n in range(1, len(caps) + 1):
+        for some in combinations(caps, n):
+            if some[-1] < most:
+                continue
+            fit = best_fit(sizes, some)
+            # bins are brought down to any permitted capacity, chosen or not
+            used = np.bincount(fit[0], weights=sizes, minlength=len(fit[1])) if len(sizes) else np.empty(0)
+            down = np.asarray(caps)[np.searchsorted(caps, np.maximum(used, 1))]
+            cost = float(np.sum(bin_cost(down)))
+            if cost < least:
+                best, least = (fit[0], down), cost
+    if best is None:
+        raise ValueError("an item is larger than the largest capacity")
+    return best
 
 
-def best_fit(sizes: Sequence[int], capacities: Sequence[int], bin_cost: int = BIN_COST) -> tuple[np.ndarray, np.ndarray]:
+def best_fit(sizes: Sequence[int], capacities: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each item and the capacity of each bin. ``sizes`` must run from large to small.
 
     Items of size 0 go into the first bin. An item over the largest capacity is an error.
@@ -64,7 +104,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], bin_cost: int = BI
                 mask &= ~(1 << room)
             room -= size
         else:
-            room, b = _open(size, caps, to_come, sizes_left, bin_cost) - size, len(used)
+            room, b = _open(size, caps, to_come, sizes_left) - size, len(used)
             used.append(0)
         used[b] += size
         bins[k] = b
@@ -75,7 +115,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], bin_cost: int = BI
     return bins, np.asarray(caps)[at]
 
 
-def _open(size: int, caps: Sequence[int], to_come: Sequence[int], sizes_left: int, bin_cost: int) -> int:
+def _open(size: int, caps: Sequence[int], to_come: Sequence[int], sizes_left: int) -> int:
     """The capacity to open for an item: least cost per token that it will hold.
 
     What it will hold besides is told by the sizes still to come, the largest that fits first. The
@@ -92,7 +132,7 @@ def _open(size: int, caps: Sequence[int], to_come: Sequence[int], sizes_left: in
             spare -= v * min(to_come[v], spare // v)
             most = v - 1
         held = cap - spare
-        return (next(c for c in able if c >= held) + bin_cost) / held
+        return bin_cost(next(c for c in able if c >= held)) / held
 
     return min(able, key=lambda c: (cost(c), -c))
 
@@ -128,14 +168,13 @@ def sized_pieces(
 
 
 def pack(
-    pieces: DataFrame, n_rows: int, key: str = "doc_id", capacities: Sequence[int] = (CAPACITY,), block: int = BLOCK
+    pieces: DataFrame, parts: int, key: str = "doc_id", capacities: Sequence[int] = (CAPACITY,), block: int = BLOCK
 ) -> DataFrame:
     """Adds ``container`` (unique), its ``capacity`` and the tokens ``used`` to every row of ``sized_pieces``.
 
-    ``n_rows`` sets the number of blocks. Every row is placed once, also those of 0 tokens and
-    repeated ones. The same rows give the same containers.
+    ``parts`` is the number of tasks, about one per ``block`` rows. Every row is placed once, also those of 0 tokens
+    and repeated ones. The same rows give the same containers, whatever their order and layout.
     """
-    parts = max(1, math.ceil(n_rows / block))
     kind = pieces.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +188,7 @@ def pack(
             rows = pa.Table.from_batches(held).combine_chunks()
             rows = rows.sort_by([("n_tokens", "descending"), (key, "ascending"), ("piece", "ascending")])
             sizes = rows.column("n_tokens").to_numpy().tolist()
-            bins, caps = best_fit(sizes, capacities)
+            bins, caps = joint_fit(sizes, capacities)
             used = np.bincount(bins, weights=sizes, minlength=len(caps)).astype(np.int64)
             out = rows.append_column("container", pa.array(first + opened + bins, pa.int64()))
             out = out.append_column("capacity", pa.array(caps[bins], pa.int32()))
@@ -158,16 +197,21 @@ def pack(
             return out.combine_chunks().to_batches()[0]
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                count += batch.num_rows
-            if count >= 2 * block:
-                yield flush()
-                held, count = [], 0
+            batch = batch.drop_columns(["_lot"])
+            # blocks end at row numbers, not at batches
+            while batch.num_rows:
+                some = batch.slice(0, 2 * block - count)
+                batch = batch.slice(some.num_rows)
+                held.append(some)
+                count += some.num_rows
+                if count == 2 * block:
+                    yield flush()
+                    held, count = [], 0
         if held:
             yield flush()
 
-    spread = pieces.repartition(parts, F.xxhash64(key, "piece"))
+    lot = pieces.withColumn("_lot", F.xxhash64(key, "piece"))
+    spread = lot.repartition(parts, "_lot").sortWithinPartitions("_lot", key, "piece", "n_tokens")
     return spread.mapInArrow(
         place,
         f"`{key}` {kind}, piece int, start_token long, n_tokens int, container long, capacity int, used int",
@@ -180,6 +224,7 @@ def containers(
     text: str = "text",
     vocabulary: str = DEFAULT_VOCABULARY,
     capacities: Sequence[int] = (CAPACITY,),
+    block: int = BLOCK,
 ) -> DataFrame:
     """Every text placed: ``key, piece, start_token, n_tokens, container, capacity, used``.
 
@@ -187,4 +232,33 @@ def containers(
     rows. Columns of other names are not looked at.
     """
     pieces = sized_pieces(documents, key, text, vocabulary, max(capacities))
-    return pack(pieces, documents.count(), key, capacities)
+    # a token has a byte at least: this many pieces at most, known without encoding
+    most = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / max(capacities)))
+    rows = documents.agg(F.sum(most)).first()[0] or 0
+    return pack(pieces, max(1, math.ceil(rows / block)), key, capacities, block)
+
+
+def container_cost(packed: DataFrame) -> DataFrame:
+    """``capacity, n_containers, used, cost`` of packed rows: what the bins of each length hold and cost."""
+    bins = packed.groupBy("container").agg(F.max("capacity").alias("capacity"), F.max("used").alias("used"))
+    c = F.col("capacity")
+    return bins.groupBy("capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("used")).withColumn(
+        "cost", F.col("n_containers") * bin_cost(c)
+    )
+
+
+def placement_faults(packed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, whole, fits``: whether each text's pieces follow one another and its containers hold what they should.
+
+    ``whole``: pieces are numbered from 0 without gaps and each begins where the one before ends. ``fits``: the tokens placed
+    in each of its containers add up to ``used``, within ``capacity``. For tables with one row per key.
+    """
+    bins = packed.groupBy("container").agg(
+        (F.sum("n_tokens") == F.max("used")).alias("summed"), (F.max("used") <= F.min("capacity")).alias("within")
+    )
+    told = packed.join(bins, "container").groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.countDistinct("piece").alias("pieces"), F.sum("n_tokens").alias("total"),
+        F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.min(F.col("summed") & F.col("within")).alias("fits"),
+    )
+    whole = (F.col("n") == F.col("pieces")) & (F.col("last") + 1 == F.col("n")) & (F.col("total") == F.col("end"))
+    return told.select(key, whole.alias("whole"), "fits")

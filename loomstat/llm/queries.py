@@ -33,6 +33,11 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.pieces(table(spark, folder, "chunks"))
 
 
+def p2_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces of every oversized chunk."""
+    return split.piece_checks(table(spark, folder, "chunks"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_completions(table(spark, folder, "completions")).select("completion_id")
 
@@ -90,6 +95,20 @@ def p7_variable(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(table(spark, folder, "documents"), capacities=(256, 512, 1024, 2048))
 
 
+def p7_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """What the containers of ``p7_containers`` and of ``p7_variable`` cost in total."""
+    one = packing.container_cost(p7_containers(spark, folder)).withColumn("lengths", F.lit("one"))
+    more = packing.container_cost(p7_variable(spark, folder)).withColumn("lengths", F.lit("several"))
+    return one.unionByName(more)
+
+
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Both packings put to the test: every text once and whole, no container overfilled."""
+    one = packing.placement_faults(p7_containers(spark, folder)).withColumn("lengths", F.lit("one"))
+    more = packing.placement_faults(p7_variable(spark, folder)).withColumn("lengths", F.lit("several"))
+    return one.unionByName(more)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     kinds = quality.quality(table(spark, folder, "documents"))
     return kinds.where(F.col("kind") != "prose").select("doc_id", "kind")
@@ -106,6 +125,7 @@ QUERIES: dict[str, Query] = {
         p1_all_days,
         p2_found,
         p2_pieces,
+        p2_check,
         p3_found,
         p3_rates,
         p4_found,
@@ -118,6 +138,8 @@ QUERIES: dict[str, Query] = {
         p6_ids,
         p7_containers,
         p7_variable,
+        p7_cost,
+        p7_check,
         p8_found,
         p8_quality,
     )

@@ -110,7 +110,7 @@ def test_every_text_is_placed_once(spark, own):
 
 def test_a_task_with_many_rows_packs_in_blocks(spark):
     pieces = spark.range(5_000).select(F.lit(1).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_token"), (F.col("id") % 900).cast("int").alias("n_tokens"))
-    got = packing.pack(pieces, 5_000, block=500).toPandas()
+    got = packing.pack(pieces, 1, block=500).toPandas()
     assert len(got) == 5_000 and (got.groupby("container").n_tokens.sum() <= 2_048).all()
 
 
@@ -119,4 +119,35 @@ def test_a_smaller_capacity_wins_where_the_largest_would_stay_empty():
     assert capacity.tolist() == [256] * 100 and sorted(bins) == list(range(100))
     # small sizes to come fill the largest one
     bins, capacity = packing.best_fit([250] * 20 + [40] * 100, (256, 700))
-    assert set(capacity.tolist()) == {700} and capacity.sum() <= 9_000 + 700
+    assert set(capacity[bins[:20]].tolist()) == {700} and capacity.sum() <= 9_000 + 700  # where attention makes long bins dear, the rest takes short ones
+
+
+def test_blocks_do_not_depend_on_the_order_of_rows(spark):
+    pieces = spark.range(7_001).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_token"), (1 + F.col("id") * 7 % 900).cast("int").alias("n_tokens"))
+    rows = lambda df: sorted(map(tuple, packing.pack(df, 2, block=1_000).select("doc_id", "container", "capacity").collect()))
+    assert rows(pieces) == rows(pieces.orderBy(F.rand(1))) == rows(pieces.repartition(5))
+
+
+def test_several_lengths_cost_less_than_one():
+    rng = np.random.default_rng(5)
+    sizes = np.sort(np.minimum(rng.lognormal(5.5, 1, 6_000).astype(int) + 1, 2_048))[::-1].tolist()
+    cost = lambda caps: packing.bin_cost(packing.joint_fit(sizes, caps)[1]).sum()
+    several = packing.joint_fit(sizes, (256, 512, 1_024, 2_048))[1]
+    assert len(set(several.tolist())) >= 3
+    assert cost((256, 512, 1_024, 2_048)) < 0.97 * cost((2_048,)) and cost((256, 512, 1_024, 2_048)) <= cost((1_024, 2_048)) <= cost((2_048,))
+    used = np.bincount(packing.joint_fit(sizes, (256, 2_048))[0], weights=sizes)
+    assert used.sum() == sum(sizes)
+    assert packing.joint_fit([], (8,))[0].size == 0
+    with pytest.raises(ValueError):
+        packing.joint_fit([9], (4, 8))
+    with pytest.raises(ValueError):
+        packing.joint_fit([1], range(1, 9))
+
+
+def test_faults_of_a_placement_are_told(spark):
+    good = [(1, 0, 0, 5, 9, 8, 8), (2, 0, 0, 3, 9, 8, 8)]
+    schema = "doc_id long, piece int, start_token long, n_tokens int, container long, capacity int, used int"
+    faults = lambda rows: {r.doc_id: (r.whole, r.fits) for r in packing.placement_faults(spark.createDataFrame(rows, schema)).collect()}
+    assert faults(good) == {1: (True, True), 2: (True, True)}
+    assert faults([*good, (2, 0, 0, 3, 10, 8, 3)])[2] == (False, True)
+    assert faults([(1, 0, 0, 5, 9, 4, 5), (2, 1, 5, 3, 7, 8, 2)]) == {1: (True, False), 2: (False, False)}
