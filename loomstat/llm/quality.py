@@ -4,13 +4,13 @@ Texts are read as arrays of code points, a slice of a batch at a time, and every
 segmented sum over them: no loop over rows or characters. Lines are described by
 the statistics of ``FEATURES``. A Gaussian mixture is fitted to the standardized
 statistics by expectation-maximization; its components start at inspected examples
-(``quality_examples``), which keep a fixed weight in every step, and are mapped to a kind by the
-examples they explain. A document is what most of its characters are: the posteriors of its
+(``quality_examples``), which keep a small fixed weight in every step, and are mapped to a kind by the
+examples they explain; every kind has several. A document is what most of its characters are: the posteriors of its
 lines, weighted by their characters and evened out over neighbouring lines, are added up.
 
 The mixture is fitted on every line of every document, whole texts: the statistics are written once, and each
 step adds up, per component, the weights, values and squares of all lines, so only a matrix of
-components by statistics comes back. Posteriors and kinds are computed for every line as well.
+components by statistics comes back, until the likelihood settles. Posteriors and kinds are computed for every line as well.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ KINDS = ("prose", "list", "table", "junk")
 #: Characters that are looked at together.
 SLICE = 1 << 20
 #: Lines whose posteriors are computed together while fitting.
-STEP_LINES = 1 << 8
+STEP_LINES = 1 << 9
 #: Visible characters under which a line is seen together with its neighbours.
 SHORT_LINE = 120
 EM_ROUNDS = 25
+#: The fit ends where a round raises the mean log-likelihood of a line by less.
+SETTLED = 0.005
 #: Added to every variance of the standardized statistics.
 VARIANCE_FLOOR = 0.1
 #: The weight of the examples of one form in every step, as a share of all lines.
@@ -75,6 +77,8 @@ _JOINERS = "'’"
 _VOWELS = "aeiouyäöüàâéèêëîïôùûáíóúñœæ"
 _BULLETS = "-*•+–—●▪·‣◦"
 _MAX_LAG = 12
+#: Words that must recur together, and the share of a text's words that must do so at one distance, for a fragment said over and over.
+GRAM, OVER_AND_OVER = 6, 0.5
 _POWERS = np.power(np.uint64(1_099_511_628_211), np.arange(40, dtype=np.uint64))
 _LANGUAGES = tuple(COMMON_WORDS)
 
@@ -245,6 +249,8 @@ def describe(texts: Sequence[str]) -> Lines:
             same = (h[lag:] == h[:-lag]) & (wl[lag:] == wl[:-lag])
             hits = np.bincount(wl[lag:][same], minlength=n_lines)
             period = np.maximum(period, hits / np.maximum(n_words - lag, 4))
+    if len(h):
+        period = np.maximum(period, np.where(n_words > 0, _over_and_over(h, document[wl], n_docs)[document], 0))
     # a line's words as one number, to find it again next door
     order = np.arange(len(h)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
     with np.errstate(over="ignore"):
@@ -288,6 +294,35 @@ def describe(texts: Sequence[str]) -> Lines:
     )
 
 
+def _over_and_over(h: np.ndarray, document: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per document the share of words that recur, with those behind them, always at the same distance; 0 if less than ``OVER_AND_OVER``.
+
+    A fragment of any length said over and over, in one line or over lines, has one distance.
+    """
+    out = np.zeros(n_docs)
+    n = len(h) - GRAM + 1
+    if n <= 0:
+        return out
+    with np.errstate(over="ignore"):
+        gram = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            gram = gram * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+        gram += document[:n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    inside = document[:n] == document[GRAM - 1 :]
+    order = np.argsort(gram, kind="stable")
+    again = (gram[order][1:] == gram[order][:-1]) & inside[order][1:] & inside[order][:-1]
+    at, before = order[1:][again], order[:-1][again]
+    if not len(at):
+        return out
+    pairs, count = np.unique(document[at].astype(np.int64) << 32 | (at - before), return_counts=True)
+    of, lag = pairs >> 32, pairs & 0xFFFFFFFF
+    words = np.bincount(document, minlength=n_docs)
+    # a fragment said twice has recurred over half the text
+    share = count / np.maximum(words[of] - np.minimum(lag, words[of] // 2) - GRAM + 1, GRAM)
+    np.maximum.at(out, of, np.minimum(share, 1.0))
+    return np.where(out >= OVER_AND_OVER, out, 0.0)
+
+
 def _place(run: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     """The place of each character inside its word."""
     base = np.zeros(n, run.dtype)
@@ -355,24 +390,32 @@ class Mixture:
         return log
 
     def sums(self, features: np.ndarray) -> np.ndarray:
-        """Components x (weight, then values, then squares of the standardized statistics), over the lines."""
+        """Components x (weight, then values, then squares of the standardized statistics), over the lines.
+
+        A last row has the lines' summed log-likelihood in its first place.
+        """
         inverse, k = 1 / self.variances, features.shape[1]
         constant = np.log(self.weights) - 0.5 * ((self.means**2 * inverse).sum(axis=1) + np.log(self.variances).sum(axis=1))
-        by_power = np.ascontiguousarray(np.concatenate([constant[:, None], self.means * inverse, -0.5 * inverse], axis=1).T)
-        total = np.zeros((len(self.weights), 1 + 2 * k))
-        z, log = np.ones((STEP_LINES, 1 + 2 * k)), np.empty((STEP_LINES, len(self.weights)))
+        by_power = np.ascontiguousarray(np.concatenate([constant[:, None], self.means * inverse, -0.5 * inverse], axis=1).T, np.float32)
+        shift, scale = self.shift.astype(np.float32), (1 / self.scale).astype(np.float32)
+        total = np.zeros((len(self.weights) + 1, 1 + 2 * k))
+        # single precision inside a step, double between steps
+        z, log = np.ones((STEP_LINES, 1 + 2 * k), np.float32), np.empty((STEP_LINES, len(self.weights)), np.float32)
         for a in range(0, len(features), STEP_LINES):
             some = features[a : a + STEP_LINES]
             y, r = z[: len(some)], log[: len(some)]
             x = y[:, 1 : 1 + k]
-            np.subtract(some, self.shift, out=x)
-            x /= self.scale
+            np.subtract(some, shift, out=x)
+            x *= scale
             np.multiply(x, x, out=y[:, 1 + k :])
             np.matmul(y, by_power, out=r)
-            r -= r.max(axis=1, keepdims=True)
+            top = r.max(axis=1)
+            r -= top[:, None]
             np.exp(r, out=r)
-            y /= r.sum(axis=1, keepdims=True)
-            total += r.T @ y
+            each = r.sum(axis=1)
+            total[-1, 0] += float(top.sum(dtype=float) + np.log(each).sum(dtype=float))
+            y /= each[:, None]
+            total[:-1] += r.T @ y
             y[:, 0] = 1
         return total
 
@@ -425,8 +468,14 @@ def fit_gathered(gather: Gather, rounds: int = EM_ROUNDS) -> Mixture:
 
     model = step(np.zeros_like(held))
     model.variances += 0.3  # wide at first, so that every line finds a component
+    before = -math.inf
     for _ in range(rounds):
-        model = step(gather(model.sums))
+        told = gather(model.sums)
+        model = step(told[:-1])
+        likely = told[-1, 0] / max(n_lines, 1)
+        if likely - before < SETTLED and before > -math.inf and likely >= before:
+            break
+        before = likely
     # what the examples say of each component
     said = model.responsibilities(own)
     weight = fixed.sum(axis=1)

@@ -82,11 +82,11 @@ def test_slices_don_t_matter(model):
 
 def test_column(spark):
     rows = [(k, t) for k, t in enumerate(t for forms in EXAMPLES.values() for t in forms)]
-    rows += [(900, None), (901, ""), (902, " \n\t"), (903, "The end of it was near. " * 20_000), (904, "​"), (None, rows[0][1]), (1, rows[1][1])]
+    rows += [(900, None), (901, ""), (902, " \n\t"), (903, "".join(f"The end of chapter {k} was near, and number {k * 7 % 1_000} began. " for k in range(20_000))), (904, "​"), (None, rows[0][1]), (1, rows[1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kind": F.lit(1), "f": F.lit(2)})
     got = Q.quality(df).toPandas()
     assert len(got) == len(rows) - 4 and not set(got.doc_id.dropna()) & {900, 901, 902, 904}
-    assert got[got.doc_id == 903].n_words.item() == 120_000 and got[got.doc_id == 903].kind.item() == "prose"
+    assert got[got.doc_id == 903].n_words.item() == 220_000 and got[got.doc_id == 903].kind.item() == "prose"
     assert got.groupby("doc_id").kind.nunique().max() == 1
     assert Q.quality(df.limit(0)).count() == 0
 
@@ -100,7 +100,7 @@ def test_every_line_of_every_document_is_fitted(spark):
     assert len(lines) > 3_900
     want, got = Q.fit_mixture(lines), Q.fit_documents(df)
     for name in ("shift", "scale", "weights", "means", "variances", "kinds"):
-        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-5, atol=1e-7), name
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-3, atol=1e-4), name
     assert np.allclose(got.shift, np.concatenate([lines, *(Q.describe([t]).features for t in forms)]).mean(axis=0, dtype=float))
 
 
@@ -108,4 +108,23 @@ def test_sums_are_those_of_the_responsibilities(model):
     lines = Q.describe([t for forms in EXAMPLES.values() for t in forms]).features
     x = (lines - model.shift) / model.scale
     r = model.responsibilities(x)
-    assert np.allclose(model.sums(lines), r.T @ np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1))
+    got = model.sums(lines)
+    assert np.allclose(got[:-1], r.T @ np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1), rtol=1e-3, atol=1e-2)
+    log = model._log(x)
+    assert got[-1, 0] == pytest.approx((np.log(np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)) + log.max(axis=1)).sum(), rel=1e-4)
+
+
+def test_fragments_over_and_over_at_any_distance(model):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    fragment = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long, block = fragment(30), f"{fragment(7)}\n{fragment(9)}\n{fragment(5)}\n"
+    han = "".join(chr(0x4E00 + rng.randint(0, 3_000)) for _ in range(20))
+    sentence = "The end of it was near. "
+    share = lambda text: float(Q.describe([text]).features[:, Q.FEATURES.index("period")].max())
+    for text in (f"{long} " * 6, block * 5, han * 6, sentence * 50, sentence * 2_000):
+        assert share(text) > 0.9
+        assert Q.KINDS[Q.document_kinds(Q.describe([text]), model, 1)[0].argmax()] == "junk", text[:50]
+    assert share(" ".join(rng.choice(words) for _ in range(300))) < 0.5
+    prose = EXAMPLES["prose"][0]
+    assert Q.KINDS[Q.document_kinds(Q.describe([prose]), model, 1)[0].argmax()] == "prose"
