@@ -1,7 +1,7 @@
 """Fixed values of the quality operator: common words and inspected examples of each kind.
 
-The examples are short texts in the forms that such corpora hold, each read and labelled by
-hand. A form is one component's start.
+The examples are short texts in the forms that such corpora hold, written for this purpose about harbours, gardens and
+kitchens, so that none of their lines is one of the corpus, and labelled by hand. A form is one component's start.
 """
 
 from __future__ import annotations
@@ -30,126 +30,128 @@ COMMON_WORDS: dict[str, tuple[str, ...]] = {
 
 _PROSE = (
     # one paragraph to a line
-    "The helper read the archived window twice because the first pass had failed. After that, the grader asked for another report, and nobody's "
-    "answer was ready. It is possible that the model opened the file before the deadline.\nIn message 93, a later step looked into the benchmark, but "
-    "the input record had been moved. \"I can't check it here,\" the worker wrote, then skipped the row.",
+    "The gardener watered the narrow bed twice because the first round had dried up. After that, the neighbour asked for another bucket, and nobody's "
+    "hose was long enough. It is likely that the cat opened the gate before the storm.\nIn chapter 41, a young sailor looked into the barrel, but "
+    "the last apple had been eaten. \"I can't smell it here,\" the cook said, then closed the lid.",
     # wrapped lines
-    "The sandbox explained the unlabelled verdict because a suspicious\ncommand came back unchanged? However, the assistant never renamed\nthe manifest, "
-    "and the other file was too long. It is obvious that\nthe solver documented one stack frame before exporting a report in\nthe wrong order. The run "
-    "stayed empty for 28 minutes.",
+    "The ferryman explained the unusual whistle because a cautious\npassenger came back wet? However, the captain never lowered\nthe anchor, "
+    "and the other boat was too slow. It is certain that\nthe pilot noticed one green lantern before steering a boat in\nthe wrong direction. The pier "
+    "stayed empty for 12 hours.",
     # narrow lines
-    "In message 75, the worker quoted the\nsocket, but a minimal snapshot could not\nbe found. After exporting the tool call,\nthe patched build "
-    "confirmed the chunk.\nThe operator narrowed one longer\npermission because another counter was\nstill missing.",
-    "the solver validated another report because one index was too\nlong, but the second attempt never asked for a copy of it and\nthis file list had no effect on what the grader wrote in the end",
-    "There were 21 steps in which the cleanup job mentioned a frozen\nreport. It is unlikely that the reviewer copied the dependency\nbefore rebuilding its own image. We should open that file\nfirst; otherwise "
-    "the planner won't check the row at all, and the\nrun will be lost.",
+    "In chapter 18, the baker tasted the\ndough, but a second loaf could not\nbe sold. After cooling the oven,\nthe tired apprentice swept the floor.\n"
+    "The miller carried one heavier\nsack because another cart was\nalready full.",
+    "the gardener trimmed another hedge because one branch was too\nlow, but the second ladder never reached the top of it and\nthis old rake had no handle on which the boy leaned at the end",
+    "There were 14 boats in which the harbour master counted a broken\noar. It is unlikely that the painter sold the easel\nbefore framing its only picture. We should visit that island\nfirst; otherwise "
+    "the ferry won't wait at all, and the\nday will be lost.",
     # a sentence to a line
-    "The model cached the notebook because another command failed.\nAfter rebuilding that public tool, the cleanup job stopped.\nAfter reading "
-    "`build/utils.toml`, the wrapper inspected its own brief.\nThe reviewer was not sure about the result.",
+    "The baker kneaded the dough because another oven failed.\nAfter cleaning that copper kettle, the cook went home.\nAfter climbing "
+    "`the/north/ridge`, the hiker lost its map again.\nThe pianist was not sure about the tempo.",
     # no capitals, no stops
-    "after exporting another call, the evaluator ignored every loose answer and then when the model narrowed another dataset, the notebook passed at last\n"
-    "this run copied the message because it was too long and then the planner asked for more time\nonly a few of the replies mention it, although the "
-    "grader had said so",
-    "Le programme résume les journaux avant de terminer la\ntâche. L'outil enregistre l'ancien résultat. La\nrévision lit la dernière étape dès le début. Le modèle\ncompare une longue liste "
-    "sans donner de\nraison.",
-    "Der Agent speichert keinen einzigen Test ohne einen\nGrund zu nennen. Das Werkzeug ändert die Datei noch\neinmal von vorn. Die Auswertung überspringt keinen\neinzigen Test.",
+    "after peeling another onion, the cook dropped every silver spoon and then when the guest ordered another soup, the kitchen closed at last\n"
+    "this boat reached the harbour because it was so light and then the sailor asked for more rope\nonly a few of the guests noticed it, although the "
+    "waiter had said so",
+    "Le jardinier arrose les tulipes avant de fermer la\nserre. L'apprenti ramasse l'ancien panier. La\nvoisine coupe la dernière rose dès le matin. Le facteur\nraconte une longue histoire "
+    "sans donner de\nnom.",
+    "Der Gärtner gießt keinen einzigen Baum ohne eine\nKanne zu holen. Der Nachbar streicht den Zaun noch\neinmal von oben. Die Köchin vergisst keinen\neinzigen Löffel.",
     # dialogue
-    "User: Could you look at the second report? It was never finished.\n\nAgent: The report is in the shared folder, and I have read it twice.\n\n"
-    "User: Then please write down what is missing from it.",
-    "[user]\nThe planner printed this window after a long pause. We should go on.\n\n[assistant]\nThat is right, but the second attempt has not been "
-    "saved yet.\n\n[user]\nPlease save it before the deadline, then.",
-    # sentences behind bullets
-    "* The linter printed this second reply under a new name.\n* When the solver patched one instruction, that chunk was not needed.\n* The operator "
-    "skipped a budget with great care.\n* It is not surprising that the second attempt quoted it.\n- The worker compared a queue in one step.",
+    "Guest: Could you bring the second soup? It was never warm.\n\nWaiter: The soup is in the kitchen, and I have tasted it twice.\n\n"
+    "Guest: Then please write down what is missing from it.",
+    "[guest]\nThe sailor painted this mast after a long winter. We should go on.\n\n[captain]\nThat is right, but the second sail has not been "
+    "mended yet.\n\n[guest]\nPlease mend it before the regatta, then.",
     # a short remark
-    "The worker looked at one row without any comment.",
+    "The sailor looked at one island without any wind.",
     # German, French, Spanish, Chinese
-    "Der zweite Lauf löscht den Zähler. Der Bericht meldet die Datei, obwohl die Anweisung etwas anderes sagt. Das Modell wiederholt eine größere "
-    "Tabelle, weil der Speicher nicht reicht.\nDie Prüfung speichert das Protokoll, ohne einen Grund zu nennen.",
-    "Die Auswertung verschiebt den langen\nBericht, obwohl die Anweisung etwas\nanderes sagt. Die Prüfung vergleicht die\nFehlermeldung, weil der "
-    "Speicher nicht\nreicht. Der Helfer liest die Grenze noch\neinmal von vorn.",
-    "La deuxième tentative ignore l'ancien résultat pour gagner du temps. La révision résume la dernière étape. L'outil répète l'ancien résultat, "
-    "parce que le temps est limité.\nLe programme ouvre le dossier partagé dès le début, même si le test échoue.",
-    "La prueba resume el resultado anterior. El modelo compara una lista larga, aunque la prueba falle. El informe mueve la tabla vacía para no perder "
-    "más tiempo.\nLa herramienta revisa la respuesta esperada desde el principio, sin dar ninguna razón.",
-    "监控器读取了日志。测试程序重复了最后一步，然后结束了任务。代理比较了最后一步，但是没有说明原因。评审员跳过了空白的表格，为了节省时间。\n模型检查了旧的结果，而且顺序不对。",
-    "* 评审员跳过了日志，因为时间不够。\n* 代理比较了很长的列表。\n* 测试程序删除了预期的答案，为了节省时间。\n* 这个脚本跳过了隐藏的文件。",
+    "Der zweite Koch wäscht den Teller. Der Gast lobt die Suppe, obwohl die Karte etwas anderes sagt. Der Kellner bringt eine größere "
+    "Schüssel, weil der Topf nicht reicht.\nDie Bäuerin füttert das Pferd, ohne einen Eimer zu holen.",
+    "Die Gärtnerin beschneidet den hohen\nApfelbaum, obwohl der Kalender etwas\nanderes rät. Die Nachbarin vergießt die\nLimonade, weil der "
+    "Becher nicht\ndicht ist. Der Enkel malt die Brücke noch\nzweimal von Hand.",
+    "La deuxième équipe oublie l'ancien bateau pour gagner du terrain. La boulangère range la dernière brioche. Le pêcheur raconte l'ancien voyage, "
+    "parce que le vent est tombé.\nLe berger ouvre la porte du jardin dès le matin, même si la neige tombe.",
+    "La abuela guarda el pan anterior. El pescador compara una barca larga, aunque la lluvia caiga. El cartero mueve la silla azul para no perder "
+    "más luz.\nLa vecina riega la planta dormida desde el balcón, sin dar ninguna vuelta.",
+    "渔夫修好了木船。老师擦了一遍黑板，然后关上了窗户。厨师尝了新做的汤，但是没有放盐。邻居借走了长长的梯子，为了修屋顶。\n孩子画了一座小桥，而且颜色不对。",
     # wrong characters in good sentences
-    "Der zweite Lauf Ã¶ffnet den ZÃ¤hler, obwohl die Anweisung etwas anderes sagt. Die PrÃ¼fung Ã¤ndert eine grÃ¶ÃŸere Tabelle, weil der Speicher nicht reicht.",
-    "We donâ€™t know why the grader ignored the &quot;main&quot; file &amp; the report. It wasnâ€™t in the &#96;shared&#96; folder, and nobody had asked.",
+    "Der zweite Koch Ã¶ffnet den Kessel, obwohl die Karte etwas anderes rÃ¤t. Die BÃ¤uerin fÃ¼ttert eine grÃ¶ÃŸere Ziege, weil der Eimer nicht reicht.",
+    "We donâ€™t know why the baker ignored the &quot;small&quot; oven &amp; the bread. It wasnâ€™t in the &#96;kitchen&#96; cupboard, and nobody had asked.",
 )
 
 _LIST = (
-    "* private function (9)\n* unused metric\n  * partial rationale (11)\n* verbose script\n  * loose timer\n* numbered frame (33)\n* generated commit\n  * quiet counter",
-    "- branch\n- brittle database\n- longer benchmark\n- stack frame\n- seed\n- loose report\n- error message",
-    "• empty exception – shared\n• final snapshot – stale\n• container – duplicate\n• slow function – partial\n• trace – minimal",
-    "[ ] compare empty directory\n[x] export minimal warning\n[x] restore suspicious assertion\n[ ] trace longer seed\n[ ] tag branch",
-    "(1) earlier header, 48 x\n(2) task brief, 15 x\n(3) compressed diff, 85 x\n(4) duplicate commit, 78 x\n(5) budget, 63 x",
-    "1. Query the verbose file list.\n2. Profile the temporary queue.\n3. Measure the hidden exception.\n4. Rewrite the loose dependency.\n5. Tag the archive.",
-    "a) signed permission;\nb) archived prompt;\nc) score table;\nd) noisy reply;\ne) final config;\nf) database;",
-    "input record\ncommit\nloose database\nlonger task brief\nrow\nbudget\narchived database\nbroken chunk\ncache entry",
-    "src/main.md\neval/utils.json\ndata/loader90.json\ntests/ledger33.log\neval/queue.json\ntests/retry.md",
-    "hidden trace, report, loose permission, loose exception, shared schema, unused task brief, signed benchmark, frozen queue, missing prompt, "
-    "duplicate transcript, expected function, row, window",
-    "* die Datei\n* eine größere Tabelle\n* das Ergebnis (17)\n* die Fehlermeldung (31)\n  * den alten Ordner\n* keinen einzigen Test (30)",
-    "a) den alten Ordner;\nb) la carpeta común;\nc) le tableau vide;\nd) die Grenze;\ne) una lista larga;\nf) chaque message;",
-    "[x] la carpeta común\n[ ] le dossier partagé\n[ ] el último paso\n[x] das Ergebnis\n[ ] chaque message",
-    "el resultado anterior\nlos registros\nla respuesta esperada\nune longue liste\nle fichier caché\ndie fehlende Zeile\nden Zähler",
-    "el resultado anterior, los registros, una lista larga, la carpeta común, el archivo oculto, la respuesta esperada, le tableau vide, die Datei, das Protokoll, den Zähler",
-    "• 日志 – hidden\n• 共享目录 – unreviewed\n• 旧的结果 – minimal\n• 空白的表格 – temporary\n• 预期的答案 – expected",
-    "- 空白的表格\n- 日志\n- 隐藏的文件\n[ ] 共享目录\n[x] 很长的列表\n1. 最后一步\n2. 旧的结果",
-    "隐藏的文件, 共享目录, redundant metric, 预期的答案, 隐藏的文件, strict transcript, 很长的列表, 旧的结果, limit, 日志, hidden answer key, 空白的表格",
-    "(1) chaque message, 15 x\n(2) la dernière étape, 25 x\n(3) el último paso, 9 x\n(4) die Fehlermeldung, 41 x\n(5) 共享目录, 36 x",
-    "la dernière étape, une longue liste, les journaux, le dossier partagé, les journaux, l'ancien résultat, chaque message, la réponse attendue",
-    "commit, odd snapshot, unlabelled log line, remote snapshot, checkpoint, private pipeline, threshold, private log line, remote report",
-    "空白的表格, 旧的结果, 最后一步, 日志, 共享目录, 很长的列表, 预期的答案, transcript, 隐藏的文件, 旧的结果, 日志, 最后一步",
-    "la dernière étape\nle fichier caché\nune longue liste\nla consigne\nles journaux\nle dossier partagé\nchaque message\nl'ancien résultat\nla réponse attendue",
-    "das Ergebnis\nden langen Bericht\ndie Datei\nden Zähler\ndie Grenze\nkeinen einzigen Test\ndie fehlende Zeile\ndie Fehlermeldung\neine größere Tabelle",
-    "la respuesta esperada\nla carpeta común\nla consigna\nel archivo oculto\nel último paso\ncada mensaje\nuna lista larga\nlos registros",
-    "日志\n最后一步\n空白的表格\n隐藏的文件\n旧的结果\n共享目录",
+    # sentences behind bullets
+    "* The gardener planted this second tulip under a new roof.\n* When the baker burned one loaf, that oven was not cleaned.\n* The captain "
+    "folded a sail with great care.\n* It is not surprising that the second cook tasted it.\n- The painter framed a picture in one hour.",
+    "* 厨师洗干净了盘子，因为客人来了。\n* 渔夫卖掉了很旧的渔网。\n* 老师借走了红色的雨伞，为了去车站。\n* 这个孩子看见了飞过的风筝。",
+    "* Die Köchin wäscht keinen einzigen Teller.\n* Der Gast lobt die Suppe, nur für kurze Zeit.\n* Der Gärtner gießt die Wiese noch einmal von oben.\n* Die Bäuerin füttert das Pferd, obwohl der Kalender etwas anderes rät.",
+    "- Le pêcheur raconte l'ancien voyage dès le matin.\n- La vecina riega la planta dormida aunque la lluvia caiga.\n- Le berger ouvre la porte du jardin.\n- El cartero mueve la silla azul para no perder más luz.",
+    "* wooden lantern (9)\n* hollow kettle\n  * velvet curtain (11)\n* crooked ladder\n  * silver spoon\n* northern harbour (33)\n* painted wagon\n  * gentle whistle",
+    "- meadow\n- crimson umbrella\n- narrow footbridge\n- garden gate\n- moss\n- woolen blanket\n- apple orchard",
+    "• frozen waterfall – northern\n• copper teapot – dented\n• lighthouse – abandoned\n• quiet harbour – foggy\n• piano – polished",
+    "[ ] polish copper lantern\n[x] repair northern lighthouse\n[x] collect ripened blackberries\n[ ] plant taller tulip\n[ ] paint fence",
+    "(1) woolen blanket, 48 x\n(2) tin whistle, 15 x\n(3) striped umbrella, 85 x\n(4) porcelain teacup, 78 x\n(5) ladder, 63 x",
+    "1. Polish the wooden door handle.\n2. Water the thirsty orchid.\n3. Sharpen the kitchen scissors.\n4. Repaint the faded signpost.\n5. Close the orchard.",
+    "a) painted pumpkin;\nb) bottled lemonade;\nc) piano stool;\nd) woolen glove;\ne) copper basin;\nf) umbrella;",
+    "garden chair\nlantern\nvelvet umbrella\nlarger tea towel\ntin\nbasket\npolished teacup\nwicker fence\nwater wheel",
+    "docs/harbour.md\nrecipes/onion.json\nplans/orchard71.json\nmaps/island28.log\nrecipes/lemon.json\nplans/cellar.md",
+    "woolen blanket, lantern, striped umbrella, copper kettle, wicker basket, roasted chestnut, painted pumpkin, silver spoon, garden gate, frozen waterfall, "
+    "tin whistle, velvet curtain, chair, orchard",
+    "* die Brücke\n* eine größere Laterne\n* das Fenster (17)\n* die Apfelernte (31)\n  * den alten Kirschbaum\n* keinen einzigen Löffel (30)",
+    "a) den alten Kirschbaum;\nb) la ventana azul;\nc) le jardin fleuri;\nd) die Wiese;\ne) una barca larga;\nf) chaque pommier;",
+    "[x] la ventana azul\n[ ] le panier percé\n[ ] el último tren\n[x] das Fenster\n[ ] chaque pommier",
+    "el puente antiguo\nlos zapatos\nla montaña nevada\nune longue échelle\nle chapeau gris\ndie rostige Schaufel\nden Teekessel",
+    "el puente antiguo, los zapatos, una barca larga, la ventana azul, el gato dormido, la montaña nevada, le jardin fleuri, die Brücke, das Klavier, den Teekessel",
+    "• 雨伞 – northern\n• 红色风筝 – abandoned\n• 旧的渔网 – polished\n• 木头的小桥 – foggy\n• 新做的面包 – dented",
+    "- 木头的小桥\n- 雨伞\n- 飞过的风筝\n[ ] 红色风筝\n[x] 长长的梯子\n1. 最后一班车\n2. 旧的渔网",
+    "飞过的风筝, 红色风筝, striped umbrella, 新做的面包, 飞过的风筝, copper kettle, 长长的梯子, 旧的渔网, lantern, 雨伞, wicker garden gate, 木头的小桥",
+    "(1) chaque pommier, 15 x\n(2) la dernière brioche, 25 x\n(3) el último tren, 9 x\n(4) die Apfelernte, 41 x\n(5) 红色风筝, 36 x",
+    "la dernière brioche, une longue échelle, les tulipes, le panier percé, les tulipes, l'ancien moulin, chaque pommier, la fenêtre ouverte",
+    "lantern, odd umbrella, unpainted tea towel, northern harbour, lighthouse, copper teapot, waterfall, woolen tea towel, northern orchard",
+    "木头的小桥, 旧的渔网, 最后一班车, 雨伞, 红色风筝, 长长的梯子, 新做的面包, umbrella, 飞过的风筝, 旧的渔网, 雨伞, 最后一班车",
+    "la dernière brioche\nle chapeau gris\nune longue échelle\nla serrure\nles tulipes\nle panier percé\nchaque pommier\nl'ancien moulin\nla fenêtre ouverte",
+    "das Fenster\nden langen Schal\ndie Brücke\nden Teekessel\ndie Wiese\nkeinen einzigen Löffel\ndie rostige Schaufel\ndie Apfelernte\neine größere Laterne",
+    "la montaña nevada\nla ventana azul\nla cuchara\nel gato dormido\nel último tren\ncada naranja\nuna barca larga\nlos zapatos",
+    "雨伞\n最后一班车\n木头的小桥\n飞过的风筝\n旧的渔网\n红色风筝",
 )
 
 _TABLE = (
-    "snapshot,index,schema,score_table\nosprey-1,25965,52746,94725\ncorvid-3-mini,7521,51475,5525\nlumen-small,9407,62154,32494\n,37356,39622,96597",
-    "image;log_line;column;archive;exception\nschema;9.98;7985;fixture;prompt\nunit test;;38097;verdict;summary\nlabel;13.08;47647;baseline;\n;38230;label;2.81;row",
-    "notebook\tprompt\tdiff\tinput_record\nbramble-xl\tdirectory\t50.35\tcorvid-3-mini\nosprey-1\tpatch\t47.84\ttarn-9\n\tcontainer\t26.10\tlumen-large",
-    "| parameter | function | prompt | branch |\n|---|---|---|---|\n| bramble-xl | 93265 | corvid-3-mini | 32.28 |\n| tarn-9 | 66989 | osprey-1 | 35.01 |\n| lumen-large |  | | 4.2 |",
-    "+-------------------+-------------------+-------------------+\n|parameter          |error_message      |fixture            |\n+-------------------+-------------------+-------------------+\n"
-    "|                   |90.11              |lumen-small        |\n|72.53              |50.82              |8622               |",
-    "task_brief        timer             row               score_table\n47864             15094             4477              32.83\n                  28024             60.51             20301\n"
-    "lumen-small       file list         75.27             index",
-    "exception,warning,answer_key,log_line\ncorvid-3,seed,notebook,corvid-3\nosprey-1,token count,snapshot,queue\nimage,,shell command,tarn-9",
-    "stack_frame;threshold;notebook\ncorvid-3;tarn-9;88562\n;14.27;\ntarn-9;32.93;row",
-    "summary\tchunk\tprompt\nrationale\tlimit\t96392\nscript\twarning\t\nbenchmark\tparameter\t71741",
-    "id;x;n\n1;b;101\n2;c;102\n3;;103\n4;e;104\n5;f;10",
-    "branch | header | timer\nsample | osprey-1 | 44.81\ncache entry | 5.31 | 91.57\nfile list | bramble-xl |",
+    "harvest,month,village,rain_total\nmill-7,31852,40917,86314\nharbour-4-east,6217,70348,9152\nmeadow-north,2860,51943,47208\n,61935,20847,71306",
+    "teapot;sea_level;valley;orchard;lighthouse\nlantern;7.41;6193;kettle;ladder\ntea room;;52068;meadow;cellar\nvillage;21.36;80415;bridge;\n;61927;tulip;5.07;mill",
+    "piano\tbridge\tsalt\train_total\nmeadow-xl\torchard\t61.04\tharbour-4-east\nmill-7\tcellar\t38.92\tcove-2\n\tlighthouse\t17.55\tmeadow-west",
+    "| harvest | village | bridge | lantern |\n|:--|--:|:-:|---|\n| meadow-xl | 71830 | harbour-4-east | 18.64 |\n| cove-2 | 50917 | mill-7 | 27.03 |\n| meadow-west |  | | 6.1 |",
+    "+------------------+----------------+--------------------+\n|harvest           |sea level       |kettle              |\n+------------------+----------------+--------------------+\n"
+    "|                  |81.06           |meadow-north        |\n|63.47             |41.75           |7903                |",
+    "tea_room         ladder            mill              rain_total\n38190            20716             5832              18.64\n                 41903             71.26             30857\n"
+    "meadow-north     garden gate       63.80             month",
+    "lantern,umbrella,sea_level,tea_room\nharbour-4,moss,piano,harbour-4\nmill-7,salt water,orchard,ladder\nkettle,blanket,garden gate,cove-2",
+    "sea_level;waterfall;piano\nharbour-4;cove-2;71390\n;23.58;\ncove-2;41.07;mill",
+    "cellar\tvalley\tbridge\norchestra\ttulip\t81207\nbasket\tumbrella\t\ntelescope\tharvest\t60354",
+    "id;y;k\n1;f;204\n2;g;207\n3;;211\n4;h;212\n5;j;30",
+    "meadow | kettle | ladder\nlantern | mill-7 | 51.28\ntea room | 6.93 | 80.14\ngarden gate | meadow-xl |",
 )
 
 _JUNK = (
-    "2025-05-07T05:10:18Z ERROR run_all[9661] compare=68596 path=/eval/sort_keys.csv ms=3322\n2025-04-04T07:08:04Z DEBUG run_all[6685] read=18104 path=/eval/parse.log ms=6861\n"
-    "2025-06-14T11:02:51Z INFO merge[120] tag=67421 path=/jobs/retry.md ms=222",
-    "00000000  1a 34 fe 62 9d 7b ba 05 35 28 e3 ff dd 4d 31 47\n00000010  9c d2 81 a9 e5 9a 79 98 ac c4 f0 d6 1a 0f bb 31\n00000020  71 70 0e ba 86 dc db 0b 28 fa e6 64 7e a3 3d b0",
-    '  File "/jobs/sort_keys.sh", line 694, in utils\n    nufonoda(bidotu[2])\n  File "/build/sort_keys.txt", line 1, in stats\n    runiro(dema[7])\n  File "/src/index.sh", line 724, in score\n    budi(sehuzo[3])',
-    "  0%|                              | 0/604 [19.45s]\n  5%|█                             | 1/604 [51.54s]\n 11%|██                            | 2/604 [43.59s]\n 41%|████████████                  | 9/604 [53.55s]",
-    '[{"retry":8639,"tuto":[2,5],"ok":true},{"parse":8810,"zilini":[2,0],"ok":false},{"ledger":6213,"kikude":[8,3],"ok":false},{"stats":12,"vo":[7,3],"ok":true}]',
-    "B1byQ2WLyd9NjqflRFm3Tb39Pz/fKYyXfvDFkYt5D7xsJljzAUZ1A2j8vpN77rWMgdDo/oQ/ykYc\n2cHZ+F9aMZ3Whn9MVUjTyFklY+42dHBFAKC6fbQ415H5pERvf/Q/mrSqbY0EtNNtttARm3PuErqk\ntCFEUXJ1ONwfAsFhFUsuPlDozQslJhSLMUtdH7kOiiP4",
-    "*********************\n***************************************\n**************************************** test file *********\n************************************************",
-    "############################################################\n################################\n##################################################### row ######\n--------------------------------- notebook ---------\n=====================================",
-    "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~\n._._._._._._._._._._._._._._._._._._._._._._._\n- - - - - - - - - - - - - - - - - - - - - -",
-    "metric metric metric metric metric metric metric metric metric metric metric metric metric metric metric metric metric metric",
-    "at the end at the end at the end at the end at the end at the end at the end at the end at the end at the end at the end at the end",
-    "without any comment without any comment without any comment without any comment without any comment without any comment",
-    "from the beginning from the beginning from the beginning from the beginning under a new name under a new name under a new name under a new name",
-    "directory directory directory directory directory directory directory directory directory directory directory directory",
-    "file list file list file list file list file list file list file list file list file list file list file list file list",
-    "Token Count | Benchmark | Test File | Tool Call | Limit | Unit Test [+]\nToken Count | Benchmark | Test File | Tool Call | Limit | Unit Test »\nToken Count | Benchmark | Test File | Tool Call | Limit | Unit Test\n"
-    "Token Count | Benchmark | Test File | Tool Call | Limit | Unit Test [+]",
-    "xewywe tyhggzdoz braceeau vfvalwxw vav tfm evfqai lghvurlbm whwmxbj qzowkqpdm cmjrwswr ibrd rdpyyvhsj hk kygnwscf xgrddabwb wti bv ame dwvyz zkdsnqak fwvessqpa",
-    "nuhkrvi qt qmyhwzv sqythzqv bbjuktr rlp hdrmcfwy maxtb sjb ndi uqgfm uz ewrc aylq hzelnv njwnaedwh mjyo iqt ckz kyiqez xfqplgyr iookzjh fkytl xdo lvwoe cda "
-    "asdhtr anmedbvuf kppmacv qd vkvta iyoz mflduqne zglbwtwwh uqe rekpcbd ssmtqzyib cihehob sfwx nvt izt smrfellms bf bbctncq ozozilpq xkek dcz",
-    "™œ‰šš€™âœƒ â€‰ƒƒ€‰ƒšƒš‰‰ƒ€™ƒ€ €š€‰€ œ‰œÃƒÂƒƒÃ€€™‰âÃšƒ € ™€ œƒÂœœ€œ€ÃÂ™€ € œ€ƒâÃÃšâ‰‰™â™Âƒ€Ãœ™ šš€Â œš€ââƒ™ âÂ€šÂƒâÂƒ��‰™ ‰ÃšœâÂ™™âÃ",
-    "3f9a0c7be1d24458a6b0ffde91c2aa37 77be1d24458a6b0ffde91c2aa373f9a0\n0x7ffee4c3 0x00000000 0x1f00a2b4 0xdeadbeef 0x00ff12aa 0x7ffee4d0",
-    "一一一一一一一一一一一一一一一一一一一一一一一一\n重复重复重复重复重复重复重复重复重复重复重复重复重复重复",
+    "2024-11-19T21:37:52Z ERROR pump[4137] valve=40517 path=/boiler/steam_gauge.csv ms=5180\n2024-10-02T16:45:33Z DEBUG pump[8810] drain=26059 path=/boiler/pipe.log ms=2047\n"
+    "2024-12-27T03:19:08Z INFO crane[655] lift=81930 path=/dock/winch.md ms=731",
+    "00000000  c7 09 5e a3 18 f4 66 2d 80 b9 37 ec 51 0a d2 9f\n00000010  3b e8 72 14 cd 5f 90 a6 0e 47 bb 83 f1 2c 69 d5\n00000020  58 1d 94 e0 7c 33 af 06 c2 8b 15 de 40 f9 67 a1",
+    '  File "/dock/steam_gauge.sh", line 508, in winch\n    perikalu(sodame[7])\n  File "/boiler/steam_gauge.txt", line 8, in cranes\n    lomuta(ribe[1])\n  File "/pier/valve.sh", line 357, in lift\n    gado(nafupe[6])',
+    "  0%|                              | 0/418 [27.03s]\n  7%|██                            | 3/418 [62.94s]\n 13%|███                           | 5/418 [31.16s]\n 46%|█████████████                 | 8/418 [74.20s]",
+    '[{"valve":5127,"meso":[4,1],"ok":true},{"winch":3094,"ralupo":[7,6],"ok":false},{"crane":8351,"dobesa":[2,9],"ok":false},{"lifts":47,"ga":[1,8],"ok":true}]',
+    "R7kXz0mNqT4uVb9YdLpE2sHcW1gJ/aFi5oOtQK8rMeU3wxZlC6nByAvDhGfSPj+IoXkq\nTm2vEwRbN8/YzLc5uHgKd1JpQaX7sFfC0iVUyO4tGnMeBr3hZAjkW9lSxPqDo6ITEbv1\nYmCw4sRkHd/0uNfLz8VtJgXa5Q+Ke7OiPUq2BpMhZyc3WxDlTFnGrSA9jEoI6vVbQmNt",
+    "**********************\n****************************************\n***************************************** tea room *********\n**************************************************",
+    "##############################################################\n#################################\n###################################################### mill ######\n---------------------------------- piano ---------\n======================================",
+    "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~\n._._._._._._._._._._._._._._._._._._._._._._._._\n- - - - - - - - - - - - - - - - - - - - - - -",
+    "lantern lantern lantern lantern lantern lantern lantern lantern lantern lantern lantern lantern lantern lantern lantern lantern lantern",
+    "on the pier on the pier on the pier on the pier on the pier on the pier on the pier on the pier on the pier on the pier on the pier",
+    "before every meal before every meal before every meal before every meal before every meal before every meal before every meal",
+    "for the second winter for the second winter for the second winter for the second winter for a new roof for a new roof for a new roof for a new roof",
+    "lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse",
+    "tea room tea room tea room tea room tea room tea room tea room tea room tea room tea room tea room tea room tea room",
+    "Our Harbour | Tea Room | Opening Hours | Lost Property | Map | Garden [+]\nOur Harbour | Tea Room | Opening Hours | Lost Property | Map | Garden »\nOur Harbour | Tea Room | Opening Hours | Lost Property | Map | Garden\n"
+    "Our Harbour | Tea Room | Opening Hours | Lost Property | Map | Garden [+]",
+    "qizetu wjkrmbop sulaegnt xkpdyqzr jom bhw uxtefi kzpwqlmbo dfrgykxj mzwotqbksd vhpylquz aokt nwszzkcpf qw rbymtkwej fzxdurwola cnp vu xej bkdru nqpvzoam gyexmrrpts",
+    "ojgtwzp mk uvkxnrq bhzfwqmm sqpdl wfo jgdxslyb tnkcu pxw iyz dwksuc pl qemf zurk gvoykt wpxbhkvs yrno zmw oea rgmzn jhbdyo vtqkosib zulprwq ydmto bwcxkr nej wv "
+    "pqxlef bnhvutro gmzz wy kvtru mohd kfqdzlrm ucjywasp tze lxubqvi nrwz pmlgtyaej yowfrkd knvb dop ygz ahpflrtc zs qmmyzdu rinoxbte vbjw gyl",
+    "€œšƒ‰™™â€ÃœÂ ‰€ŠšƒÂ™â €™ƒ‰œ ‰‰œ™ÂÃ€€ šƒâ™Â œ‰€ÃÃš ‰™ €ƒƒœÂ™œ‰â€ Â™šƒ‰ €œâÃ ™™‰šÂÂ€œ ƒƒ‰â€ÃÃ™šœ‰ €€Ââ™™ƒš��€œ‰Â Ãƒâ™€œšÂ‰ ™œ",
+    "b41e7d90c5a2638ff0127ad94e6bc385 90c5a2638ff0127ad94e6bc385b41e7d\n0x5560a1f8 0x00000000 0x3e11c90d 0xcafed00d 0x00aa41b7 0x5560a204",
+    "三三三三三三三三三三三三三三三三三三三三三三三三\n下雨下雨下雨下雨下雨下雨下雨下雨下雨下雨下雨下雨下雨下雨",
 )
 
 EXAMPLES: dict[str, tuple[str, ...]] = {"prose": _PROSE, "list": _LIST, "table": _TABLE, "junk": _JUNK}
