@@ -78,7 +78,7 @@ _VOWELS = "aeiouyäöüàâéèêëîïôùûáíóúñœæ"
 _BULLETS = "-*•+–—●▪·‣◦"
 _MAX_LAG = 12
 #: Words that must recur together, and the share of a text's words that must do so at one distance, for a fragment said over and over.
-GRAM, OVER_AND_OVER = 6, 0.5
+GRAM, OVER_AND_OVER = 6, 0.6
 _POWERS = np.power(np.uint64(1_099_511_628_211), np.arange(40, dtype=np.uint64))
 _LANGUAGES = tuple(COMMON_WORDS)
 
@@ -315,11 +315,8 @@ def _over_and_over(h: np.ndarray, document: np.ndarray, n_docs: int) -> np.ndarr
     if not len(at):
         return out
     pairs, count = np.unique(document[at].astype(np.int64) << 32 | (at - before), return_counts=True)
-    of, lag = pairs >> 32, pairs & 0xFFFFFFFF
     words = np.bincount(document, minlength=n_docs)
-    # a fragment said twice has recurred over half the text
-    share = count / np.maximum(words[of] - np.minimum(lag, words[of] // 2) - GRAM + 1, GRAM)
-    np.maximum.at(out, of, np.minimum(share, 1.0))
+    np.maximum.at(out, pairs >> 32, count / np.maximum(words[pairs >> 32], 1))  # said k times: about 1 - 1 / k
     return np.where(out >= OVER_AND_OVER, out, 0.0)
 
 

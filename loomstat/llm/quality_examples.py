@@ -142,6 +142,10 @@ _JUNK = (
     "on the pier on the pier on the pier on the pier on the pier on the pier on the pier on the pier on the pier on the pier on the pier",
     "before every meal before every meal before every meal before every meal before every meal before every meal before every meal",
     "for the second winter for the second winter for the second winter for the second winter for a new roof for a new roof for a new roof for a new roof",
+    # a sentence, and some lines in turn
+    "The gulls came back at noon. " * 8,
+    "The tide rose, and the boats were pulled up to the wall.\nNobody had seen the pilot.\n" * 5,
+    "the old ferry to the island leaves at nine and returns with the mail before it gets dark so bring a coat and some bread " * 4,
     "lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse lighthouse",
     "tea room tea room tea room tea room tea room tea room tea room tea room tea room tea room tea room tea room tea room",
     "Our Harbour | Tea Room | Opening Hours | Lost Property | Map | Garden [+]\nOur Harbour | Tea Room | Opening Hours | Lost Property | Map | Garden »\nOur Harbour | Tea Room | Opening Hours | Lost Property | Map | Garden\n"

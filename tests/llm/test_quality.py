@@ -81,12 +81,16 @@ def test_slices_don_t_matter(model):
 
 
 def test_column(spark):
+    some = ("The end was near", "Nobody had seen the old pilot", "We did not expect that it would fail so early", "It was late, and the road to the coast was long", "She wrote to him")
+    rng = random.Random(4)
+    said = [rng.choice(some) for _ in range(30_000)]
+    long = ". ".join(said) + "."
     rows = [(k, t) for k, t in enumerate(t for forms in EXAMPLES.values() for t in forms)]
-    rows += [(900, None), (901, ""), (902, " \n\t"), (903, "".join(f"The end of chapter {k} was near, and number {k * 7 % 1_000} began. " for k in range(20_000))), (904, "​"), (None, rows[0][1]), (1, rows[1][1])]
+    rows += [(900, None), (901, ""), (902, " \n\t"), (903, long), (904, "​"), (None, rows[0][1]), (1, rows[1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kind": F.lit(1), "f": F.lit(2)})
     got = Q.quality(df).toPandas()
     assert len(got) == len(rows) - 4 and not set(got.doc_id.dropna()) & {900, 901, 902, 904}
-    assert got[got.doc_id == 903].n_words.item() == 220_000 and got[got.doc_id == 903].kind.item() == "prose"
+    assert got[got.doc_id == 903].n_words.item() == sum(len(x.split()) for x in said) and got[got.doc_id == 903].kind.item() == "prose"
     assert got.groupby("doc_id").kind.nunique().max() == 1
     assert Q.quality(df.limit(0)).count() == 0
 
@@ -123,8 +127,8 @@ def test_fragments_over_and_over_at_any_distance(model):
     sentence = "The end of it was near. "
     share = lambda text: float(Q.describe([text]).features[:, Q.FEATURES.index("period")].max())
     for text in (f"{long} " * 6, block * 5, han * 6, sentence * 50, sentence * 2_000):
-        assert share(text) > 0.9
+        assert share(text) > 0.7
         assert Q.KINDS[Q.document_kinds(Q.describe([text]), model, 1)[0].argmax()] == "junk", text[:50]
-    assert share(" ".join(rng.choice(words) for _ in range(300))) < 0.5
+    assert share(" ".join(rng.choice(words) for _ in range(300))) < 0.5 and share(f"{long}\n\n{long}") < 0.5
     prose = EXAMPLES["prose"][0]
     assert Q.KINDS[Q.document_kinds(Q.describe([prose]), model, 1)[0].argmax()] == "prose"
