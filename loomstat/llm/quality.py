@@ -37,6 +37,8 @@ SLICE = 1 << 20
 STEP_LINES = 1 << 9
 #: Visible characters under which a line is seen together with its neighbours.
 SHORT_LINE = 120
+#: Lines of more words are alike in length.
+LONG_LINE = 200
 EM_ROUNDS = 25
 #: The fit ends where a round raises the mean log-likelihood of a line by less.
 SETTLED = 0.005
@@ -263,7 +265,7 @@ def describe(texts: Sequence[str]) -> Lines:
 
     common = np.bincount(wl[which > 0], minlength=n_lines) / np.maximum(n_words, 1)
     f = np.empty((n_lines, len(FEATURES)), np.float32)
-    f[:, 0] = np.log1p(n_words)
+    f[:, 0] = np.log1p(np.minimum(n_words, LONG_LINE))
     f[:, 1] = common
     f[:, 2] = digits / visible
     f[:, 3] = symbols / visible
