@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,44 +108,21 @@ def character_windows(transcript: DataFrame, budget: int, overlap: int = 0) -> D
     sizes = transcript.groupBy("run_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", F.length("content").alias("n")))), lambda x: x["n"]).alias("sizes")
     )
-    if overlap:
-        spans = F.pandas_udf(lambda s: _walk(s, budget, overlap), "array<struct<start:int,end:int>>")(F.col("sizes"))
-    else:
-        last = lambda ends: F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))
-        state = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("total"), F.lit(0).alias("n"))
-        done = F.aggregate(
-            "sizes",
-            state,
-            lambda a, n: F.when(
-                (a["n"] > last(a["ends"])) & (a["total"] + n > budget),
-                F.struct(F.concat(a["ends"], F.array(a["n"])).alias("ends"), n.alias("total"), (a["n"] + 1).alias("n")),
-            ).otherwise(F.struct(a["ends"].alias("ends"), (a["total"] + n).alias("total"), (a["n"] + 1).alias("n"))),
-            lambda a: F.concat(a["ends"], F.array(a["n"])),
-        )
-        sizes = sizes.withColumn("ends", done)
-        spans = F.transform(
-            "ends", lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.get("ends", i - 1)).alias("start"), e.alias("end"))
-        )
+    spans = F.pandas_udf(lambda s: s.map(lambda x: window_spans(x, budget, overlap)), "array<struct<start:int,end:int>>")(F.col("sizes"))
     told = sizes.select("run_id", F.posexplode(spans).alias("chunk_index", "s"))
     return told.select("run_id", "chunk_index", F.col("s.start").alias("start_message"), F.col("s.end").alias("end_message"))
 
 
-def _walk(sizes: pd.Series, budget: int, overlap: int) -> pd.Series:
-    return pd.Series([list(_spans(list(map(int, s)), budget, overlap)) for s in sizes])
-
-
-def _spans(sizes: list[int], budget: int, overlap: int) -> Iterator[dict[str, int]]:
-    first, n = 0, len(sizes)
-    while first < n:
-        stop, held = first + 1, sizes[first]
-        while stop < n and held + sizes[stop] <= budget:
-            held += sizes[stop]
-            stop += 1
-        yield {"start": first, "end": stop}
-        if stop == n:
-            return
-        shared, first_next = 0, stop
-        while first_next - 1 > first and shared + sizes[first_next - 1] <= overlap:
-            first_next -= 1
-            shared += sizes[first_next]
-        first = first_next
+def window_spans(sizes: Sequence[int], budget: int, overlap: int) -> list[dict[str, int]]:
+    """The windows over messages of given sizes, by binary search in their summed sizes."""
+    upto = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+    last, first, out = len(upto) - 1, 0, []
+    while last > 0:
+        # the furthest end within the budget, one message at least
+        end = max(first + 1, int(np.searchsorted(upto, upto[first] + budget, "right")) - 1)
+        out.append({"start": first, "end": end})
+        if end == last:
+            break
+        # the earliest start whose messages up to the end are within the overlap; without one nothing is shared
+        first = max(first + 1, int(np.searchsorted(upto, upto[end] - overlap, "left"))) if overlap else end
+    return out

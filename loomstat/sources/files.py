@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import MutableMapping, Sequence
 from functools import lru_cache
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
 
@@ -62,8 +63,11 @@ def in_order(df: DataFrame, ids: Sequence[int], key: str = "run_id") -> DataFram
     return df.join(places, key).orderBy("_place").drop("_place")
 
 
-def parse_ids(text: str, allowed: Sequence[int] | None = None, limit: int | None = None) -> list[int]:
-    """Ids from a comma list or a file of lines; ids outside ``allowed`` are refused, its order is kept."""
+def parse_ids(text: str, allowed: Sequence[int] | None = None, limit: int | None = None, calibrate: int | None = None) -> list[int]:
+    """Ids from a comma list or a file of lines; ids outside ``allowed`` are refused, its order is kept.
+
+    ``limit`` keeps the first ids, ``calibrate`` the first of those for a trial run.
+    """
     path = Path(text)
     parts = path.read_text().split() if path.is_file() else text.split(",")
     ids = [int(p) for p in parts if p.strip()]
@@ -72,7 +76,23 @@ def parse_ids(text: str, allowed: Sequence[int] | None = None, limit: int | None
         if outside:
             raise ValueError(f"not in the subset: {outside}")
         ids = [x for x in allowed if x in set(ids)]
-    return ids[:limit] if limit is not None else ids
+    return ids[:limit][:calibrate]
+
+
+def read_cache(spark: SparkSession, folder: str, key: str = "key") -> DataFrame:
+    """``key, score, reasoning`` of a cache of Parquet or JSON rows; corrupt entries are left out, so that they are misses.
+
+    An entry is corrupt if its row can't be read, or its score isn't a number from 0 to 100. Of a repeated key one entry counts.
+    """
+    wide = StructType([StructField(key, StringType()), StructField("score", DoubleType()), StructField("reasoning", StringType()), StructField(CORRUPT, StringType())])
+    try:
+        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").schema(wide).option("columnNameOfCorruptRecord", CORRUPT).json(folder)
+        rows = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        parquet = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").schema(StructType(wide.fields[:3])).parquet(folder)
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no cache in {folder}") from error
+    good = F.col(key).isNotNull() & F.col("score").between(0, 100)
+    return rows.unionByName(parquet).where(good).dropDuplicates([key])
 
 
 def read_manifest(path: str) -> dict:
@@ -98,19 +118,18 @@ def available_prompts(folder: str, version: str | None = None) -> list[str]:
     return sorted(p.name if version is None else p.stem for p in root.iterdir() if (p.is_dir() if version is None else p.suffix == ".md"))
 
 
-def load_env(path: str, override: bool = False, env: Mapping[str, str] | None = None) -> dict[str, str]:
-    """``NAME=value`` lines into the environment; values that are there already win unless ``override``."""
+_ENV_LINE = re.compile(r"""^[ \t]*(?:export[ \t]+)?(?P<name>[^\s#=][^=\n]*?)[ \t]*=[ \t]*(?P<quote>["']?)(?P<value>[^\n]*?)(?P=quote)[ \t\r]*$""", re.MULTILINE)
+
+
+def load_env(path: str, override: bool = False, env: MutableMapping[str, str] | None = None) -> dict[str, str]:
+    """``NAME=value`` lines into the environment; values that are there already win unless ``override``. Gives what was set.
+
+    A file that isn't there sets nothing; of a repeated name the last value holds with ``override``, else the first.
+    """
     target = os.environ if env is None else env
-    found: dict[str, str] = {}
-    file = Path(path)
-    for line in file.read_text().splitlines() if file.is_file() else ():
-        line = line.strip().removeprefix("export ").strip()
-        if not line or line.startswith("#") or "=" not in line:
-            continue
-        name, value = (x.strip() for x in line.split("=", 1))
-        if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
-            value = value[1:-1]
-        if override or name not in target:
-            target[name] = value  # type: ignore[index]
-            found[name] = value
-    return found
+    text = Path(path).read_text() if Path(path).is_file() else ""
+    pairs = [(m["name"], m["value"]) for m in _ENV_LINE.finditer(text)]
+    told = dict(pairs if override else reversed(pairs))
+    fresh = {name: value for name, value in told.items() if override or name not in target}
+    target.update(fresh)
+    return fresh

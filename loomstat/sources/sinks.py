@@ -4,27 +4,35 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import re
+from collections.abc import Iterable, Mapping
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_document(path: str, value: Any) -> None:
-    """One JSON document; readers see the old or the new one, never a part."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
-    try:
-        with os.fdopen(handle, "w") as file:
-            json.dump(value, file, indent=2, default=str)
-        os.replace(name, target)
-    except BaseException:
-        Path(name).unlink(missing_ok=True)
-        raise
+    """One JSON document; readers see the old or the new one, never a part.
+
+    What can't be written as JSON is refused before anything is touched.
+    """
+    _put(Path(path), json.dumps(value, indent=2, default=str))
+
+
+def write_text(path: str, parts: Iterable[str]) -> None:
+    """One text file out of parts, as ``write_document`` writes."""
+    _put(Path(path), "".join(parts))
+
+
+def _put(target: Path, text: str) -> None:
+    os.makedirs(target.parent, exist_ok=True)
+    beside = target.with_name(f".{uuid4().hex}.{target.name}")
+    beside.write_text(text)
+    beside.replace(target)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -36,8 +44,15 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; arrays become ``;``-joined text."""
-    told = df.select(*(F.array_join(c, ";").alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes))
+    """CSV with a header; arrays of plain values become ``;``-joined text, other nested values JSON."""
+
+    def flat(name: str, kind: str) -> Any:
+        column = F.col(f"`{name}`")
+        if kind.startswith("array<") and not re.match(r"array<(array|struct|map|binary)", kind):
+            return F.array_join(column.cast("array<string>"), ";").alias(name)
+        return F.to_json(column).alias(name) if kind.startswith(("array", "struct", "map")) else column
+
+    told = df.select(*(flat(c, t) for c, t in df.dtypes))
     told.write.mode("overwrite").options(header=True, escape='"', multiLine=True).csv(path)
 
 
@@ -76,3 +91,13 @@ class RunFolder:
         told = {"started": self.started, "finished": datetime.now(UTC).isoformat(), **fields}
         write_document(self.file("run.json"), told)
         return told
+
+    def write_tables(self, tables: Mapping[str, DataFrame], may_be_empty: Iterable[str] = ()) -> list[str]:
+        """A CSV folder per table; those in ``may_be_empty`` are left out where they have no rows. Gives the names written."""
+        done = []
+        for name, df in tables.items():
+            if name in may_be_empty and df.isEmpty():
+                continue
+            write_csv(df, self.file(name))
+            done.append(name)
+        return done
