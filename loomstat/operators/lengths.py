@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import BENIGN, MIN_RUNS, MIN_SPREAD, THRESHOLD
 from loomstat.functions.labels import scope_or_benign
-from loomstat.functions.stats import correlation, count_if, ratio, spearman_p
+from loomstat.functions.stats import count_if, ratio, spearman_p
+from loomstat.operators.counted import match, quantiles, rank_sums, with_quantiles
 
 By = Sequence[str]
 
@@ -25,11 +26,10 @@ def quantile_bins(df: DataFrame, by: By, value: str, bins: int, name: str, least
     Bins are closed on the right, the lowest edge belongs to the first, repeated edges count once.
     NULL where the value is NULL or the group has fewer than ``least`` values.
     """
-    cuts = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    edges = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.array_distinct(F.percentile(value, cuts)).alias("_edges"), F.count(value).alias("_n")
-    )
-    joined = df.join(edges, list(by), "left") if by else df.crossJoin(F.broadcast(edges))
+    names = {f"_e{k}": k / bins for k in range(bins + 1)}
+    edges = quantiles(df, by, value, names, {"_n": F.sum("_n")})
+    edges = edges.select(*by, "_n", F.array_distinct(F.array(*names)).alias("_edges"))
+    joined = match(df, edges, list(by), "left")
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     place = F.when((F.col("_n") >= least) & F.col(value).isNotNull(), F.greatest(F.lit(0), below - 1))
     return joined.withColumn(name, place).drop("_edges", "_n")
@@ -40,37 +40,22 @@ def exploded(df: DataFrame, benign: str = BENIGN) -> DataFrame:
     return df.withColumn("label", F.explode(scope_or_benign(F.col("labels"), benign)))
 
 
-def spread(value: str = "tokens") -> Column:
-    """Aggregate: p90 over p10, which is 1 at least."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return p(0.9) / F.greatest(p(0.1), F.lit(1.0))
+def spread(low: str = "p10", high: str = "p90") -> Column:
+    """p90 over p10, which is 1 at least."""
+    return F.col(high) / F.greatest(F.col(low), F.lit(1.0))
 
 
 def length_by_label(df: DataFrame, by: By = ()) -> DataFrame:
-    p = lambda q: F.percentile("tokens", F.lit(q))
-    return exploded(df.where("tokens IS NOT NULL")).groupBy(*by, "label").agg(
-        F.count(F.lit(1)).alias("n"), p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"),
-        F.max("tokens").alias("max"), spread().alias("spread"),
-    )
-
-
-def average_rank(group: By, value: str) -> Column:
-    """The mean rank among equals, over the group."""
-    order = Window.partitionBy(*group).orderBy(value)
-    peers = Window.partitionBy(*group, value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2
+    wanted = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    found = quantiles(exploded(df.where("tokens IS NOT NULL")), [*by, "label"], "tokens", wanted, {"n": F.sum("_n"), "max": F.max("_v")})
+    return found.withColumn("spread", spread())
 
 
 def rank_correlation(df: DataFrame, group: By, x: str, y: str, least: int = MIN_RUNS) -> DataFrame:
     """``group, n, spread, rho, p`` of groups with ``least`` rows and two values on either side."""
-    told = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = told.withColumn("_x", average_rank(group, x)).withColumn("_y", average_rank(group, y))
-    out = ranked.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), spread(x).alias("spread"), correlation("_x", "_y").alias("rho"),
-        F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"), F.avg(y).alias("mean_y"),
-    )
-    usable = (F.col("n") >= least) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))
-    return out.where(usable).select(*group, "n", "spread", "mean_y", "rho", spearman_p(F.col("rho"), F.col("n")).alias("p"))
+    out = rank_sums(df, group, x, y)
+    usable = (F.col("n") >= least) & (F.col("x_low") < F.col("x_high")) & (F.col("y_low") < F.col("y_high"))
+    return out.where(usable).select(*group, "n", spread().alias("spread"), "mean_y", "rho", spearman_p(F.col("rho"), F.col("n")).alias("p"))
 
 
 def score_vs_length(df: DataFrame, by: By = (), least: int = MIN_RUNS) -> DataFrame:
@@ -83,6 +68,15 @@ def fpr_by_decile(df: DataFrame, by: By = (), threshold: float = THRESHOLD) -> D
     benign = quantile_bins(df.where(~F.col("is_positive") & F.col("tokens").isNotNull()), by, "tokens", 10, "length_decile")
     flagged = F.coalesce(F.col("score") >= threshold, F.lit(False))
     told = benign.where("length_decile IS NOT NULL").groupBy(*by, "length_decile").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("tokens", F.lit(0.5)).alias("median_tokens"), count_if(flagged).alias("n_flagged")
+        F.count(F.lit(1)).alias("n"), count_if(flagged).alias("n_flagged")
     )
+    told = with_quantiles(told, benign.where("length_decile IS NOT NULL"), [*by, "length_decile"], "tokens", {"median_tokens": 0.5})
     return told.withColumn("fpr", ratio(F.col("n_flagged"), F.col("n")))
+
+
+def class_lengths(df: DataFrame, by: By = ()) -> DataFrame:
+    """The median length of each class in tokens and in messages."""
+    out = df.groupBy(*by, "is_positive").agg(F.count(F.lit(1)).alias("_rows"))
+    for column, name in (("tokens", "median_tokens"), ("n_messages", "median_messages")):
+        out = with_quantiles(out, df, [*by, "is_positive"], column, {name: 0.5})
+    return out.drop("_rows")
