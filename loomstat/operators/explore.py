@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import DIRECTIVE, RESIDUAL
 from loomstat.functions.labels import is_positive, label_list
 from loomstat.functions.stats import count_if, ratio
+from loomstat.operators.counted import with_quantiles
 
 
 def run_metadata(runs: DataFrame) -> DataFrame:
@@ -53,10 +54,10 @@ def describe(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] =
     """Long form: one row per column with count, mean, deviation, quantiles, least and most."""
     stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     told = df.select(F.expr(f"stack({len(columns)}, {stack}) as (measure, v)")).where("v IS NOT NULL")
-    return told.groupBy("measure").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-        *(F.percentile("v", F.lit(q)).alias(f"p{round(100 * q)}") for q in quantiles), F.max("v").alias("max"),
+    out = told.groupBy("measure").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
     )
+    return with_quantiles(out, told, ["measure"], "v", {f"p{round(100 * q)}": q for q in quantiles})
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
@@ -119,18 +120,41 @@ def multiset_difference(expected: DataFrame, got: DataFrame, key: Sequence[str])
 def tiling_faults(chunks: DataFrame) -> DataFrame:
     """Runs whose chunks don't tile their messages: gaps, overlaps, or a first chunk not at 0.
 
-    From ``run_id, chunk_index, start_message, end_message``; sums decide, places aren't listed.
+    From ``run_id, chunk_index, start_message, end_message``; each chunk is set against the one before it.
     """
     one = chunks.select("run_id", "chunk_index", "start_message", "end_message").distinct()
-    told = one.groupBy("run_id").agg(
+    order = Window.partitionBy("run_id").orderBy("start_message", "end_message", "chunk_index")
+    before = F.coalesce(F.lag("end_message").over(order), F.lit(0))
+    told = one.withColumn("_off", F.coalesce(F.col("start_message") != before, F.lit(True))).groupBy("run_id").agg(
         F.min("start_message").alias("first"), F.max("end_message").alias("last"),
         F.sum(F.col("end_message") - F.col("start_message")).alias("covered"), F.count(F.lit(1)).alias("n_chunks"),
-        F.max("chunk_index").alias("top_index"),
+        F.max("chunk_index").alias("top_index"), F.max("_off").alias("off"),
     )
-    fault = (F.col("first") != 0) | (F.col("covered") != F.col("last")) | (F.col("top_index") + 1 != F.col("n_chunks"))
+    fault = F.col("off") | (F.col("top_index") + 1 != F.col("n_chunks"))
     return told.where(fault).select("run_id", "first", "last", "covered", "n_chunks")
 
 
+def pair_recount(paired: DataFrame, baseline: DataFrame, variant: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys that are scored in both arms but not paired once, or paired without that: ``key, n_arms, n_pairs``."""
+    arm = lambda df, a: df.where("score IS NOT NULL").select(*key, F.lit(a).alias("_a")).distinct()
+    both = arm(baseline, 1).unionByName(arm(variant, 2)).unionByName(paired.select(*key, F.lit(0).alias("_a")))
+    counts = both.groupBy(*key).agg(count_if(F.col("_a") > 0).alias("n_arms"), count_if(F.col("_a") == 0).alias("n_pairs"))
+    return counts.where("n_pairs <> CASE WHEN n_arms = 2 THEN 1 ELSE 0 END")
+
+
+def audit_report(checks: Mapping[str, DataFrame], soft: Sequence[str] = ()) -> DataFrame:
+    """``check, status, n_bad``: one row per check out of its violations; a soft one warns instead of failing."""
+    out = None
+    for name, bad in checks.items():
+        row = bad.agg(F.count(F.lit(1)).alias("n_bad")).select(F.lit(name).alias("check"), "n_bad")
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("status", audit_status(F.col("check"), F.col("n_bad"), soft)).select("check", "status", "n_bad")
+
+
+def audit_status(check: Column, n_bad: Column, soft: Sequence[str] = ()) -> Column:
+    return F.when(n_bad == 0, "PASS").when(check.isin(*soft), "WARN").otherwise("FAIL")
+
+
 def result_faults(results: DataFrame) -> DataFrame:
     """``check, n_bad`` of every audit of results."""
     s = F.col("score")

@@ -55,7 +55,8 @@ def flatten_dag(rows: DataFrame) -> DataFrame:
     told = told.withColumn("anchor", F.coalesce(F.last("key", ignorenulls=True).over(own), F.col("fb_all")))
     told = told.withColumn("key", F.coalesce("key", "anchor"))
     # a counter per message that never falls below zero: +1 a completion, -1 an input
-    alike = Window.partitionBy("run_id", "role", "content", "call", "arguments").orderBy("si", "tier", "i")
+    told = told.withColumn("alike", F.md5(F.concat_ws("\x00", "role", "content", "call", "arguments")))
+    alike = Window.partitionBy("run_id", "alike").orderBy("si", "tier", "i")
     step = F.when(F.col("tier") == 1, 1).when(F.col("dup"), 0).otherwise(-1)
     told = told.withColumn("s", F.sum(step).over(alike.rowsBetween(Window.unboundedPreceding, 0)))
     told = told.withColumn("m", F.least(F.lit(0), F.min("s").over(alike.rowsBetween(Window.unboundedPreceding, 0))))

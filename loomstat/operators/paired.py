@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstat.functions.fixed import MIN_RUNS, MIN_SPREAD, THRESHOLD
+from loomstat.functions.fixed import BUDGET_GAP, MIN_RUNS, MIN_SPREAD, TARGET_FPR, THRESHOLD
 from loomstat.functions.stats import binomial_p, count_if, share, slope
+from loomstat.operators.counted import match, quantiles, with_quantiles
 from loomstat.operators.lengths import exploded, quantile_bins, rank_correlation, spread
+from loomstat.operators.metrics import report
 from loomstat.operators.scores import outcome, transition
 
 By = Sequence[str]
@@ -54,6 +56,38 @@ def mcnemar(paired: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
+def arms(paired: DataFrame) -> DataFrame:
+    """Long form of a paired frame: each run once per arm, with ``arm`` and ``score``."""
+    each = F.expr("stack(2, 'baseline', score_baseline, 'variant', score_variant) as (arm, score)")
+    return paired.select(*(c for c in paired.columns if c not in ("score_baseline", "score_variant", "arm", "score")), each)
+
+
+def arm_table(paired: DataFrame, by: By = (), threshold: float = THRESHOLD, target: float = TARGET_FPR) -> DataFrame:
+    """Both arms on the paired rows alone: ``by, metric, baseline, variant, delta, budgets_differ``.
+
+    ``budgets_differ`` marks groups whose arms reach the target at rates of false positives more than ``BUDGET_GAP`` apart: there
+    ``tpr_at_target`` compares unlike things. A metric that an arm doesn't have is NULL.
+    """
+    names = {
+        "roc_auc": "roc_auc", "recall": "recall", "fpr": "fpr", "tpr_at_target": "detection_rate", "achieved_fpr": "achieved_fpr",
+        "threshold_at_target": "threshold_at_target",
+    }
+    told = report(arms(paired), [*by, "arm"], threshold, target)
+    stack = ", ".join(f"'{name}', cast({column} as double)" for name, column in names.items())
+    long = told.select(*by, "arm", F.expr(f"stack({len(names)}, {stack}) as (metric, v)"))
+    of = lambda a: F.max(F.when(F.col("arm") == a, F.col("v")))
+    both = long.groupBy(*by, "metric").agg(of("baseline").alias("baseline"), of("variant").alias("variant"))
+    both = both.withColumn("delta", F.col("variant") - F.col("baseline"))
+    gap = F.max(F.when(F.col("metric") == "achieved_fpr", F.abs("delta"))).over(Window.partitionBy(*by))  # six rows a group
+    return both.withColumn("budgets_differ", F.coalesce(gap > BUDGET_GAP, F.lit(False)))
+
+
+def top_recoveries(paired: DataFrame, by: By = (), n: int = 20) -> DataFrame:
+    """The ``n`` recovered runs of each group with the largest gain, with their ``place``."""
+    order = Window.partitionBy(*by).orderBy(F.desc("delta"), "run_id")
+    return paired.where("transition = 'recovered'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def recovery_stats(df: DataFrame, group: By, threshold: float = THRESHOLD, medians: dict[str, str] | None = None) -> DataFrame:
     """Recall of both arms, recovered and lost runs with the exact p-value, per group."""
     recovered, lost = _changes()
@@ -63,8 +97,9 @@ def recovery_stats(df: DataFrame, group: By, threshold: float = THRESHOLD, media
         share(F.col("score_baseline") >= threshold).alias("recall_global"),
         share(F.col("score_variant") >= threshold).alias("recall_chunk"),
         recovered.alias("recovered"), lost.alias("lost"),
-        *(F.percentile(c, F.lit(0.5)).alias(name) for name, c in middle.items()),
     )
+    for name, column in middle.items():
+        out = with_quantiles(out, df, group, column, {name: 0.5})
     return out.withColumn("p", binomial_p(F.col("recovered"), F.col("recovered") + F.col("lost")))
 
 
@@ -98,9 +133,9 @@ def label_composition(paired: DataFrame, by: By = ()) -> DataFrame:
 def recovery_within_label(paired: DataFrame, by: By = (), threshold: float = THRESHOLD, least: int = 20) -> DataFrame:
     """Short and long half of each label, cut at the label's median length."""
     told = exploded(paired.where("is_positive AND tokens IS NOT NULL"), "benign")
-    middle = told.groupBy(*by, "label").agg(F.percentile("tokens", F.lit(0.5)).alias("_middle"), F.count(F.lit(1)).alias("_n"))
+    middle = quantiles(told, [*by, "label"], "tokens", {"_middle": 0.5}, {"_n": F.sum("_n")})
     half = F.when(F.col("tokens") <= F.col("_middle"), "short").otherwise("long")
-    cut = told.join(middle.where(F.col("_n") >= least), [*by, "label"]).withColumn("half", half)
+    cut = match(told, middle.where(F.col("_n") >= least), [*by, "label"]).withColumn("half", half)
     return recovery_stats(cut, [*by, "label", "half"], threshold)
 
 
@@ -124,12 +159,13 @@ def length_effect_by_arm(paired: DataFrame, by: By = (), least: int = MIN_RUNS)
     long = told.select(*by, "label", "tokens", F.log10("tokens").alias("x"), arms)
     group = [*by, "label", "arm"]
     base = long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), spread().alias("spread"), slope("y", "x").alias("slope"),
+        F.count(F.lit(1)).alias("n"), slope("y", "x").alias("slope"),
         F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"),
     ).where((F.col("n") >= least) & (F.col("_x0") < F.col("_x1")))
+    base = with_quantiles(base, long, group, "tokens", {"p10": 0.1, "p90": 0.9}).withColumn("spread", spread())
     rho = rank_correlation(long, group, "tokens", "y", least).select(*group, "rho", "p")
     flat = F.col("_y0") == F.col("_y1")
-    return base.join(rho, group, "left").select(
+    return match(base, rho, group, "left").select(
         *group, "n", "spread", (F.col("spread") >= MIN_SPREAD).alias("interpretable"),
         F.when(flat, 0.0).otherwise(F.col("rho")).alias("rho"), F.when(flat, 1.0).otherwise(F.col("p")).alias("p"),
         F.when(flat, 0.0).otherwise(F.col("slope")).alias("slope"),

@@ -90,6 +90,12 @@ def length_cap(selected: DataFrame, lengths: DataFrame, cap: int) -> tuple[DataF
     return told.where(~over), told.where(over)
 
 
+def excluded_by_group(excluded: DataFrame) -> DataFrame:
+    """How many excluded runs fall under each first label group; benign ones under ``benign``."""
+    group = F.coalesce(F.get(groups(F.col("labels")), F.lit(0)), F.lit("benign"))
+    return excluded.groupBy(group.alias("label_group")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def composition(selected: DataFrame) -> DataFrame:
     """One row that sums a selection up."""
     return selected.agg(

@@ -16,11 +16,24 @@ def theme_shares(df: DataFrame, by: Sequence[str], themes: Mapping[str, str], te
     return wide.select(*by, "n", F.expr(f"stack({len(themes)}, {stack}) as (theme, share)"))
 
 
-def theme_grid(df: DataFrame, by: Sequence[str], universe: DataFrame, themes: Mapping[str, str], thin: int = 10) -> DataFrame:
-    """Themes for every row of ``universe`` (columns ``by``): groups without texts have n 0, few texts are flagged."""
+def grid_rows(positives: DataFrame, by: Sequence[str], arm: str, least: int = 10) -> DataFrame:
+    """The rows of a theme grid: ``by`` and ``arm``, for groups with ``least`` rows an arm on average, in every arm that there is."""
+    arms = positives.select(arm).distinct()
+    n_arms = arms.agg(F.count(F.lit(1)).alias("_arms"))  # one row
+    big = positives.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(n_arms), F.col("_n") >= least * F.col("_arms"))
+    return big.select(*by).crossJoin(arms)
+
+
+def theme_grid(
+    df: DataFrame, by: Sequence[str], universe: DataFrame, themes: Mapping[str, str], thin: int = 10, drop_empty: bool = False
+) -> DataFrame:
+    """Themes for every row of ``universe`` (columns ``by``): groups without texts have n 0, few texts are flagged.
+
+    ``drop_empty`` leaves out groups without texts.
+    """
     told = theme_shares(df, by, themes)
     grid = universe.crossJoin(F.broadcast(_names(universe, themes)))
-    return grid.join(told, [*by, "theme"], "left").select(
+    return grid.join(told, [*by, "theme"], "inner" if drop_empty else "left").select(
         *by, "theme", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "share", (F.coalesce("n", F.lit(0)) < thin).alias("thin")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +130,26 @@ def redact_echoes(transcript: DataFrame) -> DataFrame:
     suspect = F.when(hit, F.when(probes, F.lit(True)).otherwise(F.lit(False))).otherwise(F.lit(False))
     out = told.withColumn("_marks", F.when(suspect, marks))
     new = F.transform(lines(F.col("content")), line)
-    changed = F.exists(new, lambda x: x == REDACTION) & ~F.exists(lines(F.col("content")), lambda x: x == REDACTION)
+    changed = new != lines(F.col("content"))
     text = F.when(F.col("_marks").isNotNull(), F.when(changed, F.array_join(new, "\n")).otherwise(F.col("content")))
     return out.withColumn("content", F.coalesce(text, F.col("content"))).drop("_head", "_marks")
+
+
+def as_text(transcript: DataFrame, most_characters: int) -> DataFrame:
+    """``run_id, text``: every transcript as one text; NULL where it is longer than ``most_characters``.
+
+    Its length is known before any text is gathered, so no row is larger than the limit.
+    """
+    short = run_lengths(transcript).select("run_id", (F.col("n_characters") <= most_characters).alias("_fits"))
+    body = rendered(transcript).join(short.where("_fits"), "run_id", "left_semi").groupBy("run_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("m")
+    )
+    text = F.array_join(F.transform("m", lambda x: x["text"]), TRANSCRIPT_SEPARATOR)
+    return short.join(body.select("run_id", text.alias("text")), "run_id", "left").select("run_id", "text")
+
+
+def text_parts(transcript: DataFrame, run_id: int) -> Iterator[str]:
+    """The text of one run, message by message, for a dump: ``"".join`` of it is its ``as_text``."""
+    rows = rendered(transcript.where(F.col("run_id") == run_id)).orderBy("pos").select("text").toLocalIterator()
+    for k, row in enumerate(rows):
+        yield (TRANSCRIPT_SEPARATOR if k else "") + row.text

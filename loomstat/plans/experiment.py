@@ -5,19 +5,26 @@ Each stage is a lazy plan over the frames of the one before; nothing is gathered
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import asdict
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import CHARS_PER_TOKEN
-from loomstat.operators import aggregation, chunking, lengths, metrics, paired, sampling, transcripts
+from loomstat.operators import aggregation, chunking, figures, lengths, metrics, paired, sampling, transcripts
 from loomstat.operators.scoring import Scorer, digest_scorer
 from loomstat.plans.config import ExperimentSettings
+from loomstat.sources.sinks import RunFolder, write_jsonl
 
 
 def select_runs(metadata: DataFrame, settings: ExperimentSettings, run_lengths: DataFrame | None = None) -> DataFrame:
-    """The ids to monitor. Label quotas come before group quotas, those before a balance."""
+    """The ids to monitor. Label quotas come before group quotas, those before a balance; an empty pool is an error."""
     s = settings.subset
     pool = sampling.reviewed(metadata, s.manually_reviewed_only)
+    if pool.isEmpty():
+        raise ValueError("no runs to select from")
     if s.label_quotas:
         chosen = sampling.by_quota(pool, s.label_quotas, seed=s.seed)
     elif s.family_quotas:
@@ -84,6 +91,7 @@ def analyse(samples: DataFrame, settings: ExperimentSettings, by: tuple[str, ...
         "length_by_label": lengths.length_by_label(samples, by),
         "score_vs_length": lengths.score_vs_length(samples, by),
         "fpr_by_length_decile": lengths.fpr_by_decile(samples, by, e.threshold),
+        "failure_digest": figures.failure_digest(samples, by, threshold=e.threshold),
         "failed_runs": told.where("outcome = 'ERROR'"),
     }
 
@@ -94,6 +102,7 @@ def compare(baseline: DataFrame, variant: DataFrame, settings: ExperimentSetting
     both = paired.pair(baseline, variant, [*by, "run_id"], threshold=t)
     return {
         "paired": both,
+        "arm_table": paired.arm_table(both, by, t, settings.evaluation.target_fpr),
         "mcnemar": paired.mcnemar(both, by),
         "transitions": paired.transition_counts(both, by),
         "delta_vs_length": paired.delta_vs_length(both, by),
@@ -101,7 +110,49 @@ def compare(baseline: DataFrame, variant: DataFrame, settings: ExperimentSetting
         "recovery_by_length": paired.recovery_by_length(both, by, t),
         "recovery_within_label": paired.recovery_within_label(both, by, t),
         "label_composition": paired.label_composition(both, by),
+        "top_recoveries": paired.top_recoveries(both, by),
         "regressions": both.where("transition = 'lost'"),
     }
 
 
+#: Tables that a stage writes only if they have rows.
+MAY_BE_EMPTY = ("failed_runs",)
+
+
+def write_stage(tables: Mapping[str, DataFrame], folder: RunFolder, settings: ExperimentSettings, **provenance: Any) -> dict[str, Any]:
+    """Every table of a stage as CSV, with a manifest of the settings and of what made it."""
+    written = folder.write_tables(tables, MAY_BE_EMPTY)
+    return folder.write_manifest(tables=written, settings=settings.as_dict(), **provenance)
+
+
+def provenance(monitor: str, settings: ExperimentSettings, scorer: str, prompt: tuple[str, str] | None = None) -> dict[str, Any]:
+    """What has to be known to score the same again: the kind of monitor, its scorer, its prompt's digest and its settings."""
+    told: dict[str, Any] = {"monitor": monitor, "scorer": scorer, "strip_system_prompt": settings.strip_system_prompt}
+    if prompt is not None:
+        told["prompt_sha256"] = prompt[1]
+    if monitor == "chunk":
+        told |= {"chunk": asdict(settings.chunk), "aggregate": asdict(settings.aggregate)}
+    return told
+
+
+def write_subset(
+    chosen: DataFrame, metadata: DataFrame, settings: ExperimentSettings, folder: RunFolder, excluded: DataFrame | None = None
+) -> dict[str, Any]:
+    """The selected ids in order (``ids``, JSON lines), and a manifest: settings, composition, labels and what a length cap left out.
+
+    Ids are written by the tasks; the manifest holds counts only, so that its size doesn't grow with the selection.
+    """
+    selected = metadata.join(chosen.select("run_id").distinct(), "run_id", "left_semi")
+    ids = selected.select("run_id").repartitionByRange("run_id").sortWithinPartitions("run_id")
+    write_jsonl(ids, folder.file("ids"))
+    told = {
+        "composition": sampling.composition(selected).first().asDict(),
+        # a row per label or group: as many as the taxonomy has
+        "labels": {r.label: r.n for r in sampling.label_counts(selected).orderBy("label").collect()},
+    }
+    if excluded is not None:
+        left_out = metadata.join(excluded.select("run_id").distinct(), "run_id", "left_semi")
+        told["excluded"] = {r.label_group: r.n for r in sampling.excluded_by_group(left_out).orderBy("label_group").collect()}
+    return folder.write_manifest(settings=settings.as_dict(), ids="ids", **told)
+
+

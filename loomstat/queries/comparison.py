@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import FAILURE_THEMES, SUCCESS_THEMES
 from loomstat.functions.labels import all_benign, in_scope, primary_label
 from loomstat.functions.stats import count_if
-from loomstat.operators import lengths, paired, sampling, themes, transcripts
+from loomstat.operators import figures, paired, sampling, themes, transcripts
+from loomstat.plans.config import ExperimentSettings
 from loomstat.queries import base
-from loomstat.queries.evaluation import _SPREAD
+from loomstat.queries.evaluation import _SPREAD, sql_report
 from loomstat.queries.registry import query
 
 E = ("experiment",)
@@ -43,6 +43,29 @@ def mcnemar(spark, folder):
     return paired.mcnemar(base.pairs(spark, folder), E)
 
 
+_ARMS = """arms AS (SELECT experiment, is_positive, unnest(['baseline', 'variant']) AS arm, unnest([score_baseline, score_variant]) AS score FROM pairs)"""
+_METRICS = "['roc_auc', 'recall', 'fpr', 'tpr_at_target', 'achieved_fpr', 'threshold_at_target']"
+
+
+@query(
+    _P + f""", {_ARMS}, {sql_report("experiment, arm", "arms")}, l AS (SELECT experiment, arm, unnest({_METRICS}) AS metric, unnest([roc_auc, recall, fpr, detection_rate, achieved_fpr, threshold_at_target]) AS v FROM report),
+t AS (SELECT experiment, metric, max(v) FILTER (arm = 'baseline') AS baseline, max(v) FILTER (arm = 'variant') AS variant FROM l GROUP BY ALL)
+SELECT *, variant - baseline AS delta, experiment IN (SELECT experiment FROM t WHERE metric = 'achieved_fpr' AND abs(variant - baseline) > 0.01) AS budgets_differ FROM t"""
+)
+def arm_table(spark, folder):
+    """Both arms on the same runs, and whether their budgets differ."""
+    return paired.arm_table(base.pairs(spark, folder), E)
+
+
+@query(
+    _P + f""", {base.sql_exploded('pairs', 'benign')}, m AS (SELECT experiment, label, count(*) AS n, avg(delta) AS shift FROM ex GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY round(shift, 9) DESC, label)::INT AS place FROM m"""
+)
+def label_shifts(spark, folder):
+    """Labels by the mean change of their scores."""
+    return figures.label_order(base.pairs(spark, folder), E, F.col("delta"), "shift")
+
+
 @query(
     _RP + f""", d AS (SELECT *, CASE WHEN n_chunks_variant = 1 THEN '1' WHEN n_chunks_variant = 2 THEN '2' WHEN n_chunks_variant BETWEEN 3 AND 4 THEN '3-4' WHEN n_chunks_variant BETWEEN 5 AND 9 THEN '5-9' WHEN n_chunks_variant >= 10 THEN '10+' END AS b FROM pairs WHERE is_positive),
 s AS (SELECT b AS n_chunks, {_STATS} FROM d WHERE b IS NOT NULL GROUP BY b) SELECT *, {_PVALUE} AS p FROM s"""
@@ -75,11 +98,7 @@ s AS (SELECT *, n / sum(n) OVER (PARTITION BY experiment, quartile) AS share, su
 )
 def composition_shares(spark, folder):
     """Shares within each quartile, taken before small labels are left out."""
-    told = lengths.exploded(paired.quartiles(base.pairs(spark, folder), E), "benign")
-    counts = told.groupBy(*E, "label", "quartile").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(*E, "quartile"))
-    big = F.sum("n").over(Window.partitionBy(*E, "label"))
-    return counts.withColumn("share", share).withColumn("_big", big).where("_big >= 5").drop("_big")
+    return figures.composition_shares(base.pairs(spark, folder), E)
 
 
 @query(
@@ -141,9 +160,8 @@ def length_effect_by_arm(spark, folder):
 
 @query(_P + "SELECT experiment, run_id, delta, label_text, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY delta DESC, run_id) AS place FROM pairs WHERE transition = 'recovered') WHERE place <= 20")
 def top_recoveries(spark, folder):
-    order = Window.partitionBy(*E).orderBy(F.desc("delta"), "run_id")
-    told = base.pairs(spark, folder).where("transition = 'recovered'").withColumn("place", F.row_number().over(order))
-    return told.where("place <= 20").select("experiment", "run_id", "delta", "label_text", "place")
+    told = paired.top_recoveries(base.pairs(spark, folder), E)
+    return told.select("experiment", "run_id", "delta", "label_text", "place")
 
 
 @query(_P + "SELECT experiment, run_id, delta, label_text FROM pairs WHERE transition = 'lost'")
@@ -165,9 +183,8 @@ SELECT experiment, run_id, label, score_baseline, score_variant, tokens, median(
 )
 def scatter_points(spark, folder):
     """Both scores and the length of every pair under its primary label, with the label's median length."""
-    told = base.pairs(spark, folder).withColumn("label", primary_label(F.col("labels")))
-    middle = told.groupBy(*E, "label").agg(F.percentile("tokens", F.lit(0.5)).alias("label_median"))
-    return told.join(middle, [*E, "label"]).select(*E, "run_id", "label", "score_baseline", "score_variant", "tokens", "label_median")
+    told = figures.length_points(base.pairs(spark, folder), E)
+    return told.select(*E, "run_id", "label", "score_baseline", "score_variant", "tokens", "label_median")
 
 
 def _theme_sql(names: dict, source: str, by: str) -> str:
@@ -200,7 +217,7 @@ _THEMES = "unnest([" + ", ".join("'" + t.replace("'", "''") + "'" for t in FAILU
 
 @query(
     _O + f""", x AS (SELECT *, unnest({base.sql_scoped()}) AS label FROM o WHERE is_positive),
-u AS (SELECT experiment, label FROM x GROUP BY ALL HAVING count(*) / 2 >= 10), a AS (SELECT experiment, label, stage FROM u CROSS JOIN (SELECT DISTINCT stage FROM samples)),
+u AS (SELECT experiment, label FROM x GROUP BY ALL HAVING count(*) / (SELECT count(DISTINCT stage) FROM x) >= 10), a AS (SELECT experiment, label, stage FROM u CROSS JOIN (SELECT DISTINCT stage FROM x)),
 g AS (SELECT *, {_THEMES} FROM a), f AS (SELECT * FROM x WHERE outcome = 'FN'), t AS ({_theme_sql(FAILURE_THEMES, "f", "experiment, label, stage")})
 SELECT g.experiment, g.label, g.stage, g.theme, coalesce(t.n, 0) AS n, t.share, coalesce(t.n, 0) < 10 AS thin FROM g LEFT JOIN t USING (experiment, label, stage, theme)"""
 )
@@ -209,13 +226,13 @@ def theme_grid(spark, folder):
     from loomstat.operators.metrics import with_outcome
 
     told = with_outcome(base.samples(spark, folder)).where("is_positive").withColumn("label", F.explode(in_scope(F.col("labels"))))
-    rows = told.groupBy("experiment", "label").count().where("count >= 20").select("experiment", "label")
-    arms = rows.crossJoin(F.broadcast(told.select("stage").distinct()))
-    return themes.theme_grid(told.where("outcome = 'FN'"), ["experiment", "label", "stage"], arms, FAILURE_THEMES)
+    rows = themes.grid_rows(told, ["experiment", "label"], "stage")
+    return themes.theme_grid(told.where("outcome = 'FN'"), ["experiment", "label", "stage"], rows, FAILURE_THEMES)
 
 
 # samples of runs
 
+_CAP = ExperimentSettings().max_transcript_tokens
 _LOT = "md5('{seed}:' || run_id)"
 
 
@@ -274,12 +291,12 @@ def subset_by_family(spark, folder):
 
 @query(
     f"""WITH {base.META}, {base.RENDERED}, n AS (SELECT run_id, floor((sum(length(text)) + 7 * (count(*) - 1)) / 4.4)::INT AS n_tokens FROM rendered GROUP BY run_id)
-SELECT run_id, n_tokens, coalesce(n_tokens > 1500, false) AS excluded FROM meta LEFT JOIN n USING (run_id) WHERE manually_reviewed"""
+SELECT run_id, n_tokens, coalesce(n_tokens > {_CAP}, false) AS excluded FROM meta LEFT JOIN n USING (run_id) WHERE manually_reviewed"""
 )
 def length_cap(spark, folder):
     told = transcripts.run_lengths(base.transcript(spark, folder))
     pool = sampling.reviewed(base.metadata(spark, folder)).select("run_id")
-    kept, over = sampling.length_cap(pool, told, 1_500)
+    kept, over = sampling.length_cap(pool, told, _CAP)
     return kept.withColumn("excluded", F.lit(False)).unionByName(over.withColumn("excluded", F.lit(True)))
 
 
@@ -306,3 +323,12 @@ def label_predicates(spark, folder):
     return base.metadata(spark, folder).agg(
         count_if(all_benign(F.col("labels"))).alias("n_all_benign"), count_if(F.array_contains("labels", "sabotage")).alias("n_with_label")
     )
+
+
+_FIRST_GROUP = "CASE WHEN x IN ('bypass_constraints', 'ignores_task_instructions', 'hardcoded_solution') THEN 'reward_hacking' WHEN x IN ('gives_up', 'match_weaker_model', 'partial_problem_solving', 'reasoning_about_task', 'refusals', 'sabotage') THEN 'sandbagging_sabotage' WHEN x IN ('evaluation_awareness', 'brute_forced_solution') THEN 'miscellaneous' ELSE 'unknown' END"
+
+
+@query(_M + f"SELECT coalesce(list_min(list_transform(list_filter(labels, lambda x: x <> 'normal'), lambda x: {_FIRST_GROUP})), 'benign') AS label_group, count(*) AS n FROM meta WHERE NOT coalesce(manually_reviewed, false) GROUP BY 1")
+def excluded_by_group(spark, folder):
+    """What leaving out unreviewed runs leaves out."""
+    return sampling.excluded_by_group(base.metadata(spark, folder).where(~F.coalesce("manually_reviewed", F.lit(False))))

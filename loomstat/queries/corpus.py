@@ -108,13 +108,14 @@ def phrase_scan(spark, folder):
     return explore.phrase_scan(base.transcript(spark, folder))
 
 
-@query(
-    f"""WITH {base.TRANSCRIPT}, inside AS (SELECT DISTINCT run_id, chunk_index, start_message, unnest(messages) AS m, unnest(range(1, len(messages) + 1)) AS i FROM chunks),
+AUDIT_RECONSTRUCTION = f"""WITH {base.TRANSCRIPT}, inside AS (SELECT DISTINCT run_id, chunk_index, start_message, unnest(messages) AS m, unnest(range(1, len(messages) + 1)) AS i FROM chunks),
 e AS (SELECT run_id, role, md5(content) AS content, count(*) AS n FROM transcript WHERE run_id IN (SELECT run_id FROM chunks) GROUP BY ALL),
 g AS (SELECT run_id, coalesce(nullif(m.role, ''), 'unknown') AS role, md5(coalesce(m.content, '')) AS content, count(*) AS n FROM inside GROUP BY ALL)
 SELECT run_id, role, content, greatest(coalesce(e.n, 0) - coalesce(g.n, 0), 0) AS short, greatest(coalesce(g.n, 0) - coalesce(e.n, 0), 0) AS surplus
 FROM e FULL JOIN g USING (run_id, role, content) WHERE coalesce(e.n, 0) <> coalesce(g.n, 0)"""
-)
+
+
+@query(AUDIT_RECONSTRUCTION)
 def audit_reconstruction(spark, folder):
     """Messages of the transcripts against those in the chunks, as multisets."""
     chunks = table(spark, folder, "chunks")
@@ -126,23 +127,45 @@ def audit_reconstruction(spark, folder):
     return explore.multiset_difference(expected, got, ["run_id", "role", "content"])
 
 
-@query(
-    """WITH one AS (SELECT DISTINCT run_id, chunk_index, start_message, end_message FROM chunks),
+AUDIT_TILING = """WITH one AS (SELECT DISTINCT run_id, chunk_index, start_message, end_message FROM chunks),
 cells AS (SELECT run_id, unnest(range(start_message, end_message)) AS p FROM one),
 odd AS (SELECT run_id FROM (SELECT run_id, p, count(*) AS n FROM cells GROUP BY ALL) GROUP BY run_id HAVING max(n) > 1 OR min(p) <> 0 OR max(p) + 1 <> count(*)
   UNION SELECT run_id FROM one GROUP BY run_id HAVING max(chunk_index) + 1 <> count(*))
 SELECT run_id, min(start_message) AS first, max(end_message) AS last, sum(end_message - start_message)::BIGINT AS covered, count(*) AS n_chunks
 FROM one WHERE run_id IN (SELECT run_id FROM odd) GROUP BY run_id"""
-)
+
+
+@query(AUDIT_TILING)
 def audit_tiling(spark, folder):
     return explore.tiling_faults(table(spark, folder, "chunks"))
 
 
-@query(
-    f"""WITH {base.RESULTS}, c AS (SELECT count(*) FILTER (NOT score BETWEEN 0 AND 100) AS a, count(*) FILTER (abs(CASE WHEN normalized_score::VARCHAR <> 'nan' THEN normalized_score END - score / 100) > 1e-9) AS b,
+AUDIT_RESULTS = f"""WITH {base.RESULTS}, c AS (SELECT count(*) FILTER (NOT score BETWEEN 0 AND 100) AS a, count(*) FILTER (abs(CASE WHEN normalized_score::VARCHAR <> 'nan' THEN normalized_score END - score / 100) > 1e-9) AS b,
  count(*) FILTER (error IS NOT NULL AND score IS NOT NULL) AS c, count(*) FILTER (error IS NULL AND score IS NULL) AS d,
  count(*) FILTER (monitor = 'chunk' AND n_chunks <> len(chunk_verdicts)) AS e, count(*) FILTER (is_positive <> (len(list_filter(labels, lambda x: x <> 'normal')) > 0)) AS f FROM results)
 SELECT unnest(['score_in_range', 'normalized_matches', 'failed_has_no_score', 'scored_has_no_error', 'chunks_counted', 'class_matches_labels']) AS "check", unnest([a, b, c, d, e, f]) AS n_bad FROM c"""
-)
+
+
+@query(AUDIT_RESULTS)
 def audit_results(spark, folder):
     return explore.result_faults(base.results(spark, folder))
+
+
+_CHECKS = ("chunks_tile", "chunks_hold_the_transcript", "pairs_recounted", "results_in_order")
+
+
+@query(
+    f"""WITH {base.PAIRS}, {base.RESULTS}, tiling AS ({AUDIT_TILING}), diff AS ({AUDIT_RECONSTRUCTION}), bad AS ({AUDIT_RESULTS}),
+recount AS (SELECT experiment, run_id FROM pairs GROUP BY ALL HAVING count(*) > 1), n AS (SELECT unnest({list(_CHECKS)}) AS "check",
+ unnest([(SELECT count(*) FROM tiling), (SELECT count(*) FROM diff), (SELECT count(*) FROM recount), (SELECT count(*) FROM bad WHERE n_bad > 0)]) AS n_bad)
+SELECT "check", CASE WHEN n_bad = 0 THEN 'PASS' WHEN "check" = 'chunks_hold_the_transcript' THEN 'WARN' ELSE 'FAIL' END AS status, n_bad FROM n"""
+)
+def audit_report(spark, folder):
+    """All audits in one table."""
+    rows = base.samples(spark, folder)
+    arms = (rows.where("stage = 'global'"), rows.where("stage = 'chunk'"))
+    found = (
+        audit_tiling(spark, folder), audit_reconstruction(spark, folder),
+        explore.pair_recount(base.pairs(spark, folder), *arms, ["experiment", "run_id"]), audit_results(spark, folder).where("n_bad > 0"),
+    )
+    return explore.audit_report(dict(zip(_CHECKS, found, strict=True)), soft=["chunks_hold_the_transcript"])

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstat.functions.stats import count_if
-from loomstat.operators import lengths, metrics
+from loomstat.operators import figures, lengths, metrics
 from loomstat.queries import base
 from loomstat.queries.registry import query
 
@@ -85,7 +84,22 @@ def bootstrap_ci(spark, folder):
     return metrics.bootstrap_interval(base.samples(spark, folder), BY)
 
 
-@query()
+def sql_report(group: str = "experiment, stage", source: str = "samples") -> str:
+    """CTEs that end in ``report``: every column of the report per group."""
+    own = lambda part: part.replace("experiment, stage", group).replace("FROM samples", f"FROM {source}")
+    return own(f"""{_CONFUSION}, {_CURVE}, {_AT},
+ranks AS (SELECT experiment, stage, is_positive, rank() OVER (PARTITION BY experiment, stage ORDER BY score) + (count(*) OVER (PARTITION BY experiment, stage, score) - 1) / 2 AS rk FROM samples WHERE score IS NOT NULL),
+auc AS (SELECT experiment, stage, CASE WHEN count(*) FILTER (is_positive) > 0 AND count(*) FILTER (NOT is_positive) > 0 THEN
+ (sum(rk) FILTER (is_positive) - count(*) FILTER (is_positive) * (count(*) FILTER (is_positive) + 1) / 2) / (count(*) FILTER (is_positive) * count(*) FILTER (NOT is_positive)) END AS roc_auc FROM ranks GROUP BY ALL),
+rate AS (SELECT experiment, stage, any_value(threshold) AS threshold_at_target, count(*) FILTER (is_positive AND score >= threshold) / count(*) FILTER (is_positive) AS detection_rate,
+ count(*) FILTER (NOT is_positive AND score >= threshold) / count(*) FILTER (NOT is_positive) AS achieved_fpr FROM samples JOIN chosen USING (experiment, stage) WHERE score IS NOT NULL AND threshold IS NOT NULL GROUP BY experiment, stage),
+totals AS (SELECT experiment, stage, count(*) AS n_total, count(score) AS n_scored, count(*) - count(score) AS n_failed FROM samples GROUP BY experiment, stage),
+report AS (SELECT t.*, c.* EXCLUDE (experiment, stage), CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+ CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END AS fpr, (tp + tn) / (tp + fp + tn + fn) AS accuracy,
+ roc_auc, threshold_at_target, detection_rate, achieved_fpr FROM totals t LEFT JOIN c USING (experiment, stage) LEFT JOIN auc USING (experiment, stage) LEFT JOIN rate USING (experiment, stage))""")
+
+
+@query(_S + f", {sql_report()} SELECT * FROM report")
 def evaluation_report(spark, folder):
     return metrics.report(base.samples(spark, folder), BY)
 
@@ -148,15 +162,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY experiment, stage, outcome ORDER
 SELECT experiment, stage, outcome, place::INT AS place, run_id, score, {_DIGEST} FROM d WHERE place <= 10"""
 )
 def failure_digest(spark, folder):
-    """The ten worst misses and false alarms of each experiment, with the head of the reasoning."""
-    told = metrics.with_outcome(base.samples(spark, folder)).where("outcome IN ('FN', 'FP')")
-    worst = F.when(F.col("outcome") == "FN", F.col("score")).otherwise(-F.col("score"))
-    order = Window.partitionBy(*BY, "outcome").orderBy(worst, "run_id")
-    text = F.replace(F.coalesce("reasoning", F.lit("")), F.lit("\n"), F.lit(" "))
-    short = F.when(F.length(text) > 240, F.concat(F.left(text, F.lit(240)), F.lit("…"))).otherwise(text)
-    return told.withColumn("place", F.row_number().over(order)).where("place <= 10").select(
-        *BY, "outcome", "place", "run_id", "score", short.alias("reasoning")
-    )
+    return figures.failure_digest(base.samples(spark, folder), BY)
 
 
 _EDGES = """edges AS (SELECT {by}, list_distinct(quantile_cont(tokens, {qs})) AS e, count(tokens) AS n FROM {source} WHERE tokens IS NOT NULL GROUP BY ALL)"""
@@ -220,9 +226,7 @@ def fpr_by_length_decile(spark, folder):
     _S + "SELECT experiment, stage, is_positive, quantile_cont(tokens, 0.5) AS median_tokens, quantile_cont(n_messages, 0.5) AS median_messages FROM samples GROUP BY ALL"
 )
 def class_lengths(spark, folder):
-    return base.samples(spark, folder).groupBy(*BY, "is_positive").agg(
-        F.percentile("tokens", F.lit(0.5)).alias("median_tokens"), F.percentile("n_messages", F.lit(0.5)).alias("median_messages")
-    )
+    return lengths.class_lengths(base.samples(spark, folder), BY)
 
 
 @query(_S + "SELECT experiment, stage, run_id, score / 100 AS unit_score, floor(length(coalesce(reasoning, '')) / 4.4)::INT AS reasoning_tokens FROM samples WHERE score IS NOT NULL")
@@ -244,16 +248,7 @@ SELECT g.experiment, g.stage, g.is_positive, b::INT AS bin, coalesce(h.n, 0) AS
 LEFT JOIN h ON h.experiment = g.experiment AND h.stage = g.stage AND h.is_positive = g.is_positive AND h.bin = b"""
 )
 def score_histogram(spark, folder):
-    return _histogram(base.samples(spark, folder).where("score IS NOT NULL"), [*BY, "is_positive"])
-
-
-def _histogram(df, group):
-    """Ten bins from 0 to 100, the last closed; empty bins have 0."""
-    names = [f"_{k}" for k in range(10)]
-    place = F.least(F.floor(F.col("score") / 10), F.lit(9))
-    wide = df.groupBy(*group).agg(*(count_if(place == k).alias(n) for k, n in enumerate(names)))
-    stack = ", ".join(f"{k}, `{n}`" for k, n in enumerate(names))
-    return wide.select(*group, F.expr(f"stack(10, {stack}) as (bin, n)"))
+    return figures.score_histogram(base.samples(spark, folder), [*BY, "is_positive"])
 
 
 @query(
@@ -264,37 +259,24 @@ SELECT g.experiment, g.label, g.stage, b::INT AS bin, coalesce(h.n, 0) AS n FROM
 LEFT JOIN h ON h.experiment = g.experiment AND h.label = g.label AND h.stage = g.stage AND h.bin = b"""
 )
 def histogram_by_label(spark, folder):
-    told = lengths.exploded(base.samples(spark, folder).where("score IS NOT NULL"), "benign")
-    big = told.groupBy("experiment", "label").count().where("count >= 10").select("experiment", "label")
-    return _histogram(told.join(big, ["experiment", "label"]), ["experiment", "label", "stage"])
+    return figures.histogram_by_label(base.samples(spark, folder), ["experiment"], "stage")
 
 
-_RELIABILITY = (0, 1, 10, 25, 50, 75, 90, 101)
-_CASE = "CASE " + " ".join(f"WHEN score >= {a} AND score < {b} THEN {k}" for k, (a, b) in enumerate(zip(_RELIABILITY, _RELIABILITY[1:], strict=False))) + " END"
+_CASE = "CASE " + " ".join(f"WHEN score >= {a} AND score < {b} THEN {k}" for k, (a, b) in enumerate(zip(figures.RELIABILITY, figures.RELIABILITY[1:], strict=False))) + " END"
 
 
 @query(
     _S + f"SELECT experiment, stage, {_CASE} AS bin, count(*) AS n, avg(score) AS mean_score, avg(CASE WHEN is_positive THEN 1.0 ELSE 0.0 END) AS share_positive FROM samples WHERE score IS NOT NULL GROUP BY ALL HAVING count(*) >= 5"
 )
 def calibration_bins(spark, folder):
-    place = F.lit(None).cast("int")
-    for k, (a, b) in enumerate(zip(_RELIABILITY, _RELIABILITY[1:], strict=False)):
-        place = F.when((F.col("score") >= a) & (F.col("score") < b), k).otherwise(place)
-    told = base.samples(spark, folder).where("score IS NOT NULL").groupBy(*BY, place.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("is_positive").cast("double")).alias("share_positive")
-    )
-    return told.where("n >= 5")
+    return figures.calibration_bins(base.samples(spark, folder), BY)
 
 
 @query(
     _S + f", {base.sql_exploded('samples', 'benign', 'is_positive AND score IS NOT NULL')} SELECT experiment, stage, label, count(*) AS n, avg(CASE WHEN score >= 50 THEN 1.0 ELSE 0.0 END) AS recall, quantile_cont(score, 0.5) AS median_score FROM ex GROUP BY ALL HAVING count(*) >= 15"
 )
 def recall_vs_median(spark, folder):
-    told = lengths.exploded(base.samples(spark, folder).where("is_positive AND score IS NOT NULL"), "benign")
-    out = told.groupBy(*BY, "label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= 50).cast("double")).alias("recall"), F.percentile("score", F.lit(0.5)).alias("median_score")
-    )
-    return out.where("n >= 15")
+    return figures.recall_vs_median(base.samples(spark, folder), BY)
 
 
 @query(
@@ -304,13 +286,4 @@ SELECT experiment, stage, label, CASE WHEN tokens < c[1] THEN 'T1' WHEN tokens <
 FROM ex JOIN e USING (experiment, label) WHERE score IS NOT NULL GROUP BY ALL"""
 )
 def recall_by_tercile(spark, folder):
-    """Recall per third of a label's lengths; the thirds are cut on the whole-transcript arm."""
-    told = lengths.exploded(base.samples(spark, folder).where("is_positive AND tokens IS NOT NULL"), "benign")
-    cuts = told.where("stage = 'global'").groupBy("experiment", "label").agg(
-        F.percentile("tokens", F.array(F.lit(0.333), F.lit(0.667))).alias("c")
-    )
-    third = F.when(F.col("tokens") < F.col("c")[0], "T1").when(F.col("tokens") < F.col("c")[1], "T2").otherwise("T3")
-    joined = told.where("score IS NOT NULL").join(cuts, ["experiment", "label"])
-    return joined.groupBy(*BY, "label", third.alias("tercile")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= 50).cast("double")).alias("recall")
-    )
+    return figures.recall_by_tercile(base.samples(spark, folder), ["experiment"])
\ No newline at end of file

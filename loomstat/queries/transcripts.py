@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import CHARS_PER_TOKEN, PREAMBLE
-from loomstat.operators import aggregation, chunking, flatten, scoring, transcripts
+from loomstat.operators import aggregation, chunking, flatten, scoring, transcripts, usage
 from loomstat.plans.config import ExperimentSettings
 from loomstat.queries import base
 from loomstat.queries.registry import query
@@ -43,7 +43,28 @@ def strip_leading_header(spark, folder):
     return told.select("run_id", "pos", "node_id", "role", F.md5("content").alias("digest"))
 
 
-@query()
+_BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _plain(x: str) -> str:
+    bare = f"replace(replace(replace({x}, '\\n', ' '), '\\t', ' '), '\\\"', '\"')"
+    return f"trim(regexp_replace({bare}, '{_BLANKS}', ' ', 'g'))"
+
+
+_LINES = r"string_split_regex(content, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
+
+
+@query(
+    _T + f""", h AS (SELECT run_id, {_plain("content")} AS head FROM transcript WHERE pos = 0 AND {_HEAD}),
+s AS (SELECT *, list_transform(range(0, greatest(length(head) - 79, 0), 40), lambda i: substr(head, i + 1, 80)) AS marks FROM h),
+t AS (SELECT t.run_id, (t.pos - CASE WHEN s.run_id IS NULL THEN 0 ELSE 1 END)::INT AS pos, t.node_id, t.role, t.content, s.head, s.marks,
+  length(content) >= 200 AND length(head) >= 80 AND (contains({_plain("content")}, substr(head, 1, 50)) OR contains({_plain("content")}, substr(head, length(head) // 2 + 1, 50))
+   OR contains({_plain("content")}, substr(head, greatest(length(head) - 50, 0) + 1, 50))) AS suspect
+  FROM transcript t LEFT JOIN s USING (run_id) WHERE NOT (s.run_id IS NOT NULL AND t.pos = 0)),
+l AS (SELECT *, CASE WHEN suspect THEN CASE WHEN {_LINES}[-1] = '' THEN {_LINES}[:-2] ELSE {_LINES} END END AS old FROM t),
+n AS (SELECT *, list_transform(old, lambda x: CASE WHEN length(x) >= 200 AND len(list_filter(marks, lambda m: contains({_plain("x")}, m))) > 0 THEN '[redacted]' ELSE x END) AS new FROM l)
+SELECT run_id, pos, node_id, role, md5(CASE WHEN coalesce(old <> new, false) THEN array_to_string(new, chr(10)) ELSE content END) AS digest FROM n"""
+)
 def redact_echoes(spark, folder):
     told = transcripts.redact_echoes(base.transcript(spark, folder))
     return told.select("run_id", "pos", "node_id", "role", F.md5("content").alias("digest"))
@@ -129,12 +150,23 @@ def chunk_counts(spark, folder):
     return _counts(spark, folder).select("run_id", chunking.chunk_count(F.col("n_messages"), 10, 4).alias("n_chunks"))
 
 
-@query()
+def _character_windows(budget: int, overlap: int) -> str:
+    """Window by window: sums of sizes up to each message tell the furthest end and the earliest next start."""
+    fits = f"greatest(first + 1, len(list_filter(upto, lambda x: x <= upto[first + 1] + {budget})) - 1)"
+    back = f"greatest(first + 1, len(list_filter(upto, lambda x: x < upto[last + 1] - {overlap})))" if overlap else "last"
+    return f"""WITH RECURSIVE {base.TRANSCRIPT}, c AS (SELECT run_id, pos, sum(length(content)) OVER (PARTITION BY run_id ORDER BY pos) AS total FROM transcript),
+u AS (SELECT run_id, [0] || list(total::BIGINT ORDER BY pos) AS upto, count(*)::BIGINT AS n FROM c GROUP BY run_id),
+w AS (SELECT run_id, 0 AS chunk_index, 0::BIGINT AS first, (SELECT 0)::BIGINT AS prior FROM u
+ UNION ALL SELECT run_id, chunk_index + 1, {back}, first FROM (SELECT w.run_id, w.chunk_index, w.first, u.upto, u.n, {fits} AS last FROM w JOIN u USING (run_id)) WHERE last < n)
+SELECT run_id, chunk_index::INT AS chunk_index, first::INT AS start_message, {fits}::INT AS end_message FROM w JOIN u USING (run_id)"""
+
+
+@query(_character_windows(4_000, 0))
 def chunks_characters(spark, folder):
     return chunking.character_windows(base.transcript(spark, folder), 4_000)
 
 
-@query()
+@query(_character_windows(4_000, 800))
 def chunks_characters_overlap(spark, folder):
     return chunking.character_windows(base.transcript(spark, folder), 4_000, 800)
 
@@ -158,21 +190,12 @@ def chunk_render(spark, folder):
     )
 
 
-@query(
-    f"""WITH {base.RENDERED}, s AS (SELECT run_id, sum(length(text) + 2) AS n, '<transcript_chunk>' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY pos) || chr(10) || '</transcript_chunk>' AS p FROM rendered GROUP BY run_id)
-SELECT run_id, CASE WHEN n <= 20000 THEN md5(p) END AS digest, CASE WHEN n > 20000 THEN 'TranscriptTooLargeError' END AS error FROM s"""
-)
-def whole_prompts(spark, folder):
-    told = chunking.whole_prompts(base.transcript(spark, folder), 20_000)
-    return told.select("run_id", F.md5("prompt").alias("digest"), "error")
-
-
 @query(
     f"""WITH {base.RENDERED}, s AS (SELECT run_id, sum(length(text) + 2) AS n, '<transcript_chunk>' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY pos) || chr(10) || '</transcript_chunk>' AS p FROM rendered GROUP BY run_id)
 SELECT run_id, CASE WHEN n <= {_MOST} THEN md5(p) END AS digest, CASE WHEN n > {_MOST} THEN 'TranscriptTooLargeError' END AS error FROM s"""
 )
-def whole_prompts_default(spark, folder):
-    """At the default limit of the settings; ``whole_prompts`` has a small one, to refuse some."""
+def whole_prompts(spark, folder):
+    """At the default limit of the settings."""
     told = chunking.whole_prompts(base.transcript(spark, folder), _MOST)
     return told.select("run_id", F.md5("prompt").alias("digest"), "error")
 
@@ -256,25 +279,14 @@ def cache_misses(spark, folder):
 )
 def token_calibration(spark, folder):
     """Completion tokens per monitor model, and the cap they suggest."""
-    t = table(spark, folder, "completions").select("completion_id", "model", F.col("token_usage.completion_tokens").alias("t")).distinct().where("t IS NOT NULL")
-    return t.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t").alias("least"), F.percentile("t", F.lit(0.5)).alias("median"), F.max("t").alias("most"),
-        F.floor(F.max("t") * 1.5).alias("suggested"),
-    )
+    return usage.token_calibration(table(spark, folder, "completions"))
 
 
 @query(
     "SELECT count(*) AS n_calls, count(*) FILTER (from_cache) AS n_cached, count(*) FILTER (from_cache) / count(*) AS hit_rate, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens FROM (SELECT DISTINCT completion_id, from_cache, token_usage.prompt_tokens AS p, token_usage.completion_tokens AS c FROM completions)"
 )
 def usage_totals(spark, folder):
-    rows = table(spark, folder, "completions").select(
-        "completion_id", "from_cache", F.col("token_usage.prompt_tokens").alias("p"), F.col("token_usage.completion_tokens").alias("c")
-    ).distinct()
-    hits = F.count(F.when(F.col("from_cache"), 1))
-    return rows.agg(
-        F.count(F.lit(1)).alias("n_calls"), hits.alias("n_cached"), (hits / F.count(F.lit(1))).alias("hit_rate"),
-        F.sum("p").alias("prompt_tokens"), F.sum("c").alias("completion_tokens"),
-    )
+    return usage.usage_totals(table(spark, folder, "completions"))
 
 
 @query(
@@ -283,10 +295,22 @@ SELECT count(*) AS n_transcripts, sum(ceil(m / 10))::BIGINT AS n_calls, sum(c)::
 )
 def dry_run(spark, folder):
     """What scoring everything in chunks of ten would take."""
-    told = transcripts.rendered(base.transcript(spark, folder)).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(F.length("text")).alias("c")
-    )
-    return told.agg(
-        F.count(F.lit(1)).alias("n_transcripts"), F.sum(chunking.chunk_count(F.col("m"), 10)).alias("n_calls"),
-        F.sum("c").alias("n_characters"), F.floor(F.sum("c") / 4.4).alias("n_tokens"),
-    )
+    return usage.dry_run(base.transcript(spark, folder))
+
+
+@query(_R + "SELECT run_id, count(*) AS n_lines, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos)) AS digest FROM rendered GROUP BY run_id")
+def transcript_text(spark, folder):
+    """Every transcript as one text, at the default limit of the settings."""
+    told = base.transcript(spark, folder)
+    counts = told.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return transcripts.as_text(told, _MOST).join(counts, "run_id").select("run_id", "n_lines", F.md5("text").alias("digest"))
+
+
+@query(
+    f"""WITH {base.TRANSCRIPT}, n AS (SELECT run_id, count(*) AS n FROM transcript GROUP BY run_id), w AS (SELECT run_id, n, unnest(range(0, n, 6)) AS s FROM n), k AS (SELECT * FROM w WHERE s = 0 OR s + 4 < n)
+SELECT t.run_id, (s // 6)::INT AS chunk_index, pos, md5(content) AS digest FROM k JOIN transcript t ON t.run_id = k.run_id AND t.pos >= s AND t.pos < s + 10"""
+)
+def chunk_messages_overlap(spark, folder):
+    """Every message once per overlapping window that holds it."""
+    told = chunking.chunk_messages(base.transcript(spark, folder), 10, 4)
+    return told.select("run_id", "chunk_index", "pos", F.md5("content").alias("digest"))

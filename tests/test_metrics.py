@@ -92,3 +92,13 @@ def test_pairs(spark):
     assert got == {1: "recovered", 2: "lost", 3: "both_caught", 4: "both_missed", 6: "FP->TN"}
     m = paired.mcnemar(both.withColumn("g", F.lit(1)), ["g"]).first()
     assert (m.recovered, m.lost, m.p_value, m.net) == (1, 1, 1.0, 0)
+
+
+def test_arms_on_paired_runs(spark):
+    rows = [(k, 90.0 if k < 3 else 10.0, 90.0 if k < 5 else 10.0, k < 6) for k in range(6)] + [(10 + k, 60.0 if k < 4 else 5.0, 5.0, False) for k in range(100)]
+    both = spark.createDataFrame(rows, "run_id long, score_baseline double, score_variant double, is_positive boolean").withColumn("g", F.lit("x"))
+    got = {r.metric: r for r in paired.arm_table(both, ["g"]).collect()}
+    assert (got["recall"].baseline, got["recall"].variant) == (0.5, pytest.approx(5 / 6)) and got["fpr"].delta == pytest.approx(-0.04)
+    assert all(r.budgets_differ for r in got.values()) == (abs(got["achieved_fpr"].delta) > 0.01)
+    same = paired.arm_table(both.withColumn("score_variant", F.col("score_baseline")), ["g"]).collect()
+    assert all(r.delta == 0 and not r.budgets_differ for r in same)

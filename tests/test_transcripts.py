@@ -176,7 +176,9 @@ def test_batch_scorer(spark):
     got = {r.run_id: (r.score, r.error) for r in scoring.batch_scorer(judge, 20)(df).collect()}
     assert got == {1: (3.0, None), 2: (None, "InvalidVerdictError"), 3: (None, "TranscriptTooLargeError")}
     bad = spark.createDataFrame([(1, "boom")], "run_id int, prompt string")
-    assert scoring.batch_scorer(judge, 20)(bad).first().error == "RuntimeError"
+    assert scoring.batch_scorer(judge, 20)(bad).first().error == "UpstreamError: RuntimeError"
+    mixed = spark.createDataFrame([(1, "boom"), (2, "abc")], "run_id int, prompt string").coalesce(1)
+    assert {r.run_id: r.score for r in scoring.batch_scorer(judge, 20)(mixed).collect()} == {1: None, 2: 3.0}
 
 
 def test_cache_scores_each_call_once(spark):
@@ -202,8 +204,65 @@ def test_whole_prompts_refuse_by_the_limit_only(spark):
     assert "a" * 30_000 in large[1].prompt and large[1].error is None and large[2].prompt == small[2].prompt
 
 
-def test_whole_prompts_default_builds_the_long_runs(spark):
+def test_whole_prompts_build_the_long_runs(spark):
     folder = "/root/testdata/sf0.01"
-    got = {r.run_id: r for r in QUERIES["whole_prompts_default"](spark, folder).collect()}
+    got = {r.run_id: r for r in QUERIES["whole_prompts"](spark, folder).collect()}
     long = {r.run_id for r in QUERIES["run_lengths"](spark, folder).where("n_characters > 20000").collect()}
     assert long and all(got[k].digest and got[k].error is None for k in long)
+
+
+def test_answers_and_errors_of_a_model(spark):
+    def call(prompt, seconds):
+        assert 120 <= seconds <= 900
+        if prompt == "boom":
+            raise TimeoutError
+        return {
+            "cut": {"score": 3, "finish_reason": "length", "completion_tokens": 256}, "no": {"refusal": "I won't"}, "half": {"score": 1.5}, "none": {}, "flag": {"score": True},
+        }.get(prompt, {"score": 40, "reasoning": "ok", "finish_reason": "stop", "prompt_tokens": 7})
+
+    words = ["a", "boom", "cut", "no", "half", "none", "flag", None, "x" * 99]
+    df = spark.createDataFrame(list(enumerate(words)), "run_id int, prompt string").coalesce(1)
+    scored = scoring.prompt_scorer(call, 50, retries=1)(df)
+    got = {r.run_id: r.error for r in scored.collect()}
+    invalid = "InvalidVerdictError"
+    assert got == {
+        0: None, 1: "UpstreamError: TimeoutError", 2: "TruncatedResponseError", 3: "RefusalError", 4: invalid, 5: invalid, 6: invalid, 7: "EmptyTranscript", 8: "TranscriptTooLargeError"
+    }
+    told = scoring.usage(scored).first()
+    assert (told.n_calls, told.n_failed, told.prompt_tokens, told.completion_tokens) == (9, 8, 7, 256)
+    assert scoring.time_limit(0) == 120 and scoring.time_limit(10**9) == 900
+
+
+def test_windows_are_the_greedy_ones():
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes = [rng.choice([0, 1, 5, 9, 30]) for _ in range(rng.randint(0, 12))]
+        budget, overlap = rng.choice([1, 8, 20, 60]), rng.choice([0, 3, 10])
+        windows = [(w["start"], w["end"]) for w in chunking.window_spans(sizes, budget, overlap)]
+        want, at = [], 0
+        while at < len(sizes):
+            end = max([at + 1, *(e for e in range(at + 1, len(sizes) + 1) if sum(sizes[at:e]) <= budget)])
+            want.append((at, end))
+            if end == len(sizes):
+                break
+            at = max(at + 1, min([end, *(b for b in range(at + 1, end + 1) if overlap and sum(sizes[b:end]) <= overlap)]))
+        assert windows == want, (sizes, budget, overlap)
+
+
+def test_text_of_transcripts(spark, tmp_path):
+    from loomstat.sources import sinks
+
+    schema = "run_id long, pos int, role string, name string, content string, function_call struct<name:string,arguments:string>"
+    told = spark.createDataFrame([(1, 1, "assistant", None, "two", None), (1, 0, "user", None, "one", None), (2, 0, "user", None, "x" * 500, None)], schema)
+    got = {r.run_id: r.text for r in transcripts.as_text(told, 100).collect()}
+    assert got == {1: "[user]\none\n\n---\n\n[assistant]\ntwo", 2: None}
+    sinks.write_text(str(tmp_path / "t.txt"), transcripts.text_parts(told, 1))
+    assert (tmp_path / "t.txt").read_text() == got[1]
+
+
+def test_a_line_that_was_redacted_before_changes_nothing(spark):
+    head = "You are to act as an autonomous agent. " + "Do this and that with great care. " * 8
+    body = "\n".join(["[redacted]", "log: " + head + " " * 3 + "end", "short"])
+    schema = "run_id long, pos int, node_id long, role string, name string, content string, function_call struct<name:string,arguments:string>"
+    told = spark.createDataFrame([(1, 0, 0, "system", None, head, None), (1, 1, 1, "tool", None, body, None)], schema)
+    assert transcripts.redact_echoes(told).first().content == "[redacted]\n[redacted]\nshort"
