@@ -9,6 +9,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomstat.plans.config import ExperimentSettings
 from loomstat.plans.experiment import write_subset
@@ -33,8 +34,8 @@ def jsonl_round_trip(spark, folder):
     """Results as JSON lines, appended to twice, with the last line of each key read back."""
     rows = table(spark, folder, "monitor_results").select(*_RESULT.split(", ")).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
     path = _folder(spark)
-    sinks.write_jsonl(rows.where("line_no % 2 = 0"), path)
-    sinks.append_jsonl(rows.where("line_no % 2 = 1"), path)
+    sinks.write_jsonl(rows.where("monitor = 'global'"), path)
+    sinks.append_jsonl(rows.where("NOT monitor <=> 'global'"), path)
     return files.last_by_line(files.read_jsonl(spark, path, rows.schema), ["run_id", "monitor"])
 
 
@@ -58,14 +59,13 @@ def shards_round_trip(spark, folder):
     return files.read_shards(spark, path, "part")
 
 
-@query(_M + "SELECT run_id, manually_reviewed, run_id IN (SELECT run_id FROM meta WHERE is_positive) AS found FROM meta WHERE run_id % 3 = 0")
+@query(_M + "SELECT run_id, is_positive AS found FROM meta WHERE manually_reviewed")
 def wanted_runs(spark, folder):
-    """Wanted ids against the positive runs: those found and those missing, the rows once each."""
+    """The reviewed runs' ids looked up among the positive runs: those found, a repeated row once, and those missing."""
     meta = base.metadata(spark, folder)
-    ids = meta.where("run_id % 3 = 0").select("run_id")
+    ids = meta.where("manually_reviewed").select("run_id")
     got, missing = files.wanted(meta.where("is_positive").unionByName(meta.where("is_positive")), ids)
-    both = got.select("run_id", F.lit(True).alias("found")).unionByName(missing.select("run_id", F.lit(False).alias("found")))
-    return both.join(meta.select("run_id", "manually_reviewed"), "run_id").select("run_id", "manually_reviewed", "found")
+    return got.select("run_id", F.lit(True).alias("found")).unionByName(missing.select("run_id", F.lit(False).alias("found")))
 
 
 @query(
@@ -78,7 +78,7 @@ def subset_manifest(spark, folder):
     path = _folder(spark)
     where = sinks.RunFolder(path.removeprefix("file://").removeprefix("file:"), "subset", "reviewed")
     write_subset(chosen, meta, ExperimentSettings(), where)
-    manifest = files.read_document(spark, where.file("run.json"))
+    manifest = files.read_document(spark, where.file("run.json"), StructType.fromDDL("composition struct<n_selected: long, n_positive: long>"))
     ids = files.read_jsonl(spark, where.file("ids"), chosen.schema)
     unlabelled = meta.join(ids, "run_id", "left_semi").where(F.size("labels") == 0).agg(F.count(F.lit(1)).alias("n_unlabelled"))
     counts = ids.agg(F.count(F.lit(1)).alias("n_ids"))
