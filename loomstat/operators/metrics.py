@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import TARGET_FPR, THRESHOLD
 from loomstat.functions.stats import count_if, ratio, share
+from loomstat.operators.counted import quantiles
 from loomstat.operators.scores import outcome
 
 By = Sequence[str]
@@ -43,16 +44,10 @@ def confusion(df: DataFrame, by: By, threshold: float = THRESHOLD) -> DataFrame:
 
 def score_distribution(df: DataFrame, by: By) -> DataFrame:
     """n, mean, median, p10, p90, min and max of the scores of each class."""
-    p = lambda q: F.percentile("score", F.lit(q))
-    return df.where("score IS NOT NULL").groupBy(*by, "is_positive").agg(
-        F.count("score").alias("n"),
-        F.avg("score").alias("mean"),
-        p(0.5).alias("median"),
-        p(0.1).alias("p10"),
-        p(0.9).alias("p90"),
-        F.min("score").alias("min"),
-        F.max("score").alias("max"),
-    )
+    counts = {
+        "n": F.sum("_n"), "mean": F.sum(F.col("_v") * F.col("_n")) / F.sum("_n"), "min": F.min("_v"), "max": F.max("_v"),
+    }
+    return quantiles(df, [*by, "is_positive"], "score", {"median": 0.5, "p10": 0.1, "p90": 0.9}, counts)
 
 
 def score_counts(df: DataFrame, by: By) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,33 @@ def flatten_dag(spark, folder):
     return _flat(flatten.flatten_dag(_as_samples(spark, folder)))
 
 
+def _as_windows(spark, folder, width: int = 5):
+    """The transcripts as calls that each see the last messages before a reply: inputs overlap, and replies come back as inputs."""
+    told = base.transcript(spark, folder).select(
+        "run_id", "pos", "node_id", "role", "content", F.col("function_call.name").alias("call"), F.col("function_call.arguments").alias("arguments")
+    )
+    replies = told.where("role = 'assistant'").select("run_id", F.col("pos").alias("reply"))
+    # a message asks for the replies of the next places; each place is looked up once
+    places = F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + width)).alias("reply")
+    inputs = told.select("*", places).join(replies, ["run_id", "reply"]).select(
+        "run_id", F.col("reply").alias("si"), F.lit(0).alias("tier"), F.col("pos").alias("i"), "node_id", "role", "content", "call", "arguments"
+    )
+    completions = told.where("role = 'assistant'").select(
+        "run_id", F.col("pos").alias("si"), F.lit(1).alias("tier"), F.lit(0).alias("i"), F.lit(None).cast("long").alias("node_id"), "role", "content", "call", "arguments"
+    )
+    return inputs.unionByName(completions)
+
+
+@query(
+    _T + """, seen AS (SELECT DISTINCT t.run_id, t.pos FROM transcript t JOIN transcript r ON r.run_id = t.run_id AND r.role = 'assistant' AND r.pos > t.pos AND r.pos <= t.pos + 5
+ UNION SELECT run_id, pos FROM transcript WHERE role = 'assistant')
+SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1)::INT AS pos, role, md5(content) AS digest FROM seen JOIN transcript USING (run_id, pos)"""
+)
+def flatten_windows(spark, folder):
+    """Repeated nodes, and replies that come back with another node: each message once, in order."""
+    return _flat(flatten.flatten_dag(_as_windows(spark, folder)))
+
+
 _CALLS = """, r AS (SELECT *, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS tier, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM transcript),
 calls AS (SELECT run_id, upto - tier AS si, tier, CASE WHEN tier = 1 THEN 0 ELSE pos END AS i, role, content FROM r
  UNION ALL SELECT run_id, upto, 0, -1, role, content FROM r WHERE tier = 1),
@@ -314,3 +343,25 @@ def chunk_messages_overlap(spark, folder):
     """Every message once per overlapping window that holds it."""
     told = chunking.chunk_messages(base.transcript(spark, folder), 10, 4)
     return told.select("run_id", "chunk_index", "pos", F.md5("content").alias("digest"))
+
+
+_ANSWER = """CASE WHEN length(prompt) % 7 = 0 THEN 'UpstreamError: RuntimeError' WHEN length(prompt) % 5 = 0 THEN 'TruncatedResponseError' WHEN length(prompt) % 11 = 0 THEN 'RefusalError' END"""
+
+
+def _answer(prompt: str, seconds: float) -> dict:
+    """A stand-in for a model that fails now and then."""
+    n = len(prompt)
+    if n % 7 == 0:
+        raise RuntimeError
+    score = int(hashlib.md5(prompt.encode(), usedforsecurity=False).hexdigest()[:6], 16) % 101
+    return {"score": score, "finish_reason": "length" if n % 5 == 0 else "stop", "refusal": "no" if n % 11 == 0 else None, "prompt_tokens": n, "completion_tokens": 1}
+
+
+@query(
+    f"""WITH {_PROMPTS}, a AS (SELECT run_id, chunk_index, {_ANSWER} AS error, {_SCORE.format(p="prompt")} AS s, length(prompt) AS n FROM prompts)
+SELECT run_id, chunk_index, CASE WHEN error IS NULL THEN s END AS score, error, CASE WHEN n % 7 <> 0 THEN n ELSE 0 END AS prompt_tokens FROM a"""
+)
+def model_scores(spark, folder):
+    """Every chunk's prompt through a scorer in Python, with refusals, cut answers and failing calls as rows."""
+    scored = scoring.prompt_scorer(_answer, _MOST)(_prompts(spark, folder).select("run_id", "chunk_index", "prompt"))
+    return scored.select("run_id", "chunk_index", "score", "error", "prompt_tokens")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,17 +26,24 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
+def _temporary() -> str:
+    """A folder that goes when the process does."""
+    folder = tempfile.mkdtemp(prefix="loomstat-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
     Clusters name it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made.
+    tests on one machine, a temporary folder is made and removed at the end of the process.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loomstat-")
+        shared = spark.sparkContext.getCheckpointDir() or _temporary()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared)
     return shared
