@@ -54,7 +54,9 @@ def linear_messages(messages: DataFrame) -> DataFrame:
         F.coalesce("m.content", F.lit("")).alias("content"),
         F.when(has_call(F.col("m.function_call")), F.col("m.function_call")).alias("function_call"),
     )
-    return positions(told, "run_id", "node_id")
+    # places are found on keys alone; contents stay where the fold put them, by run and node
+    places = positions(kept.select("run_id", "node_id").distinct(), "run_id", "node_id")
+    return told.join(places, ["run_id", "node_id"])
 
 
 def rendered(transcript: DataFrame) -> DataFrame:
