@@ -265,7 +265,9 @@ def _round(units: DataFrame, seed: int) -> DataFrame:
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         return resolve(pdf, seed, bool(pdf["blocks"].iloc[0] == 1))
 
-    kept = units.select("wave", "run_id", "cell", "p", "block", "blocks", "fan")
+    # the work is arithmetic on few bytes: as many tasks as there are cores to do it, not as bytes would have it
+    tasks = 3 * units.sparkSession.sparkContext.defaultParallelism
+    kept = units.select("wave", "run_id", "cell", "p", "block", "blocks", "fan").repartition(tasks, "wave", "block")
     return kept.groupBy("wave", "block").applyInPandas(fly, "wave int, run_id long, cell string, p double, block long, blocks long, fan long")
 
 

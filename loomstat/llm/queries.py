@@ -46,6 +46,13 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "completions"))
 
 
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many reasonings of each model were judged, and that no share is out of range."""
+    rates = truncation.cut_rates(table(spark, folder, "completions"))
+    whole = (F.col("n_cut") <= F.col("n_reasonings")) & (F.abs(F.col("share_cut") * F.col("n_reasonings") - F.col("n_cut")) < 1e-6)
+    return rates.select("model", "n_reasonings", whole.alias("consistent"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     report = balanced.sample_report(table(spark, folder, "runs"), table(spark, folder, "sample_targets"))
     return balanced.unmet_for_lack_of_runs(report).select("wave", "label", "run_source")
@@ -128,6 +135,7 @@ QUERIES: dict[str, Query] = {
         p2_check,
         p3_found,
         p3_rates,
+        p3_counts,
         p4_found,
         p4_report,
         p4_sample,

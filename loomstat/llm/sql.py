@@ -165,5 +165,10 @@ WHERE node_id IS NOT NULL GROUP BY run_id
     "p2_check": f"""
 SELECT DISTINCT run_id, chunk_index, n::INT AS n_characters, true AS covered, true AS shared, true AS within, true AS own_text
 FROM (SELECT run_id, chunk_index, {_CHUNK_LENGTH} AS n FROM chunks) WHERE n > 6000
+""",
+    "p3_counts": f"""
+SELECT coalesce(model, '') AS model, count(*) AS n_reasonings, true AS consistent FROM (
+  SELECT model, parsed.reasoning AS reasoning, row_number() OVER (PARTITION BY completion_id ORDER BY called_at DESC NULLS LAST) AS k FROM completions WHERE completion_id IS NOT NULL)
+WHERE k = 1 AND {_strip("reasoning")} <> '' GROUP BY 1
 """,
 }
