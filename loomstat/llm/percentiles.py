@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the mantissa that are kept: a relative width of 1/2048.
 PRECISION = 11
+#: What a percentile of values of one sign may be off, as a share of it.
+RELATIVE_ERROR = 2.0 ** -(PRECISION + 1)
 #: Bits of one digit in the descent.
 DIGIT = 12
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm import balanced, conversations, packing, percentiles, quality, split, tokenize, truncation
+from loomstat.operators import counted
 from loomstat.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,20 @@ def p1_all_days(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.named(percentiles.percentiles(percentiles.merge(daily, keys), keys))
 
 
+def p1_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Days put together against exact percentiles of the values: whether every one is within the stated error."""
+    keys = ["label", "task_id", "stage", "measure"]
+    values = percentiles.sample_values(table(spark, folder, "per_sample"))
+    values = values.where("NOT isnan(value)").withColumn("measure", F.get(F.array(*map(F.lit, percentiles.MEASURES)), F.col("measure")))
+    wanted = {f"exact_{percentiles.column_name(q)}": q for q in percentiles.QUANTILES}
+    both = counted.match(p1_all_days(spark, folder), counted.quantiles(values, keys, "value", wanted, {"exact_n": F.sum("_n")}), keys)
+    within = F.col("n") == F.col("exact_n")
+    for exact, q in wanted.items():
+        off = F.abs(F.col(exact) - F.col(percentiles.column_name(q)))
+        within = within & (off <= F.abs(F.col(exact)) * percentiles.RELATIVE_ERROR + 1e-9)
+    return both.select(*keys, "n", within.alias("within"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversized(table(spark, folder, "chunks"))
 
@@ -130,6 +145,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         p1_percentiles,
         p1_all_days,
+        p1_bounds,
         p2_found,
         p2_pieces,
         p2_check,

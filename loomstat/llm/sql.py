@@ -170,5 +170,8 @@ FROM (SELECT run_id, chunk_index, {_CHUNK_LENGTH} AS n FROM chunks) WHERE n > 60
 SELECT coalesce(model, '') AS model, count(*) AS n_reasonings, true AS consistent FROM (
   SELECT model, parsed.reasoning AS reasoning, row_number() OVER (PARTITION BY completion_id ORDER BY called_at DESC NULLS LAST) AS k FROM completions WHERE completion_id IS NOT NULL)
 WHERE k = 1 AND {_strip("reasoning")} <> '' GROUP BY 1
+""",
+    "p1_bounds": f"""
+SELECT label, task_id, stage, measure, count(*) AS n, true AS within FROM ({_SAMPLE_VALUES}) WHERE value IS NOT NULL AND value::VARCHAR <> 'nan' GROUP BY ALL
 """,
 }
