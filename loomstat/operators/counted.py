@@ -27,20 +27,29 @@ def value_counts(df: DataFrame, by: By, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
 
 
+def tallies(df: DataFrame, by: By, value: str, **wanted: Column) -> DataFrame:
+    """``by, _v, _n`` and one aggregate per name of ``wanted``, for each distinct value; NULL values have a row too.
+
+    One pass over the rows serves quantiles of the value and any sums: see ``count_quantiles``.
+    """
+    return df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), *(c.alias(n) for n, c in wanted.items()))
+
+
 def _placed(counts: DataFrame, by: By) -> DataFrame:
-    """Adds ``_upto``, the values up to and with each one, and ``_total``, those of the group."""
+    """Adds ``_upto``, the values up to and with each one, and ``_total``, those of the group; NULL values don't count."""
     group = Window.partitionBy(*by)
-    return counts.withColumn("_upto", F.sum("_n").over(group.orderBy("_v"))).withColumn("_total", F.sum("_n").over(group))
+    known = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    return counts.withColumn("_upto", F.sum(known).over(group.orderBy("_v"))).withColumn("_total", F.sum(known).over(group))
 
 
-def _quantile_columns(wanted: Mapping[str, float]) -> tuple[list[Column], list[Column]]:
+def _quantile_columns(wanted: Mapping[str, float]) -> tuple[dict[str, Column], list[Column]]:
     """What to aggregate and what to make of it: linear interpolation between the two nearest values."""
     h = lambda q, n: F.lit(float(q)) * (F.col(n) - 1)
     first, upto = F.col("_upto") - F.col("_n"), F.col("_upto")
     at = lambda i: F.max(F.when((i >= first) & (i < upto), F.col("_v")))
-    gathered, made = [F.max("_total").alias("_all")], []
+    gathered, made = {"_all": F.max("_total")}, []
     for k, (name, q) in enumerate(wanted.items()):
-        gathered += [at(F.floor(h(q, "_total"))).alias(f"_l{k}"), at(F.ceil(h(q, "_total"))).alias(f"_h{k}")]
+        gathered |= {f"_l{k}": at(F.floor(h(q, "_total"))), f"_h{k}": at(F.ceil(h(q, "_total")))}
         low, high, place = F.col(f"_l{k}"), F.col(f"_h{k}"), h(q, "_all")
         made.append((low + (high - low) * (place - F.floor(place))).alias(name))
     return gathered, made
@@ -55,11 +64,19 @@ def quantiles(df: DataFrame, by: By, value: str, wanted: Mapping[str, float], ex
 
 
 def count_quantiles(counts: DataFrame, by: By, wanted: Mapping[str, float], extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """As ``quantiles``, from ``value_counts``."""
+    """As ``quantiles``, from ``value_counts`` or ``tallies``; of the latter also groups without a value have a row."""
     gathered, made = _quantile_columns(wanted)
     more = {} if extra is None else dict(extra)
-    found = _placed(counts, by).groupBy(*by).agg(*gathered, *(c.alias(name) for name, c in more.items()))
-    return found.where("_all > 0").select(*by, *made, *more)
+    found = _placed(counts, by).groupBy(*by).agg(*(c.alias(name) for name, c in (gathered | more).items()))
+    return found.select(*by, *made, *more)
+
+
+def with_quantile_columns(counts: DataFrame, by: By, wanted: Mapping[str, float]) -> DataFrame:
+    """Adds to every row of counts the quantiles of its group, and ``_all``, the number of its values."""
+    gathered, made = _quantile_columns(wanted)
+    group = Window.partitionBy(*by)
+    placed = _placed(counts, by).withColumns({name: c.over(group) for name, c in gathered.items()})
+    return placed.select(*counts.columns, "_all", *made)
 
 
 def with_quantiles(out: DataFrame, df: DataFrame, by: By, value: str, wanted: Mapping[str, float]) -> DataFrame:

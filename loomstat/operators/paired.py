@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.fixed import BUDGET_GAP, MIN_RUNS, MIN_SPREAD, TARGET_FPR, THRESHOLD
 from loomstat.functions.stats import binomial_p, count_if, share, slope
-from loomstat.operators.counted import match, quantiles, with_quantiles
+from loomstat.operators.counted import count_quantiles, match, quantiles, tallies, with_quantiles
 from loomstat.operators.lengths import exploded, quantile_bins, rank_correlation, spread
 from loomstat.operators.metrics import report
 from loomstat.operators.scores import outcome, transition
@@ -88,18 +88,14 @@ def top_recoveries(paired: DataFrame, by: By = (), n: int = 20) -> DataFrame:
     return paired.where("transition = 'recovered'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def recovery_stats(df: DataFrame, group: By, threshold: float = THRESHOLD, medians: dict[str, str] | None = None) -> DataFrame:
-    """Recall of both arms, recovered and lost runs with the exact p-value, per group."""
+def recovery_stats(df: DataFrame, group: By, threshold: float = THRESHOLD, median: str = "tokens") -> DataFrame:
+    """Recall of both arms, recovered and lost runs with the exact p-value and the median of a column, per group: one pass."""
     recovered, lost = _changes()
-    middle = {"median_tokens": "tokens"} if medians is None else medians
-    out = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        share(F.col("score_baseline") >= threshold).alias("recall_global"),
-        share(F.col("score_variant") >= threshold).alias("recall_chunk"),
-        recovered.alias("recovered"), lost.alias("lost"),
-    )
-    for name, column in middle.items():
-        out = with_quantiles(out, df, group, column, {name: 0.5})
+    caught = lambda c: count_if(F.col(c) >= threshold)
+    counts = tallies(df, group, median, _old=caught("score_baseline"), _new=caught("score_variant"), _up=recovered, _down=lost)
+    n = F.sum("_n")
+    sums = {"n": n, "recall_global": F.sum("_old") / n, "recall_chunk": F.sum("_new") / n, "recovered": F.sum("_up"), "lost": F.sum("_down")}
+    out = count_quantiles(counts, group, {f"median_{median}": 0.5}, sums)
     return out.withColumn("p", binomial_p(F.col("recovered"), F.col("recovered") + F.col("lost")))
 
 
