@@ -40,6 +40,8 @@ SHORT_LINE = 120
 #: Lines of more words are alike in length.
 LONG_LINE = 200
 EM_ROUNDS = 25
+#: So many partial sums of a step go to the driver as they are.
+FEW_PARTS = 64
 #: The fit ends where a round raises the mean log-likelihood of a line by less.
 SETTLED = 0.005
 #: Added to every variance of the standardized statistics.
@@ -499,7 +501,8 @@ def fit_documents(documents: DataFrame, text: str = "text") -> Mixture:
 
     told = documents.where(F.length(F.col(text)) > 0).select(text)
     kept = told.mapInArrow(look, "n long, f binary").checkpoint()  # read in every round
-    groups = math.ceil(math.sqrt(max(1, kept.rdd.getNumPartitions())))
+    parts = kept.rdd.getNumPartitions()
+    groups = math.ceil(math.sqrt(parts))
 
     def gather(of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,8 +521,10 @@ def fit_documents(documents: DataFrame, text: str = "text") -> Mixture:
                 yield _row(rows[0][0], sum(np.frombuffer(s) for _, s in rows))
 
         schema = "part int, sums binary"
-        some = kept.mapInArrow(add, schema).repartition(groups, F.pmod("part", F.lit(groups)))
-        rows = sorted(some.mapInArrow(add_more, schema).collect())
+        some = kept.mapInArrow(add, schema)
+        if parts > FEW_PARTS:  # added up in two steps, so that the driver never gets more than a root of them
+            some = some.repartition(groups, F.pmod("part", F.lit(groups))).mapInArrow(add_more, schema)
+        rows = sorted(some.collect())
         return sum(np.frombuffer(bytes(r.sums)) for r in rows).reshape(of(np.empty((0, len(FEATURES)), np.float32)).shape) if rows else None
 
     return fit_gathered(gather)
