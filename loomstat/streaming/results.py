@@ -1,6 +1,6 @@
 """Scoring as a stream: prompts arrive, each is scored once, results are appended.
 
-The reference behaviour is an append per finished result and a resume that skips what is scored;
+What is asked for is an append per finished result and a resume that skips what is scored;
 here the checkpoint of the stream and an anti-join against the results do that.
 """
 
