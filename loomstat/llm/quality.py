@@ -8,8 +8,8 @@ statistics by expectation-maximization; its components start at inspected exampl
 examples they explain; every kind has several. A document is what most of its characters are: the posteriors of its
 lines, weighted by their characters and evened out over neighbouring lines, are added up.
 
-The mixture is fitted on every line of every document, whole texts: the statistics are written once, and each
-step adds up, per component, the weights, values and squares of all lines, so only a matrix of
+The mixture is fitted on every line of every document, whole texts: each text is described once, its lines'
+statistics and its totals are written, and each step adds up, per component, the weights, values and squares of all lines, so only a matrix of
 components by statistics comes back, until the likelihood settles. Posteriors and kinds are computed for every line as well.
 """
 
@@ -32,7 +32,7 @@ from loomstat.session import checkpoint_dir
 
 KINDS = ("prose", "list", "table", "junk")
 #: Characters that are looked at together.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Lines whose posteriors are computed together while fitting.
 STEP_LINES = 1 << 9
 #: Visible characters under which a line is seen together with its neighbours.
@@ -42,6 +42,9 @@ LONG_LINE = 200
 EM_ROUNDS = 25
 #: So many partial sums of a step go to the driver as they are.
 FEW_PARTS = 64
+#: A component's log-density of a line counts as so far below the line's best at most: e^-60 adds nothing to a sum, but numbers too small
+#: for a normalized float, which arise beyond, slow down the products on many processors.
+LEAST_LOG = -60
 #: The fit ends where a round raises the mean log-likelihood of a line by less.
 SETTLED = 0.005
 #: Added to every variance of the standardized statistics.
@@ -72,7 +75,7 @@ FEATURES = (
     "ended_near",
 )
 
-_LETTER, _DIGIT, _SPACE, _UPPER, _HAN, _END, _VOWEL, _ODD, _CLOSE, _BREAK, _JOIN = (1 << k for k in range(11))
+_LETTER, _DIGIT, _SPACE, _UPPER, _HAN, _END, _VOWEL, _ODD, _CLOSE, _BREAK, _JOIN, _COMMA, _WIDE_COMMA, _PIPE, _SEMICOLON = (1 << k for k in range(15))
 # Fixed values
 _BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 _ENDS = ".!?…。！？"
@@ -84,6 +87,7 @@ _MAX_LAG = 12
 #: Words that must recur together, and the share of a text's words that must do so at one distance, for a fragment said over and over.
 GRAM, OVER_AND_OVER = 6, 0.6
 _POWERS = np.power(np.uint64(1_099_511_628_211), np.arange(40, dtype=np.uint64))
+_LOW = np.uint64(0x3FFF)
 _LANGUAGES = tuple(COMMON_WORDS)
 
 
@@ -116,7 +120,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
             b |= _ODD
         bits[c] = b
     bits[top:] = _ODD
-    for text, bit in ((_BREAKS, _BREAK), (_ENDS, _END), (_CLOSERS, _CLOSE), (_JOINERS, _JOIN)):
+    for text, bit in ((_BREAKS, _BREAK), (_ENDS, _END), (_CLOSERS, _CLOSE), (_JOINERS, _JOIN), (",", _COMMA), ("，、", _WIDE_COMMA), ("|", _PIPE), (";", _SEMICOLON)):
         for ch in text:
             bits[ord(ch)] |= bit | (_SPACE if bit == _BREAK else 0)
     return bits, lower
@@ -125,7 +129,8 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 _tables: list = []
 
 
-def _lookup() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lookup() -> tuple[np.ndarray, ...]:
+    """Class bits and lower case plus one by code point, common words, their languages and their lowest bits, the class of bits and the bits of a class."""
     if not _tables:
         bits, lower = _classes()
         hashes: dict[int, int] = {}
@@ -134,8 +139,13 @@ def _lookup() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
                 h = _hash_word(w)
                 hashes[h] = hashes.get(h, 0) | 1 << k
         keys = np.array(sorted(hashes), np.uint64)
-        _tables.extend((bits, lower, keys, np.array([hashes[int(k)] for k in keys], np.uint8)))
-    return tuple(_tables)  # type: ignore[return-value]
+        known = np.unique(bits)
+        class_of = np.zeros(1 << 15, np.uint8)
+        class_of[known] = np.arange(len(known))
+        ends = np.zeros(int(_LOW) + 1, bool)
+        ends[(keys & _LOW).astype(np.int64)] = True
+        _tables.extend((bits, lower.astype(np.uint64) + np.uint64(1), keys, np.array([hashes[int(k)] for k in keys], np.uint8), ends, class_of, known))
+    return tuple(_tables)
 
 
 def _hash_word(word: str) -> int:
@@ -145,10 +155,6 @@ def _hash_word(word: str) -> int:
     return total & 0xFFFFFFFFFFFFFFFF
 
 
-def _mark(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(flags.astype(np.int32), starts) if len(starts) else np.empty(0, np.int32)
-
-
 @dataclass
 class Lines:
     """The non-blank lines of some texts: whose they are, their characters and statistics."""
@@ -168,76 +174,89 @@ class Lines:
 
 def describe(texts: Sequence[str]) -> Lines:
     """The lines of ``texts`` and the totals of each text. Texts must not be NULL."""
-    bits_of, lower, common_keys, common_bits = _lookup()
+    bits_of, lower, common_keys, common_bits, common_ends, class_of, bits_in = _lookup()
     n_docs = len(texts)
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
-    bits = bits_of[np.minimum(codes, 0x10FFFF)]
-    breaks = (bits & _BREAK) != 0
+    bits = bits_of[codes]
     p = np.flatnonzero((bits & _SPACE) == 0)
     empty = Lines(*(np.zeros(0, int), np.zeros(0), np.zeros((0, len(FEATURES)))), *(np.zeros(n_docs) for _ in range(6)), np.zeros((n_docs, len(_LANGUAGES))))
     if not len(p):
         return empty
-    line = np.cumsum(breaks, dtype=np.int32)[p]
-    new_line = np.diff(line, prepend=-1) != 0
-    s = np.flatnonzero(new_line)  # where lines begin in p
+    # where lines begin in p
+    s = np.searchsorted(p, np.flatnonzero((bits & _BREAK) != 0))
+    s = np.append(0, s[s < len(p)])
+    s = s[np.diff(s, prepend=-1) != 0]
     e = np.append(s[1:], len(p)) - 1
     document = np.searchsorted(first, p[s], side="right") - 1
     b, c = bits[p], codes[p]
     gap = np.diff(p, prepend=-10)
     gap[s] = 1
     visible = e - s + 1
-
-    letter = (b & _LETTER) != 0
-    digit = (b & _DIGIT) != 0
-    han = (b & _HAN) != 0
-    follows = np.append(letter[1:], False) & (np.append(gap[1:], 9) == 1)
-    joined = ((b & _JOIN) != 0) & np.roll(letter, 1) & (gap == 1) & follows & ~new_line
-    inword = letter | digit | joined
-    before = np.roll(inword, 1) & (gap == 1) & ~new_line
-    before[0] = False
-    starts = inword & (~before | han | np.roll(han, 1))
-    w = np.flatnonzero(starts)
     n_lines = len(s)
-    line_of = np.cumsum(new_line, dtype=np.int32) - 1
-    wl = line_of[w]
-    n_words = np.bincount(wl, minlength=n_lines)
+    line_of = np.repeat(np.arange(n_lines), visible)
+    # next to the character before it, in the same line; none is behind the last
+    near = np.append(gap == 1, False)
+    near[s] = False
+
+    # how many characters of each class a line has
+    n_classes = len(bits_in)
+    by_class = np.bincount(line_of * n_classes + class_of[b], minlength=n_lines * n_classes).reshape(n_lines, n_classes)
+    per = lambda bit: by_class[:, (bits_in & bit) != 0].sum(axis=1)
+    count = lambda at: np.bincount(line_of[at], minlength=n_lines)
+    letters, digits, hans = per(_LETTER), per(_DIGIT), per(_HAN)
+    any_han = bool(hans.any())
+    han = (b & _HAN) != 0 if any_han else None
+
+    joined = np.flatnonzero((b & _JOIN) != 0)
+    joined = joined[(joined > 0) & (joined < len(p) - 1)]
+    joined = joined[near[joined] & ((b[joined - 1] & b[joined + 1] & _LETTER) != 0) & (gap[joined + 1] == 1)]
+    inword = (b & (_LETTER | _DIGIT)) != 0
+    inword[joined] = True
+    before = near[:-1].copy()
+    before[1:] &= inword[:-1]
+    if any_han:
+        before &= ~(han | np.roll(han, 1))
+    inside = np.flatnonzero(inword)
+    k = np.flatnonzero(~before[inside])  # where words begin in inside
+    length = np.diff(np.append(k, len(inside)))
+    w = inside[k]
+    n_words = np.diff(np.searchsorted(w, np.append(s, len(p))))
+    wl = np.repeat(np.arange(n_lines), n_words)
     if len(w):
-        length = _mark(inword[w[0] :], w - w[0])
-        run = np.cumsum(inword)
-        place = np.minimum(_place(run, w, len(p)), 39)
-        value = np.where(inword, (lower[np.minimum(c, 0x10FFFF)].astype(np.uint64) + np.uint64(1)) * _POWERS[np.maximum(place, 0)], np.uint64(0))
-        h = np.add.reduceat(value, w)
-        slot = np.minimum(np.searchsorted(common_keys, h), len(common_keys) - 1)
-        which = np.where(common_keys[slot] == h, common_bits[slot], 0)
+        place = np.minimum(np.arange(len(inside)) - np.repeat(k, length), 39)
+        h = np.add.reduceat(lower[c[inside]] * _POWERS[place], k)
+        maybe = np.flatnonzero(common_ends[(h & _LOW).astype(np.int64)])
+        slot = np.minimum(np.searchsorted(common_keys, h[maybe]), len(common_keys) - 1)
+        which = np.zeros(len(h), np.uint8)
+        which[maybe] = np.where(common_keys[slot] == h[maybe], common_bits[slot], 0)
     else:
-        length, h, which = np.empty(0, int), np.empty(0, np.uint64), np.empty(0, np.uint8)
+        h, which = np.empty(0, np.uint64), np.empty(0, np.uint8)
 
-    per = lambda flags: _mark(flags, s)
-    letters, digits, hans = per(letter), per(digit), per(han)
-    ends = (b & _END) != 0
-    quiet = letter | digit | ends | joined | (c == 44) | (c == 0xFF0C) | (c == 0x3001)
-    symbols = per(~quiet)
+    n_joined, ends = count(joined), per(_END)
+    symbols = visible - per(_LETTER | _DIGIT | _END | _COMMA | _WIDE_COMMA) - n_joined
     # the end of a line behind closers
     last = e.copy()
     for _ in range(3):
         back = ((b[last] & _CLOSE) != 0) & (last > s)
         last -= back
-    ended = ends[last]
+    ended = (b[last] & _END) != 0
     # tokens without blanks, those with Han aside
-    t = np.flatnonzero((gap > 1) | new_line)
+    t = np.flatnonzero(~near[:-1])
     token = np.diff(np.append(t, len(p)))
-    token = np.where(_mark(han, t) > 0, 1, token)
+    if any_han:
+        token[np.searchsorted(t, np.flatnonzero(han), side="right") - 1] = 1
     longest = np.maximum.reduceat(token, np.searchsorted(t, s))
-    tabs = np.cumsum(codes == 9)
-    wide = per((gap >= 3) & ~new_line)
-    tight_comma = (c == 44) & (np.append(gap[1:], 9) == 1) & ~np.append(new_line[1:], True)
-    dash = c == 45
-    corner = (c == 43) & (np.append(dash[1:], False) | np.roll(dash, 1))
-    columns = per((c == 124) | corner | (c == 59) | tight_comma) + wide + tabs[p[e]] - tabs[np.maximum(p[s] - 1, 0)]
-    columns = columns - per(c == 59) * (per(c == 59) == 1) * ended_by(c, e, 59)
-    commas = per(((c == 44) & ~tight_comma) | (c == 0xFF0C) | (c == 0x3001))
+    tabs = np.flatnonzero(codes == 9)
+    tabs = np.searchsorted(tabs, p[e], side="right") - np.searchsorted(tabs, np.maximum(p[s] - 1, 0), side="right")
+    comma, plus = np.flatnonzero(c == 44), np.flatnonzero(c == 43)
+    tight = count(comma[near[comma + 1]])
+    corner = count(plus[((c[np.minimum(plus + 1, len(p) - 1)] == 45) | (plus > 0) & (c[plus - 1] == 45))])
+    semicolons = per(_SEMICOLON)
+    columns = per(_PIPE) + corner + semicolons + tight + count(np.flatnonzero(gap >= 3)) + tabs
+    columns = columns - semicolons * (semicolons == 1) * ended_by(c, e, 59)
+    commas = per(_COMMA | _WIDE_COMMA) - tight
 
     head = c[s]
     second = c[np.minimum(s + 1, len(p) - 1)]
@@ -250,22 +269,26 @@ def describe(texts: Sequence[str]) -> Lines:
     period = np.zeros(n_lines)
     for lag in range(1, _MAX_LAG + 1):
         if len(h) > lag:
-            same = (h[lag:] == h[:-lag]) & (wl[lag:] == wl[:-lag])
-            hits = np.bincount(wl[lag:][same], minlength=n_lines)
+            same = np.flatnonzero(h[lag:] == h[:-lag])
+            same = wl[same][wl[same] == wl[same + lag]]
+            hits = np.bincount(same, minlength=n_lines)
             period = np.maximum(period, hits / np.maximum(n_words - lag, 4))
     if len(h):
         period = np.maximum(period, np.where(n_words > 0, _over_and_over(h, document[wl], n_docs)[document], 0))
     # a line's words as one number, to find it again next door
-    order = np.arange(len(h)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
-    with np.errstate(over="ignore"):
-        mixed = h * (np.uint64(2) * (order % 4096).astype(np.uint64) + np.uint64(1))
     sums = np.zeros(n_lines, np.uint64)
-    np.add.at(sums, wl, mixed) if len(h) else None
+    if len(h):
+        begin = np.cumsum(n_words) - n_words
+        order = np.arange(len(h)) - np.repeat(begin, n_words)
+        mixed = h * (np.uint64(2) * (order % 4096).astype(np.uint64) + np.uint64(1))
+        worded = n_words > 0
+        sums[worded] = np.add.reduceat(mixed, begin[worded])
     same_doc = document[1:] == document[:-1]
     twin = (sums[1:] == sums[:-1]) & same_doc & (n_words[1:] > 2)
     repeated = np.append(twin, False) | np.insert(twin, 0, False)
 
-    common = np.bincount(wl[which > 0], minlength=n_lines) / np.maximum(n_words, 1)
+    known = np.flatnonzero(which)
+    common = np.bincount(wl[known], minlength=n_lines) / np.maximum(n_words, 1)
     f = np.empty((n_lines, len(FEATURES)), np.float32)
     f[:, 0] = np.log1p(np.minimum(n_words, LONG_LINE))
     f[:, 1] = common
@@ -278,22 +301,22 @@ def describe(texts: Sequence[str]) -> Lines:
     f[:, 8] = np.log1p(longest)
     f[:, 9] = period
     f[:, 10] = repeated
-    f[:, 11] = per((b & _UPPER) != 0) / np.maximum(letters, 1)
+    f[:, 11] = per(_UPPER) / np.maximum(letters, 1)
     f[:, 12] = np.minimum((letters - hans) / np.maximum(n_words - hans, 1), 20)
-    f[:, 13] = np.where(letters > hans, per((b & _VOWEL) != 0) / np.maximum(letters - hans, 1), 0.4)
+    f[:, 13] = np.where(letters > hans, per(_VOWEL) / np.maximum(letters - hans, 1), 0.4)
     f[:, 14] = commas / np.maximum(n_words, 1)
-    f[:, 15] = per((b & _ODD) != 0) / visible
-    f[:, 16] = per(ends) / np.maximum(n_words, 1)
+    f[:, 15] = per(_ODD) / visible
+    f[:, 16] = ends / np.maximum(n_words, 1)
     # short lines say little by themselves: their surroundings help
     short = visible < SHORT_LINE
     for k, column in enumerate((1, 0, 4)):
         f[:, 17 + k] = np.where(short, _near(f[:, column].astype(float), document), f[:, column])
 
     total = lambda x: np.bincount(document, weights=x, minlength=n_docs)
-    told = document[wl]
-    by_language = np.stack([np.bincount(told[(which >> k) & 1 == 1], minlength=n_docs) for k in range(len(_LANGUAGES))], axis=1)
+    told, tongues = document[wl[known]], which[known]
+    by_language = np.stack([np.bincount(told[(tongues >> k) & 1 == 1], minlength=n_docs) for k in range(len(_LANGUAGES))], axis=1)
     return Lines(
-        document, visible.astype(float), f, total(n_words), np.bincount(told, weights=length, minlength=n_docs),
+        document, visible.astype(float), f, total(n_words), total(letters + digits + n_joined),
         total(symbols), total(visible), total(ended), total(np.ones(n_lines)), by_language.astype(float),
     )
 
@@ -313,24 +336,23 @@ def _over_and_over(h: np.ndarray, document: np.ndarray, n_docs: int) -> np.ndarr
             gram = gram * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
         gram += document[:n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     inside = document[:n] == document[GRAM - 1 :]
-    order = np.argsort(gram, kind="stable")
+    # only texts with so many words whose bucket is shared need to be looked at
+    words = np.bincount(document, minlength=n_docs)
+    bits = n.bit_length() + 2
+    bucket = (gram >> np.uint64(64 - bits)).astype(np.int64)
+    shared = (np.bincount(bucket, minlength=1 << bits) > 1)[bucket]
+    likely = np.bincount(document[:n][shared], minlength=n_docs) >= OVER_AND_OVER * words
+    some = np.flatnonzero(likely[document[:n]])
+    order = some[np.argsort(gram[some], kind="stable")]
     again = (gram[order][1:] == gram[order][:-1]) & inside[order][1:] & inside[order][:-1]
     at, before = order[1:][again], order[:-1][again]
     if not len(at):
         return out
     pairs, count = np.unique(document[at].astype(np.int64) << 32 | (at - before), return_counts=True)
-    words = np.bincount(document, minlength=n_docs)
     np.maximum.at(out, pairs >> 32, count / np.maximum(words[pairs >> 32], 1))  # said k times: about 1 - 1 / k
     return np.where(out >= OVER_AND_OVER, out, 0.0)
 
 
-def _place(run: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """The place of each character inside its word."""
-    base = np.zeros(n, run.dtype)
-    base[w] = run[w] - 1
-    return run - 1 - np.maximum.accumulate(base)
-
-
 def ended_by(c: np.ndarray, e: np.ndarray, code: int) -> np.ndarray:
     return (c[e] == code).astype(int)
 
@@ -395,36 +417,49 @@ class Mixture:
 
         A last row has the lines' summed log-likelihood in its first place.
         """
-        inverse, k = 1 / self.variances, features.shape[1]
-        constant = np.log(self.weights) - 0.5 * ((self.means**2 * inverse).sum(axis=1) + np.log(self.variances).sum(axis=1))
-        by_power = np.ascontiguousarray(np.concatenate([constant[:, None], self.means * inverse, -0.5 * inverse], axis=1).T, np.float32)
-        shift, scale = self.shift.astype(np.float32), (1 / self.scale).astype(np.float32)
+        by_power, k = self._by_power().astype(np.float32), features.shape[1]
+        shift, scale = self.shift.astype(np.float32)[:, None], (1 / self.scale).astype(np.float32)[:, None]
         total = np.zeros((len(self.weights) + 1, 1 + 2 * k))
-        # single precision inside a step, double between steps
-        z, log = np.ones((STEP_LINES, 1 + 2 * k), np.float32), np.empty((STEP_LINES, len(self.weights)), np.float32)
+        # single precision inside a step, double between steps; a line is a column, so that whatever is done for all components runs along memory
+        z, log = np.ones((1 + 2 * k, STEP_LINES), np.float32), np.empty((len(self.weights), STEP_LINES), np.float32)
         for a in range(0, len(features), STEP_LINES):
-            some = features[a : a + STEP_LINES]
-            y, r = z[: len(some)], log[: len(some)]
-            x = y[:, 1 : 1 + k]
+            some = features[a : a + STEP_LINES].T
+            y, r = z[:, : some.shape[1]], log[:, : some.shape[1]]
+            x = y[1 : 1 + k]
             np.subtract(some, shift, out=x)
             x *= scale
-            np.multiply(x, x, out=y[:, 1 + k :])
-            np.matmul(y, by_power, out=r)
-            top = r.max(axis=1)
-            r -= top[:, None]
+            np.multiply(x, x, out=y[1 + k :])
+            np.matmul(by_power, y, out=r)
+            top = r.max(axis=0)
+            r -= top
+            np.maximum(r, LEAST_LOG, out=r)
             np.exp(r, out=r)
-            each = r.sum(axis=1)
+            each = r.sum(axis=0)
             total[-1, 0] += float(top.sum(dtype=float) + np.log(each).sum(dtype=float))
-            y /= each[:, None]
-            total[:-1] += r.T @ y
-            y[:, 0] = 1
+            y /= each
+            total[:-1] += r @ y.T
+            y[0] = 1
         return total
 
+    def _by_power(self) -> np.ndarray:
+        """Components x what a line's 1, values and squares count for its log-density."""
+        inverse = 1 / self.variances
+        constant = np.log(self.weights) - 0.5 * ((self.means**2 * inverse).sum(axis=1) + np.log(self.variances).sum(axis=1))
+        return np.concatenate([constant[:, None], self.means * inverse, -0.5 * inverse], axis=1)
+
     def posteriors(self, features: np.ndarray) -> np.ndarray:
         """Lines x KINDS."""
         if not len(features):
             return np.zeros((0, len(KINDS)))
-        return self.responsibilities((features - self.shift) / self.scale) @ self.kinds
+        by_power = self._by_power()
+        out = np.empty((len(features), len(KINDS)))
+        for a in range(0, len(features), STEP_LINES):
+            x = ((features[a : a + STEP_LINES] - self.shift) / self.scale).T
+            r = by_power @ np.concatenate([np.ones((1, x.shape[1])), x, x * x])
+            r -= r.max(axis=0)
+            np.exp(r, out=r)
+            out[a : a + STEP_LINES] = (self.kinds.T @ r / r.sum(axis=0)).T
+        return out
 
 
 #: Adds up over all lines what a function tells of the statistics of some; None where no lines are.
@@ -486,21 +521,64 @@ def fit_gathered(gather: Gather, rounds: int = EM_ROUNDS) -> Mixture:
     return model
 
 
-def fit_documents(documents: DataFrame, text: str = "text") -> Mixture:
-    """The mixture of all lines of all documents; their statistics are computed once and kept in the shared folder."""
+def keep_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``describe`` tells of every document whose text isn't NULL or empty, computed once and kept in the shared folder.
+
+    A row for each slice: ``n`` lines, ``f`` their statistics, ``keys`` of the documents, ``counts`` of ``packed_counts``.
+    """
     checkpoint_dir(documents.sparkSession)
+    told = documents.where(F.length(F.col(text)) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = told.schema["key"].dataType.simpleString()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, SLICE):
-                f = describe(part.column(text).to_pylist()).features.astype(np.float32)
-                if len(f):
+            for part in slices(batch, "text", SLICE):
+                lines = describe(part.column("text").to_pylist())
+                n = len(lines.document)
+                if n:
                     # statistic by statistic, which compresses better
-                    packed = pa.compress(np.ascontiguousarray(f.T), codec="zstd", asbytes=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([len(f)], pa.int64()), pa.array([packed], pa.binary())], ["n", "f"])
+                    packed = _packed(np.ascontiguousarray(lines.features.T, np.float32))
+                    keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("key"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([n], pa.int64()), pa.array([packed], pa.binary()), keys, pa.array([packed_counts(lines)], pa.binary())],
+                        ["n", "f", "keys", "counts"],
+                    )
+
+    return told.mapInArrow(look, f"n long, f binary, keys array<{kind}>, counts binary").checkpoint()
 
-    told = documents.where(F.length(F.col(text)) > 0).select(text)
-    kept = told.mapInArrow(look, "n long, f binary").checkpoint()  # read in every round
+
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x, codec="lz4", asbytes=True)
+
+
+def _unpacked(packed: pa.Scalar, kind: type, *shape: int) -> np.ndarray:
+    raw = pa.decompress(packed.as_buffer(), math.prod(shape) * np.dtype(kind).itemsize, codec="lz4")
+    return np.frombuffer(raw, kind).reshape(shape)
+
+
+def packed_counts(lines: Lines) -> bytes:
+    """Everything in ``lines`` but the statistics: the characters of each line, the totals of each document."""
+    totals = np.stack([lines.n_words, lines.word_characters, lines.symbols, lines.visible, lines.ended, lines.lines, *lines.common.T])
+    return _packed(np.concatenate([lines.characters, totals.ravel()]).astype(np.int32))
+
+
+def unpacked_lines(n: int, features: pa.Scalar, counts: pa.Scalar, n_docs: int) -> Lines:
+    """The lines that a row of ``keep_lines`` holds."""
+    n_totals = 6 + len(_LANGUAGES)
+    characters, totals = np.split(_unpacked(counts, np.int32, n + n_totals * n_docs).astype(float), [n])
+    totals = totals.reshape(n_totals, n_docs)
+    document = np.repeat(np.arange(n_docs), totals[5].astype(np.int64))
+    return Lines(document, characters, _unpacked(features, np.float32, len(FEATURES), n).T, *totals[:6], totals[6:].T)
+
+
+def fit_documents(documents: DataFrame, text: str = "text") -> Mixture:
+    """The mixture of all lines of all documents."""
+    return fit_kept(keep_lines(documents.select(F.lit(0).alias("key"), text), "key", text))
+
+
+def fit_kept(kept: DataFrame) -> Mixture:
+    """The mixture of all lines of ``keep_lines``, which are read in every round."""
+    kept = kept.select("n", "f")
     parts = kept.rdd.getNumPartitions()
     groups = math.ceil(math.sqrt(parts))
 
@@ -509,8 +587,7 @@ def fit_documents(documents: DataFrame, text: str = "text") -> Mixture:
             total = None
             for batch in batches:
                 for n, packed in zip(batch.column("n").to_pylist(), batch.column("f"), strict=True):
-                    raw = pa.decompress(packed.as_buffer(), n * 4 * len(FEATURES), codec="zstd")
-                    one = of(np.frombuffer(raw, np.float32).reshape(len(FEATURES), n).T)
+                    one = of(_unpacked(packed, np.float32, len(FEATURES), n).T)
                     total = one if total is None else total + one
             if total is not None:
                 yield _row(TaskContext.get().partitionId(), total)
@@ -559,37 +636,49 @@ def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", model
     (``language``; NULL and 0 where no word is). A text without words has 0 in the ratios of
     words. Equal numbers of characters: the kind named first in ``KINDS``.
     """
-    told = documents.where(F.length(F.col(text)) > 0).select(key, text)
-    model = model or fit_documents(documents, text)
-    kind = told.schema[key].dataType.simpleString()
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text, SLICE):
-                lines = describe(part.column(text).to_pylist())
-                n = part.num_rows
-                shares = document_kinds(lines, model, n)
-                common = lines.common
-                best = common.argmax(axis=1)
-                top = common[np.arange(n), best]
-                words = np.maximum(lines.n_words, 1)
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        part.column(key),
-                        pa.array(lines.n_words.astype(np.int64)),
-                        pa.array(lines.word_characters / words),
-                        pa.array(lines.symbols / np.maximum(lines.visible, 1)),
-                        pa.array(lines.ended / np.maximum(lines.lines, 1)),
-                        pa.array(top / words),
-                        pa.array([_LANGUAGES[k] if t else None for k, t in zip(best, top, strict=True)], pa.string()),
-                        pa.array([KINDS[k] for k in shares.argmax(axis=1)], pa.string()),
-                    ],
-                    [key, "n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "language", "kind"],
-                )
-                yield out.filter(pa.array(lines.visible > 0))
-
-    return told.mapInArrow(
-        judge,
+    kind = documents.schema[key].dataType.simpleString()
+    schema = (
         f"`{key}` {kind}, n_words long, mean_word_length double, symbol_ratio double, punctuated_lines double, "
-        "common_words double, language string, kind string",
+        "common_words double, language string, kind string"
     )
+
+    def judged(keys: pa.Array, lines: Lines, model: Mixture) -> pa.RecordBatch:
+        n = len(keys)
+        shares = document_kinds(lines, model, n)
+        common = lines.common
+        best = common.argmax(axis=1)
+        top = common[np.arange(n), best]
+        words = np.maximum(lines.n_words, 1)
+        out = pa.RecordBatch.from_arrays(
+            [
+                keys,
+                pa.array(lines.n_words.astype(np.int64)),
+                pa.array(lines.word_characters / words),
+                pa.array(lines.symbols / np.maximum(lines.visible, 1)),
+                pa.array(lines.ended / np.maximum(lines.lines, 1)),
+                pa.array(top / words),
+                pa.array([_LANGUAGES[k] if t else None for k, t in zip(best, top, strict=True)], pa.string()),
+                pa.array([KINDS[k] for k in shares.argmax(axis=1)], pa.string()),
+            ],
+            [key, "n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "language", "kind"],
+        )
+        return out.filter(pa.array(lines.visible > 0))
+
+    if model is not None:
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, text, SLICE):
+                    yield judged(part.column(key), describe(part.column(text).to_pylist()), model)
+
+        return documents.where(F.length(F.col(text)) > 0).select(key, text).mapInArrow(judge, schema)
+
+    kept = keep_lines(documents, key, text)
+    fitted = fit_kept(kept)
+
+    def judge_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, features, keys, counts in zip(batch.column("n").to_pylist(), *(batch.column(c) for c in ("f", "keys", "counts")), strict=True):
+                yield judged(keys.values, unpacked_lines(n, features, counts, len(keys)), fitted)
+
+    return kept.mapInArrow(judge_kept, schema)

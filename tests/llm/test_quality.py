@@ -132,3 +132,39 @@ def test_fragments_over_and_over_at_any_distance(model):
     assert share(" ".join(rng.choice(words) for _ in range(300))) < 0.5 and share(f"{long}\n\n{long}") < 0.5
     prose = EXAMPLES["prose"][0]
     assert Q.KINDS[Q.document_kinds(Q.describe([prose]), model, 1)[0].argmax()] == "prose"
+
+
+def test_texts_are_read_and_described_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    forms = [t for forms in EXAMPLES.values() for t in forms]
+    df = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string").repartition(3).mapInArrow(seen, "doc_id long, text string")
+    assert Q.quality(df).count() == len(forms) and read.value == len(forms)
+
+
+def test_kept_lines_are_those_described(spark):
+    texts = ["It is late.\n\n- a\n- b\n", " \n", "", None, "日志 abc\n日志 abc", "a;b;c\n1;2;3"] + [t for forms in EXAMPLES.values() for t in forms]
+    df = spark.createDataFrame([(f"k{k}", t) for k, t in enumerate(texts)], "name string, said string").coalesce(1)
+    kept = Q.keep_lines(df, "name", "said").toArrow()
+    n, keys = kept["n"][0].as_py(), kept["keys"][0].as_py()
+    assert len(kept) == 1 and keys == [f"k{k}" for k, t in enumerate(texts) if t]
+    got, want = Q.unpacked_lines(n, kept["f"][0], kept["counts"][0], len(keys)), Q.describe([t for t in texts if t])
+    for name in vars(want):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+
+
+def test_no_sum_is_too_small_for_a_normalized_number(model):
+    """Such numbers make a step several times slower on many processors."""
+    lines = Q.describe([t for forms in EXAMPLES.values() for t in forms]).features
+    for k in range(0, len(lines), 7):
+        weights = model.sums(lines[k : k + 1])[:-1, 0]
+        assert weights.min() >= np.finfo(np.float32).tiny and weights.sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_ends_of_a_slice_are_not_next_to_each_other():
+    assert np.array_equal(Q.describe(["+ a", "b -"]).features[0], Q.describe(["+ a"]).features[0])
